@@ -34,6 +34,8 @@ PROBE_ROWS = 2_000_000
 CHUNK_ROWS = 50_000
 #: Partial results are merged by this many reducers per query before the last merge.
 MERGE_FAN_IN = 32
+#: Vectors per cell that centroids are trained on.
+TRAIN_ROWS_PER_CELL = 2_000
 #: Results up to this many rows are marked for broadcast in follow-up joins.
 BROADCAST_ROWS = 1_000_000
 
@@ -323,21 +325,27 @@ def default_cells(n: int) -> int:
 
 
 def build_cells(
-    vectors: DataFrame, nlist: int | None = None, vector: str = "embedding", seed: int = 42,
-    max_iter: int = 10,
+    vectors: DataFrame, nlist: int | None = None, target_id: str = "product_id",
+    vector: str = "embedding", seed: int = 42, max_iter: int = 10,
 ) -> Cells:
-    """Partition vectors by nearest k-means centroid."""
-    nlist = default_cells(vectors.count()) if nlist is None else nlist
+    """Partition vectors by nearest k-means centroid.
+
+    Centroids are trained on about ``TRAIN_ROWS_PER_CELL`` vectors per cell;
+    every vector is then assigned, so the sample moves borders, not results.
+    """
+    n = vectors.count()
+    nlist = default_cells(n) if nlist is None else nlist
     pointed = vectors.withColumn("_point", array_to_vector(vector))
-    model = KMeans(
-        k=max(nlist, 2), seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cell",
-        initMode="k-means||",
-    ).fit(pointed) if nlist > 1 else None
-    if model is None:
-        centre = pointed.sparkSession.createDataFrame([(0, [0.0] * len(vectors.first()[vector]))], "cell int, embedding array<double>")
+    if nlist < 2:
+        centre = vectors.limit(1).select(F.lit(0).alias("cell"), F.col(vector).alias("embedding"))
         return Cells(vectors.withColumn("cell", F.lit(0)), centre)
+    share = min(1.0, nlist * TRAIN_ROWS_PER_CELL / max(n, 1))
+    picked = F.pmod(F.xxhash64(target_id), F.lit(1_000_000)) < int(share * 1_000_000)
+    model = KMeans(
+        k=nlist, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cell",
+    ).fit(pointed.where(picked) if share < 1 else pointed)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = pointed.sparkSession.createDataFrame(centres, "cell int, embedding array<double>")
+    centroids = vectors.sparkSession.createDataFrame(centres, "cell int, embedding array<double>")
     return Cells(model.transform(pointed).drop("_point"), centroids)
 
 
