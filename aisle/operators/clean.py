@@ -34,18 +34,20 @@ def percentile_exact(df: DataFrame, column: str, p: float) -> DataFrame:
     margin = 2.0 / SKETCH_ACCURACY
     low = F.min("v") if p <= margin else F.percentile_approx("v", p - margin, SKETCH_ACCURACY)
     high = F.max("v") if p + margin >= 1 else F.percentile_approx("v", p + margin, SKETCH_ACCURACY)
-    bracket = values.agg(F.count("v").alias("n"), low.alias("low"), high.alias("high"))
-    n, low, high = (bracket.select(c).scalar() for c in ("n", "low", "high"))
-    below = values.where(F.col("v") < low).agg(F.count("v")).scalar()
+    bracket = values.agg(
+        F.struct(F.count("v").alias("n"), low.alias("low"), high.alias("high"))
+    ).scalar()
+    # everything below the bracket falls into the null group, which sorts first
     inside = (
-        values.where((F.col("v") >= low) & (F.col("v") <= high))
-        .groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
+        values.where(F.col("v") <= bracket["high"])
+        .groupBy(F.when(F.col("v") >= bracket["low"], F.col("v")).alias("v"))
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
-    earlier = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)
     walked = inside.select(
         "v", "copies",
-        (F.coalesce(F.sum("copies").over(earlier), F.lit(0)) + below).alias("seen"),
-        ((n - 1) * F.lit(float(p))).alias("position"),
+        F.coalesce(F.sum("copies").over(earlier), F.lit(0)).alias("seen"),
+        ((bracket["n"] - 1) * F.lit(float(p))).alias("position"),
     )
 
     def at(index: Column) -> Column:

@@ -80,14 +80,20 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def save_all(index: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, nlist: int | None = None) -> None:
-    """Write every table of the index under ``base``, cells for large vector tables.
+    """Write every table of the index under ``base``, cells for large vector tables."""
+    save(index.catalog, f"{base}/catalog")
+    save_vectors(index, base, threshold, nlist)
+
+
+def save_vectors(index: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, nlist: int | None = None) -> None:
+    """Write the index tables beside a catalogue that is already under ``base``.
 
     Leaves are sorted by product type within their files, so that a search that
     descends into few types skips most of them.
     """
     for name, where in TABLES.items():
         table = getattr(index, name)
-        if table is not None:
+        if table is not None and name != "catalog":
             save(table.sortWithinPartitions("node_id") if name == "leaves" else table, f"{base}/{where}")
     save_cells(load_all(index.catalog.sparkSession, base, index.dim), base, threshold, nlist)
 

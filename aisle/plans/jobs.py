@@ -40,7 +40,7 @@ def prepare_catalog(raw: DataFrame) -> DataFrame:
 def build(spark: SparkSession, processed: DataFrame, base: str, dim: int = fv.EMBEDDING_DIM) -> SearchIndex:
     """Enrich a processed catalogue, write every index table and the taxonomy export."""
     tables.save(enrich_descriptions(processed), f"{base}/catalog")
-    tables.save_all(tables.build(tables.load(spark, f"{base}/catalog"), dim), base)
+    tables.save_vectors(tables.build(tables.load(spark, f"{base}/catalog"), dim), base)
     saved = tables.load_all(spark, base, dim)
     small = saved.nodes.limit(hierarchy.DOCUMENT_NODES + 1).count() <= hierarchy.DOCUMENT_NODES
     hierarchy.export_json(saved.nodes, f"{base}/taxonomy", "document" if small else "departments")

@@ -11,7 +11,9 @@ from aisle.schema import ORDINAL
 def write_catalog(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     else:
         writer.format(fmt).save(path)
 
