@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -115,13 +116,17 @@ def remove_special_chars(c: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def constant(value: object, ddl: str) -> Column:
+    """A Python list or dict as one constant: the optimizer folds the parsed text."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def stopwords(*lists: Sequence[str]) -> Column:
-    """Union of stopword lists as one array literal."""
+    """Union of stopword lists as one array constant."""
     given = lists or (fv.ENGLISH_STOPWORDS, fv.EXTRA_STOPWORDS)
-    arrays = [F.array(*[F.lit(w) for w in words]) for words in given]
-    union = arrays[0]
-    for more in arrays[1:]:
-        union = F.array_union(union, more)
+    union = constant(list(given[0]), "array<string>")
+    for more in given[1:]:
+        union = F.array_union(union, constant(list(more), "array<string>"))
     return union
 
 
@@ -133,6 +138,6 @@ def remove_stopwords(c: Column, stop: Column | None = None) -> Column:
 def map_words(c: Column, words: Mapping[str, str] | None = None) -> Column:
     """Each token replaced by its one- or many-word translation, if it has one."""
     table = fv.CODE_MIXED_WORDS if words is None else words
-    entries = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    entries = constant(dict(table), "map<string, string>")
     mapped = F.transform(tokens(F.lower(c)), lambda w: F.coalesce(F.try_element_at(entries, w), w))
     return F.array_join(mapped, " ")

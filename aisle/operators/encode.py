@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,17 @@ def text_buckets(text: Column, dim: int = fv.EMBEDDING_DIM) -> Column:
     )
 
 
-def bucket_counts(df: DataFrame, text: str, dim: int = fv.EMBEDDING_DIM) -> DataFrame:
-    """``df`` plus ``_tf``: a sparse vector of token counts per bucket."""
-    counter = CountVectorizerModel.from_vocabulary(
+@lru_cache(maxsize=16)
+def _counter(application: str, dim: int) -> CountVectorizerModel:
+    """Counts of the ``dim`` bucket names; one transformer per session."""
+    return CountVectorizerModel.from_vocabulary(
         [str(i) for i in range(dim)], inputCol="_buckets", outputCol="_tf"
     )
-    return counter.transform(df.withColumn("_buckets", text_buckets(F.col(text), dim))).drop("_buckets")
+
+
+def bucket_counts(df: DataFrame, text: str, dim: int = fv.EMBEDDING_DIM) -> DataFrame:
+    """``df`` plus ``_tf``: a sparse vector of token counts per bucket."""
+    return _counter(df.sparkSession.sparkContext.applicationId, dim).transform(df.withColumn("_buckets", text_buckets(F.col(text), dim))).drop("_buckets")
 
 
 def fit_idf(df: DataFrame, text: str, dim: int = fv.EMBEDDING_DIM) -> IDFModel:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aisle.functions import fixed_values as fv
-from aisle.functions.text import word_count
+from aisle.functions.text import constant, word_count
 
 
 def _text(name: str) -> Column:
@@ -19,7 +19,7 @@ def _text(name: str) -> Column:
 def lookup(table: Mapping[str, str], *keys: Column) -> Column:
     """The value of the first key present in the table, else its default."""
     entries = {k: v for k, v in table.items() if k != "default"}
-    pairs = F.create_map(*[F.lit(v) for kv in entries.items() for v in kv])
+    pairs = constant(entries, "map<string, string>")
     return F.coalesce(*[F.try_element_at(pairs, k) for k in keys], F.lit(table["default"]))
 
 

@@ -34,6 +34,8 @@ PROBE_ROWS = 2_000_000
 CHUNK_ROWS = 50_000
 #: Partial results are merged by this many reducers per query before the last merge.
 MERGE_FAN_IN = 32
+#: Up to this many probed keys are pushed into the targets' scan.
+PUSHED_KEYS = 2_000
 #: Vectors per cell that centroids are trained on.
 TRAIN_ROWS_PER_CELL = 2_000
 #: Results up to this many rows are marked for broadcast in follow-up joins.
@@ -77,6 +79,14 @@ def probe_list(probes: DataFrame, limit: int | None = None) -> pd.DataFrame | No
     return None if table.num_rows > limit else table.to_pandas()
 
 
+def _literal(value: object) -> str:
+    """A key as SQL text: one short predicate instead of a column call per key."""
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return str(value)
+
+
 def _similarity(queries: np.ndarray, targets: np.ndarray, metric: str) -> np.ndarray:
     products = queries @ targets.T
     if metric == "dot":
@@ -219,8 +229,8 @@ def _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, li
             value: (rows[at], offsets[at])
             for value, at in listed.groupby("key", sort=False).indices.items()
         }
-        if 0 < len(lookup) <= 1000:
-            targets = targets.where(F.col(key).isin(list(lookup)))
+        if 0 < len(lookup) <= PUSHED_KEYS:
+            targets = targets.where(f"`{key}` IN ({', '.join(_literal(v) for v in lookup)})")
     shared = spark.sparkContext.broadcast((block, lookup))
     columns = [target_id, vector] + ([key] if keyed else [])
 

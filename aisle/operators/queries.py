@@ -36,9 +36,10 @@ def expand_text(query: Column, rules: Mapping[str, str] | None = None) -> Column
     """The query followed by the terms of every trigger it contains, in rule order."""
     table = fv.INTENT_EXPANSIONS if rules is None else rules
     lowered = F.lower(query)
-    entries = F.array(*[
-        F.struct(F.lit(t).alias("trigger"), F.lit(terms).alias("terms")) for t, terms in table.items()
-    ])
+    entries = text.constant(
+        [{"trigger": t, "terms": terms} for t, terms in table.items()],
+        "array<struct<trigger: string, terms: string>>",
+    )
     hits = F.transform(F.filter(entries, lambda r: F.contains(lowered, r["trigger"])), lambda r: r["terms"])
     return F.when(F.size(hits) == 0, query).otherwise(
         F.concat(query, F.lit(" "), F.array_join(hits, " "))

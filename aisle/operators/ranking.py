@@ -100,11 +100,24 @@ def to_results(ranked: DataFrame, model_id: str, score: Column, extra: Sequence[
     )
 
 
-def prepare_queries(
+@dataclass(frozen=True)
+class Prepared:
+    """Encoded queries with intent columns and ``fetch_k``; their block and largest fetch_k."""
+
+    queries: DataFrame
+    block: knn.QueryBlock | None
+    fetch: int
+
+    @property
+    def rows(self) -> int | None:
+        return _rows(self.block, self.fetch)
+
+
+def prepare(
     queries: DataFrame, top_k: int, text: str = "query", dim: int = fv.EMBEDDING_DIM,
-    overfetch: int = 1,
-) -> tuple[DataFrame, int]:
-    """Encoded queries with intent columns and ``fetch_k``, and the largest fetch_k.
+    overfetch: int = 1, block: knn.QueryBlock | None = None,
+) -> Prepared:
+    """Intent, number of results to fetch, and vectors of a query table.
 
     A query with gender or t-shirt intent fetches more, because intent moves
     its results afterwards; others fetch ``overfetch`` times the wanted number.
@@ -114,7 +127,9 @@ def prepare_queries(
     df = with_constraints(queries).withColumn(
         "fetch_k", F.when(F.col("constrained"), constrained_k).otherwise(plain_k)
     )
-    return encode(df, text, dim=dim), max(constrained_k, plain_k)
+    encoded = encode(df, text, dim=dim)
+    block = knn.query_block(encoded) if block is None else block
+    return Prepared(encoded, block, max(constrained_k, plain_k))
 
 
 def _fetch_k(hits: DataFrame, queries: DataFrame, factor: int, rows: int | None) -> DataFrame:
@@ -253,15 +268,15 @@ def search(
     queries: DataFrame, index: SearchIndex, model_id: str | None = None, k: int = 5,
     filters: Mapping[str, object] | None = None, min_confidence: float | None = None,
     rewrites: DataFrame | None = None, rules: Mapping[str, str] | DataFrame | None = None,
+    prepared: Prepared | None = None,
 ) -> DataFrame:
     """Route a query table (query_id, query) to one model and apply shopper intent."""
     k = max(1, min(int(k), fv.MAX_TOP_K))
     if filters:
         index = filtered_index(index, **filters)
-    encoded, fetch = prepare_queries(queries, k, dim=index.dim)
-    block = knn.query_block(encoded)
-    results = search_model(model_id or fv.ENHANCED, encoded, index, fetch, block, rewrites, rules)
-    ranked = intent_rerank(results, encoded, k, _rows(block, fetch))
+    p = prepare(queries, k, dim=index.dim) if prepared is None else prepared
+    results = search_model(model_id or fv.ENHANCED, p.queries, index, p.fetch, p.block, rewrites, rules)
+    ranked = intent_rerank(results, p.queries, k, p.rows)
     if min_confidence is not None:
         ranked = ranked.where(F.col("confidence_score") >= min_confidence)
     return ranked
@@ -311,28 +326,31 @@ def vote(
 def ensemble(
     queries: DataFrame, index: SearchIndex, k: int = 5, weights: Mapping[str, float] | None = None,
     rewrites: DataFrame | None = None, rules: Mapping[str, str] | DataFrame | None = None,
+    block: knn.QueryBlock | None = None,
 ) -> DataFrame:
     """All loaded models in one plan, merged by :func:`vote`."""
     k = max(1, min(int(k), fv.MAX_TOP_K))
     weights = fv.ENSEMBLE_WEIGHTS if weights is None else weights
-    encoded, fetch = prepare_queries(queries, k, dim=index.dim, overfetch=fv.ENSEMBLE_OVERFETCH)
-    block = knn.query_block(encoded)
     models = [m for m in weights if m in index.loaded()]
     if not models:
         raise ValueError("no models loaded")
+    p = prepare(queries, k, dim=index.dim, overfetch=fv.ENSEMBLE_OVERFETCH, block=block)
     results = None
     for model in models:
-        found = search_model(model, encoded, index, fetch, block, rewrites, rules).select(RESULT_COLUMNS)
+        found = search_model(model, p.queries, index, p.fetch, p.block, rewrites, rules).select(RESULT_COLUMNS)
         results = found if results is None else results.unionByName(found)
-    return vote(results, encoded, k, weights, _rows(block, fetch))
+    return vote(results, p.queries, k, weights, p.rows)
 
 
 def compare_models(
-    queries: DataFrame, index: SearchIndex, k: int = 5, models: Sequence[str] | None = None, **options
+    queries: DataFrame, index: SearchIndex, k: int = 5, models: Sequence[str] | None = None,
+    prepared: Prepared | None = None, **options,
 ) -> DataFrame:
     """The routed results of several models side by side, one row per (query, model, rank)."""
     models = index.loaded() if models is None else models
-    table = search(queries, index, models[0], k, **options)
-    for model in models[1:]:
-        table = table.unionByName(search(queries, index, model, k, **options))
+    p = prepare(queries, k, dim=index.dim) if prepared is None else prepared
+    table = None
+    for model in models:
+        found = search(queries, index, model, k, prepared=p, **options)
+        table = found if table is None else table.unionByName(found)
     return table

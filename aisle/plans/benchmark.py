@@ -20,9 +20,10 @@ def run_benchmarks(
     """Macro-averaged metrics per (model, query type): one plan over all queries."""
     models = [*index.loaded(), fv.ENSEMBLE] if models is None else list(models)
     single = [m for m in models if m != fv.ENSEMBLE]
-    results = ranking.compare_models(queries, index, k, single) if single else None
+    prepared = ranking.prepare(queries, k, dim=index.dim)
+    results = ranking.compare_models(queries, index, k, single, prepared) if single else None
     if fv.ENSEMBLE in models:
-        voted = ranking.ensemble(queries, index, k).drop("votes")
+        voted = ranking.ensemble(queries, index, k, block=prepared.block).drop("votes")
         results = voted if results is None else results.unionByName(voted)
     flagged = evaluation.flag_results(results, queries, fields)
     return evaluation.average(evaluation.query_metrics(flagged, queries, models, k))
@@ -48,8 +49,9 @@ def run_timed(queries: DataFrame, index: SearchIndex, base: str, k: int = 5) ->
 
 def spot_check(queries: DataFrame, index: SearchIndex, k: int = 5) -> DataFrame:
     """Top results per model and ensemble with a relevance marker."""
-    results = ranking.compare_models(queries, index, k).unionByName(
-        ranking.ensemble(queries, index, k).drop("votes")
+    prepared = ranking.prepare(queries, k, dim=index.dim)
+    results = ranking.compare_models(queries, index, k, prepared=prepared).unionByName(
+        ranking.ensemble(queries, index, k, block=prepared.block).drop("votes")
     )
     flagged = evaluation.flag_results(results, queries)
     return flagged.select(

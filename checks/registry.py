@@ -659,32 +659,31 @@ _RESULTS = ", ".join(RESULT_COLUMNS)
 
 
 def _prepared(spark, sf_dir):
-    index = fx.search_index(spark, sf_dir)
-    encoded, fetch = ranking.prepare_queries(fx.queries(spark, sf_dir), 5)
-    return index, encoded, fetch
+    p = ranking.prepare(fx.queries(spark, sf_dir), 5)
+    return fx.search_index(spark, sf_dir), p.queries, p.fetch, p.block
 
 
 @register("search_hierarchical", f"SELECT {_RESULTS} FROM r1")
 def search_hierarchical(spark, sf_dir):
-    index, encoded, fetch = _prepared(spark, sf_dir)
-    return ranking.search_hierarchical(encoded, index, fetch)
+    index, encoded, fetch, block = _prepared(spark, sf_dir)
+    return ranking.search_hierarchical(encoded, index, fetch, block)
 
 
 @register("search_flat", f"SELECT {_RESULTS} FROM r2")
 def search_flat(spark, sf_dir):
-    index, encoded, fetch = _prepared(spark, sf_dir)
-    return ranking.search_flat(encoded, index, fetch)
+    index, encoded, fetch, block = _prepared(spark, sf_dir)
+    return ranking.search_flat(encoded, index, fetch, block)
 
 
 @register("search_enhanced", f"SELECT {_RESULTS} FROM r3")
 def search_enhanced(spark, sf_dir):
-    index, encoded, fetch = _prepared(spark, sf_dir)
-    return ranking.search_enhanced(encoded, index, fetch)
+    index, encoded, fetch, block = _prepared(spark, sf_dir)
+    return ranking.search_enhanced(encoded, index, fetch, block)
 
 
 @register("search_expanded", f"SELECT {_RESULTS}, refined_query FROM r4 JOIN (SELECT query_id, refined_query FROM expanded) USING (query_id)")
 def search_expanded(spark, sf_dir):
-    index, encoded, fetch = _prepared(spark, sf_dir)
+    index, encoded, fetch, block = _prepared(spark, sf_dir)
     return ranking.search_expanded(encoded, index, fetch).select(*RESULT_COLUMNS, "refined_query")
 
 
@@ -705,8 +704,8 @@ def confidence_band(spark, sf_dir):
 
 @register("adjust_score", f"SELECT query_id, rank, product_id, round(adjusted, 6) AS adjusted FROM ({o.adjusted('r3')})")
 def adjust_score(spark, sf_dir):
-    index, encoded, fetch = _prepared(spark, sf_dir)
-    results = ranking.search_enhanced(encoded, index, fetch)
+    index, encoded, fetch, block = _prepared(spark, sf_dir)
+    results = ranking.search_enhanced(encoded, index, fetch, block)
     adjusted = ranking._with_adjusted(results, encoded, None)
     return adjusted.select("query_id", "rank", "product_id", F.round("_adjusted", 6).alias("adjusted"))
 
