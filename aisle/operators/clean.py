@@ -27,16 +27,24 @@ def percentile_exact(df: DataFrame, column: str, p: float) -> DataFrame:
 
     The built-in exact percentile holds every distinct value in one task. Here a
     bounded sketch brackets the two order statistics; only the distinct values
-    inside the bracket (at most 4/SKETCH_ACCURACY of the rows, counted before
-    they move) are walked in order, everything below it is merely counted.
+    inside the bracket (about 4/SKETCH_ACCURACY of the rows, or a few dozen,
+    counted before they move) are walked in order, the ones below merely counted.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    margin = 2.0 / SKETCH_ACCURACY
-    low = F.min("v") if p <= margin else F.percentile_approx("v", p - margin, SKETCH_ACCURACY)
-    high = F.max("v") if p + margin >= 1 else F.percentile_approx("v", p + margin, SKETCH_ACCURACY)
-    bracket = values.agg(
-        F.struct(F.count("v").alias("n"), low.alias("low"), high.alias("high"))
-    ).scalar()
+    # the narrowest margin that still spans a few rows on either side of the position
+    margins = [m for m in (2.0 / SKETCH_ACCURACY * 10 ** i for i in range(8)) if m < 1]
+    lows = F.percentile_approx("v", [max(p - m, 0.0) for m in margins], SKETCH_ACCURACY)
+    highs = F.percentile_approx("v", [min(p + m, 1.0) for m in margins], SKETCH_ACCURACY)
+    summary = values.agg(
+        F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
+        lows.alias("lows"), highs.alias("highs"),
+    )
+    low, high = F.col("least"), F.col("most")
+    for i in reversed(range(len(margins))):
+        wide_enough = F.col("n") * margins[i] >= 5
+        low = F.when(wide_enough, F.col("least") if p <= margins[i] else F.get("lows", F.lit(i))).otherwise(low)
+        high = F.when(wide_enough, F.col("most") if p + margins[i] >= 1 else F.get("highs", F.lit(i))).otherwise(high)
+    bracket = summary.select(F.struct("n", low.alias("low"), high.alias("high"))).scalar()
     # everything below the bracket falls into the null group, which sorts first
     inside = (
         values.where(F.col("v") <= bracket["high"])

@@ -51,11 +51,16 @@ def prepare(
     spark: SparkSession, raw_path: str, base: str, fmt: str | None = None,
     dim: int = fv.EMBEDDING_DIM,
 ) -> SearchIndex:
-    """Raw file to a loaded index; a processed catalogue or index under ``base`` is reused."""
-    processed_path = f"{base}/processed"
+    """Raw file to a loaded index; tables already written under ``base`` are reused.
+
+    The unified table is landed first: it fixes the row ordinals, and cleaning,
+    which looks at a few columns several times, then reads columns, not text files.
+    """
+    processed_path, unified_path = f"{base}/processed", f"{base}/unified"
     if tables.load(spark, processed_path) is None:
-        raw = read_catalog(spark, raw_path, fmt)
-        write_catalog(raw.transform(to_unified).transform(clean.run), processed_path)
+        if tables.load(spark, unified_path) is None:
+            write_catalog(to_unified(read_catalog(spark, raw_path, fmt)), unified_path)
+        write_catalog(clean.run(tables.load(spark, unified_path)), processed_path)
     if tables.load(spark, f"{base}/index/catalog") is not None:
         saved = tables.load_all(spark, f"{base}/index", dim)
         if saved.loaded() == fv.MODELS:

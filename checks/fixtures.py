@@ -81,9 +81,18 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_unified(raw_catalog(spark, sf_dir))
 
 
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`unified`, written once per session as the preparation job lands it."""
+    path = folder(spark, sf_dir, "unified")
+    if path not in _WRITTEN:
+        unified(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
+
 def clean_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned catalogue with review counts and stock from the orders' lines."""
-    ready = clean.run(unified(spark, sf_dir))
+    ready = clean.run(landed(spark, sf_dir))
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias(ORDINAL)).agg(
         F.count(F.lit(1)).alias("_reviews"),
         F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("_open"),

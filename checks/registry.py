@@ -163,7 +163,7 @@ def strip_boilerplate(spark, sf_dir):
 
 @register("clean_text_fields", f"SELECT {UNIFIED_LIST} FROM texts_cleaned")
 def clean_text_fields(spark, sf_dir):
-    return clean.clean_text_fields(fx.unified(spark, sf_dir))
+    return clean.clean_text_fields(fx.landed(spark, sf_dir))
 
 
 @register("price_cap", "SELECT round(quantile_cont(value, 0.999), 6) AS price_cap FROM events")
@@ -218,14 +218,14 @@ def remove_empty(spark, sf_dir):
 
 @register("clean_run", f"SELECT {UNIFIED_LIST} FROM ready")
 def clean_run(spark, sf_dir):
-    return clean.run(fx.unified(spark, sf_dir))
+    return clean.run(fx.landed(spark, sf_dir))
 
 
 @register("removal_report", """
 SELECT 'input' AS step, count(*) AS rows FROM raw UNION ALL SELECT 'deduplicated', count(*) FROM unique_rows
 UNION ALL SELECT 'non_empty', count(*) FROM named_rows""")
 def removal_report(spark, sf_dir):
-    return clean.removal_report(fx.unified(spark, sf_dir))
+    return clean.removal_report(fx.landed(spark, sf_dir))
 
 
 # --- text and enrichment ------------------------------------------------------
