@@ -32,6 +32,8 @@ BLOCK_ROWS = 20_000
 PROBE_ROWS = 2_000_000
 #: Targets per co-grouped chunk.
 CHUNK_ROWS = 50_000
+#: A task holds results for at most this many (query, rank) places at a time.
+HELD_ROWS = 500_000
 #: Partial results are merged by this many reducers per query before the last merge.
 MERGE_FAN_IN = 32
 #: Up to this many probed keys are pushed into the targets' scan.
@@ -54,6 +56,9 @@ class QueryBlock:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def part(self, start: int, stop: int) -> QueryBlock:
+        return QueryBlock(self.ids[start:stop], self.matrix[start:stop])
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -208,7 +213,14 @@ def nearest(
     block = query_block(queries, vector) if block is None else block
     listed = None if probes is None or block is None else probe_list(probes)
     if block is not None and (probes is None or listed is not None):
-        hits = _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, listed, key)
+        # deep results for many queries: several scans, each with a bounded share of the queries
+        step = max(1, HELD_ROWS // k)
+        hits = None
+        for start in range(0, max(len(block), 1), step):
+            part = _nearest_broadcast(
+                queries, targets, k, target_id, metric, vector, block.part(start, start + step), listed, key
+            )
+            hits = part if hits is None else hits.unionByName(part)
     else:
         hits = _nearest_grouped(
             queries, targets, k, target_id, metric, vector, probes, key,
@@ -223,14 +235,14 @@ def _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, li
     lookup = None
     if keyed:
         position = {q: i for i, q in enumerate(block.ids)}
-        rows = listed["query_id"].map(position).to_numpy()
-        offsets = listed["offset"].to_numpy(dtype=np.float64)
+        mine = listed[listed["query_id"].isin(position)]
+        rows = mine["query_id"].map(position).to_numpy(dtype=np.int64)
+        offsets = mine["offset"].to_numpy(dtype=np.float64)
         lookup = {
             value: (rows[at], offsets[at])
-            for value, at in listed.groupby("key", sort=False).indices.items()
+            for value, at in mine.groupby("key", sort=False).indices.items()
         }
-        if 0 < len(lookup) <= PUSHED_KEYS:
-            targets = targets.where(f"`{key}` IN ({', '.join(_literal(v) for v in lookup)})")
+        targets = _with_keys(targets, key, list(lookup))
     shared = spark.sparkContext.broadcast((block, lookup))
     columns = [target_id, vector] + ([key] if keyed else [])
 
@@ -240,6 +252,16 @@ def _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, li
     return targets.select(*columns).mapInArrow(scan, _hit_schema(queries, targets, target_id))
 
 
+def _with_keys(targets: DataFrame, key: str, keys: list) -> DataFrame:
+    """Targets whose key is probed at all, so that the others never leave the scan."""
+    if len(keys) <= PUSHED_KEYS:
+        wanted = ", ".join(_literal(v) for v in keys) or "NULL"
+        return targets.where(f"`{key}` IN ({wanted})")
+    table = pa.table({key: pa.array([v.item() if hasattr(v, "item") else v for v in keys])})
+    wanted = targets.sparkSession.createDataFrame(table).select(F.col(key).cast(targets.schema[key].dataType))
+    return targets.join(F.broadcast(wanted), key, "left_semi")
+
+
 def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key, chunk_rows) -> DataFrame:
     """The same scoring on co-grouped chunks, for query sides that must not be broadcast.
 

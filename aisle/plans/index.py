@@ -88,23 +88,32 @@ def save_all(index: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, n
 def save_vectors(index: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, nlist: int | None = None) -> None:
     """Write the index tables beside a catalogue that is already under ``base``.
 
-    Leaves are sorted by product type within their files, so that a search that
-    descends into few types skips most of them.
+    Leaves are laid out in ranges of product type, so that a search that descends
+    into few types skips most files; the id's hash splits a type that is too large
+    for one range.
     """
     for name, where in TABLES.items():
         table = getattr(index, name)
-        if table is not None and name != "catalog":
-            save(table.sortWithinPartitions("node_id") if name == "leaves" else table, f"{base}/{where}")
+        if table is None or name == "catalog":
+            continue
+        if name == "leaves":
+            table = table.repartitionByRange("node_id", F.xxhash64("product_id")).sortWithinPartitions("node_id")
+        save(table, f"{base}/{where}")
     save_cells(load_all(index.catalog.sparkSession, base, index.dim), base, threshold, nlist)
 
 
 def save_cells(saved: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, nlist: int | None = None) -> None:
-    """Add the by-cell layout of each saved vector table that is large enough."""
+    """Add the by-cell layout of each saved vector table that is large enough.
+
+    Rebalancing by cell keeps small cells in one file and splits large ones,
+    instead of one file per task and cell.
+    """
     grown = with_cells(saved, nlist, threshold)
     for name, base_name in CELL_TABLES.items():
         cells = getattr(grown, name)
         if cells is not None:
-            save(cells.vectors, f"{base}/{TABLES[base_name]}_by_cell", "cell")
+            by_cell = cells.vectors.hint("rebalance", "cell")
+            save(by_cell, f"{base}/{TABLES[base_name]}_by_cell", "cell")
             save(cells.centroids, f"{base}/{TABLES[base_name]}_centroids")
 
 

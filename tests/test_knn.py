@@ -59,6 +59,15 @@ def test_broadcast_and_grouped_agree_with_brute_force(spark, big, monkeypatch):
     assert ranks(knn.flat(queries, targets, 12, "row_id")) == expected
 
 
+def test_deep_results_are_found_in_several_scans(spark, big, monkeypatch):
+    targets, queries = frame(spark, big, "row_id"), frame(spark, big[::9], "query_id")
+    monkeypatch.setattr(knn, "HELD_ROWS", 120)
+    assert ranks(knn.flat(queries, targets, 12, "row_id")) == brute(big[::9], big, 12)
+    monkeypatch.setattr(knn, "PUSHED_KEYS", 2)
+    cells = knn.build_cells(targets, 8, "row_id")
+    assert ranks(knn.ivf(queries, cells, 5, 8, "row_id")) == brute(big[::9], big, 5)
+
+
 def test_probing_every_cell_is_exact_also_with_a_hot_cell(spark, big, monkeypatch):
     targets, queries = frame(spark, big, "row_id"), frame(spark, big[::9], "query_id")
     cells = knn.build_cells(targets, 8, "row_id")
