@@ -29,7 +29,9 @@ def run_benchmarks(
     return evaluation.average(evaluation.query_metrics(flagged, queries, models, k))
 
 
-def run_timed(queries: DataFrame, index: SearchIndex, base: str, k: int = 5) -> DataFrame:
+def run_timed(
+    queries: DataFrame, index: SearchIndex, base: str, k: int = 5, models: Sequence[str] | None = None,
+) -> DataFrame:
     """:func:`run_benchmarks` model by model, with the batch time per query in milliseconds.
 
     Each model's report is written under ``base`` while it is timed.
@@ -37,7 +39,7 @@ def run_timed(queries: DataFrame, index: SearchIndex, base: str, k: int = 5) ->
     spark = queries.sparkSession
     asked = queries.count()
     report = None
-    for model in [*index.loaded(), fv.ENSEMBLE]:
+    for model in [*index.loaded(), fv.ENSEMBLE] if models is None else models:
         path = f"{base}/{model}"
         started = time.perf_counter()
         run_benchmarks(queries, index, k, [model]).write.mode("overwrite").parquet(path)

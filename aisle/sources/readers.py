@@ -46,10 +46,11 @@ def read_catalog(
             *[F.when(~F.col(f"`{c}`").isin(fv.NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in names],
             *([F.col(ORDINAL).cast("bigint").alias(ORDINAL)] if ORDINAL in raw.columns else []),
         )
-    elif fmt == "json":
-        raw = reader.option("primitivesAsString", True).json(path)
     else:
-        raw = reader.parquet(path)
+        raw = reader.option("primitivesAsString", True).json(path) if fmt == "json" else reader.parquet(path)
+        # nested cells (a specification object, a tree as an array) become the texts a CSV would hold
+        nested = [f.name for f in raw.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+        raw = raw.withColumns({c: F.to_json(f"`{c}`") for c in nested})
     require_columns(raw, REQUIRED_RAW)
     if ORDINAL not in raw.columns:
         raw = raw.withColumn(ORDINAL, F.monotonically_increasing_id())

@@ -38,6 +38,15 @@ def test_csv_cells(spark, csv_dir):
     assert unified[1].brand == "Unknown" and unified[1].rating == 0.0
 
 
+def test_nested_json_cells(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps({
+        "pid": "1", "product_name": "lamp", "product_category_tree": ["Home >> Lamps"], "price": 12.5,
+        "product_specifications": {"product_specification": [{"key": "Color", "value": "red"}, {"key": "W", "value": "5"}]},
+    }) + "\n")
+    row = ops.to_unified(sources.read_catalog(spark, str(tmp_path / "x.json"))).first()
+    assert (row.category, row.color, row.features, row.price) == ("Lamps", "red", "5", 12.5)
+
+
 def test_bad_sources(spark, tmp_path):
     (tmp_path / "x.csv").write_text("pid,product_name\n1,a\n")
     with pytest.raises(ValueError, match="product_category_tree"):

@@ -162,6 +162,12 @@ def test_benchmark_covers_queries_without_hits(queries, index):
     assert report[(fv.FLAT, "vague")].precision_at_k < 1
 
 
+def test_timed_benchmark(queries, index, tmp_path):
+    rows = benchmark.run_timed(queries, index, str(tmp_path), 3, [fv.FLAT]).collect()
+    assert {r.query_type for r in rows} == {"exact", "semantic", "vague"}
+    assert all(r.model_id == fv.FLAT and r.avg_query_time_ms > 0 for r in rows)
+
+
 def test_cells_are_used_and_saved_when_large(spark, queries, index, tmp_path):
     tables.save_all(index, str(tmp_path), threshold=5, nlist=2)
     saved = tables.load_all(spark, str(tmp_path), 64)
