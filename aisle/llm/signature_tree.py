@@ -183,13 +183,33 @@ def _described(documents: DataFrame, words: int, num: int, den: int, common) ->
         describe, "doc_id long, mark long, n long, id long, first array<long>, classes array<int>, bitmaps array<binary>")
 
 
-def _shared_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (token, id) sorted by token: the rows whose token has several sets."""
-    for table in whole_groups(batches, "token", 200_000):
-        token = np.asarray(table.column("token"))
-        same = token[1:] == token[:-1]
-        several = np.append(False, same) | np.append(same, False)
-        yield from table.filter(pa.array(several)).combine_chunks().to_batches()
+def _meetings(num: int, den: int):
+    """Of (token, id, n, place) sorted by token: (key, id) of the sets that meet there and may be linked.
+
+    Two sets are met at the first shingle they share, so at most what follows in
+    either is common. ``key`` is that of the meeting's members: the many shingles at
+    which the same copies meet give one meeting.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "token", 200_000):
+            token, ids, size, place = (np.asarray(table.column(c)) for c in ("token", "id", "n", "place"))
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            count = np.diff(np.append(begin, len(token)))
+            group = np.repeat(np.arange(len(begin)), count)
+            may = (count > SMALL_GROUP)[group]
+            for apart in range(1, min(int(count.max(initial=1)), SMALL_GROUP)):
+                i = np.flatnonzero((group[:-apart] == group[apart:]) & (count <= SMALL_GROUP)[group[apart:]])
+                j = i + apart
+                most = np.minimum(size[i] - place[i], size[j] - place[j])
+                i = i[(size[i] * den >= size[j] * num) & (size[j] * den >= size[i] * num)
+                      & (most * (num + den) >= (size[i] + size[j]) * num)]
+                may[i], may[i + apart] = True, True
+            group, ids = group[may], ids[may]
+            members = np.zeros(len(begin), np.uint64)
+            np.add.at(members, group, mix(ids.view(np.uint64)))
+            rows = np.unique(np.stack([mix(members)[group].view(np.int64), ids], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["token", "id"])
+    return run
 
 
 def _possible_links(num: int, den: int):
@@ -346,8 +366,10 @@ def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     described = written(_described(documents, words, num, den, common), "sets")
     sets = described.where("n > 0")
 
-    firsts = sets.select("id", "first").dropDuplicates(["id"]).select(F.explode("first").alias("token"), "id")
-    shared = firsts.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_firsts, "token long, id long")
+    firsts = sets.select("id", "n", "first").dropDuplicates(["id"]).select(
+        "id", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("place", "token"))
+    shared = firsts.repartition("token").sortWithinPartitions("token").mapInArrow(
+        _meetings(num, den), "token long, id long").distinct()
     maps = sets.select("id", "n", "classes", "bitmaps").dropDuplicates(["id"])
     dealt = shared.join(maps.hint("shuffle_hash"), "id").select(
         "token", "id", "n", F.explode(F.arrays_zip("classes", "bitmaps")).alias("x")).select(
