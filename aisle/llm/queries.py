@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aisle.llm import signature_tree
+from aisle.llm import language, quality_classifier, quality_rules, signature_tree, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +26,38 @@ def register(run):
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 85 % of their 4-word shingles in common."""
     return signature_tree.linked(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+def _bucket(of: int) -> Column:
+    """Fold of a document by the contracts: crc32 of doc_id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+@register
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two of three folds."""
+    found = language.identify(_table(spark, sf_dir, "documents"), training=_bucket(3) != 1)
+    return found.select("doc_id", (_bucket(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+@register
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the cascade's verdict on every document."""
+    measures = quality_rules.BASE_MEASURES
+    found = quality_rules.judge(_table(spark, sf_dir, "documents"), measures=measures)
+    base_failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
+    return found.select("doc_id", *measures, base_failed.alias("base_failed"), "kept", "failed_rule")
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from three of four folds."""
+    found = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), training=_bucket(4) != 2)
+    return found.select("doc_id", (_bucket(4) == 2).alias("held_out"), "score", "predicted")
+
+
+@register
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four of five folds."""
+    found = quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), training=_bucket(5) != 0)
+    return found.select("doc_id", (_bucket(5) == 0).alias("held_out"), "score", "predicted")
