@@ -4,7 +4,7 @@ A configuration is a multiset of piece lengths that fits one sequence. The progr
 asks for the fewest sequences whose configurations cover the histogram of lengths.
 It is solved by multiplicative weights: lengths that lag behind in coverage weigh
 more, and a knapsack dynamic program finds the configuration of the greatest weight.
-The solution is rounded down; what it leaves is packed best fit, longest first, in
+The solution is rounded; what it leaves is packed best fit, longest first, in
 groups of equal sequences. The histogram has as many numbers as a sequence has
 tokens, so this part runs on the driver whatever the corpus. Each piece then finds
 its place from its rank among the pieces of its length, which Spark counts in buckets.
@@ -26,7 +26,9 @@ from aisle.llm.shared import written
 
 LENGTH = 1024
 END = 2
-ROUNDS = 400
+ROUNDS, URGENCY, SHARE = 400, 30.0, 1.0
+SCALES = (2.0, 1.0, 0.5)
+"""Multiples of the fractional solution that are rounded; best fit packs the rest."""
 BUCKETS = 64
 CACHE = 400_000
 _WHITE = {bytes.fromhex(h) for h in "c285 c2a0 e19a80 e280a8 e280a9 e280af e2819f e38080".split()} | {bytes([0xE2, 0x80, k]) for k in range(0x80, 0x8B)}
@@ -147,41 +149,47 @@ def knapsack(value: np.ndarray, length: int) -> list[int]:
     return sorted(found, reverse=True)
 
 
-def solve(histogram: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how many sequences have each, covering ``histogram`` exactly.
+def fractional(want: np.ndarray, length: int, rounds: int = ROUNDS, urgency: float = URGENCY, share: float = SHARE) -> dict[tuple[int, ...], float]:
+    """Multiplicative-weights solution of the covering program: configurations and amounts.
 
-    ``histogram[l]`` pieces have length l.
+    Every round adds an amount of the configuration of the greatest weight: at most
+    ``share`` of what any of its lengths needs. A length's weight falls exponentially
+    with its coverage so far, ``urgency`` being the exponent.
     """
-    left = histogram.astype(np.int64).copy()
-    plan: dict[tuple[int, ...], int] = defaultdict(int)
-    if left[length]:
-        plan[(length,)] += int(left[length])
-        left[length] = 0
-    want = left.astype(float)
     used = np.flatnonzero(want)
-    if len(used):
-        covered, amount = np.zeros(length + 1), defaultdict(float)
-        for _ in range(rounds):
-            lag = np.exp(4 * (covered[used].mean() - covered[used]))
-            value = np.full(length, -1.0)
-            value[used - 1] = used / length * lag
-            config = tuple(knapsack(value, length))
-            kinds, times = np.unique(config, return_counts=True)
-            step = float(np.min(want[kinds] / times)) * 0.1
-            amount[config] += step
-            covered[kinds] += step * times / want[kinds]
-        scale = max(float(np.median(covered[used])), 1e-9)
-        for config, x in sorted(amount.items(), key=lambda item: (-item[1], item[0])):
-            kinds, times = np.unique(config, return_counts=True)
-            count = int(min(x / scale, np.min(left[kinds] // times)))
-            if count:
-                plan[config] += count
-                left[kinds] -= count * times
-    # the rest, best fit, longest first, on groups of equal sequences
+    covered, amount = np.zeros(length + 1), defaultdict(float)
+    value = np.full(length, -1.0)
+    for _ in range(rounds if len(used) else 0):
+        value[used - 1] = used / length * np.exp(urgency * (covered[used].mean() - covered[used]))
+        config = tuple(knapsack(value, length))
+        kinds, times = np.unique(config, return_counts=True)
+        step = float(np.min(want[kinds] / times)) * share
+        amount[config] += step
+        covered[kinds] += step * times / want[kinds]
+    scale = max(float(covered[used].max(initial=0.0)), 1e-9)
+    return {config: x / scale for config, x in amount.items()}
+
+
+def rounded(amounts: list[tuple[tuple[int, ...], float]], scale: float, want: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, ...], int]]:
+    """(pieces left, whole sequences) of ``scale`` times the amounts; what rounding cuts off is carried to the next."""
+    left, plan, carry = want.copy(), {}, 0.0
+    for config, x in amounts:
+        carry += x * scale
+        kinds, times = np.unique(config, return_counts=True)
+        count = int(min(carry, np.min(left[kinds] // times)))
+        carry -= int(carry)
+        if count:
+            plan[config] = count
+            left[kinds] -= count * times
+    return left, plan
+
+
+def best_fit(left: np.ndarray, plan: dict[tuple[int, ...], int], length: int) -> dict[tuple[int, ...], int]:
+    """``plan`` and the pieces of ``left``, best fit, longest first, in groups of equal sequences."""
+    plan = defaultdict(int, plan)
     open_: dict[int, list[list]] = defaultdict(list)
     for size in range(length, 0, -1):
-        need = int(left[size])
-        room = size
+        need, room = int(left[size]), size
         while need and room <= length:
             groups = open_[room]
             while need and groups:
@@ -191,19 +199,38 @@ def solve(histogram: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS) ->
                     groups.append([config, count - take])
                 open_[room - size].append([(*config, size), take])
                 need -= take
+                if room >= 2 * size:  # a sequence that took one may be the best fit for the next too
+                    room = size
+                    groups = open_[room]
             room += 1
         while need:
-            each = length // size
-            if need >= each:
-                open_[length - each * size].append([(size,) * each, need // each])
-                need %= each
-            else:
-                open_[length - need * size].append([(size,) * need, 1])
-                need = 0
+            each = min(need, length // size)
+            open_[length - each * size].append([(size,) * each, need // each])
+            need %= each
     for groups in open_.values():
         for config, count in groups:
             plan[config] += count
-    return sorted(plan.items())
+    return plan
+
+
+def solve(histogram: np.ndarray, length: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how many sequences have each, covering ``histogram`` exactly.
+
+    ``histogram[l]`` pieces have length l. The fractional solution is rounded at
+    several scales, and what remains is packed best fit; the fewest sequences win.
+    """
+    want = histogram.astype(np.int64).copy()
+    whole = int(want[length])
+    want[length] = 0
+    amounts = sorted(fractional(want.astype(float), length, rounds).items(), key=lambda item: (-item[1], item[0]))
+    found = None
+    for scale in SCALES:
+        plan = best_fit(*rounded(amounts, scale, want), length)
+        if found is None or sum(plan.values()) < sum(found.values()):
+            found = plan
+    if whole:
+        found[(length,)] += whole
+    return sorted(found.items())
 
 
 def _places(plan: list[tuple[tuple[int, ...], int]], length: int) -> tuple[np.ndarray, ...]:
