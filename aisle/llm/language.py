@@ -152,11 +152,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(
-    documents: DataFrame, training: Column, rejected: float = 0.0005, slack_bits: float = 0.5,
+    documents: DataFrame, training: Column, rejected: float = 0.0005, slack_bits: float = 0.5, row_key: Column | None = None,
 ) -> DataFrame:
     """The language of every text of (doc_id, text, lang).
 
     ``training`` says which rows may be learned from; those with a null lang are not.
+    ``row_key``, if given, is returned as row_key beside doc_id, to find rows by their text.
     Returns per row doc_id, is_training, lang_pred, score (calibrated probability, 0 to
     1), cross_entropy of lang_pred and accepted. A text that is null or has no letter
     has lang_pred ``und``, score 0 and is not accepted. A text is not accepted either
@@ -164,10 +165,12 @@ def identify(
     share ``rejected`` of the training texts predicted so exceeds, plus ``slack_bits``.
     Equal scores go to the first language by name. Without training rows all are ``und``.
     """
-    rows = documents.select("doc_id", "text", "lang", F.coalesce(training, F.lit(False)).alias("is_training"))
+    key = [] if row_key is None else [row_key.alias("row_key")]
+    names_kept = ["doc_id", "is_training", *(["row_key"] if key else [])]
+    rows = documents.select("doc_id", "text", "lang", F.coalesce(training, F.lit(False)).alias("is_training"), *key)
     model = train(rows.where("is_training"))
     if not model.languages:
-        return rows.select("doc_id", "is_training", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+        return rows.select(*names_kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("accepted"))
     scored = written(score(rows, model), "language")
     names = F.array(*map(F.lit, model.languages))
@@ -192,7 +195,7 @@ def identify(
     limit = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair]) if limits else F.create_map(F.lit(""), F.lit(0.0))
     accepted = (F.col("n_letters") > 0) & F.coalesce(F.col("best") <= F.try_element_at(limit, F.col("lang_pred")), F.lit(False))
     return scored.select(
-        "doc_id", "is_training", "lang_pred",
+        *names_kept, "lang_pred",
         F.when(F.col("n_letters") > 0, probability(F.lit(t), F.col("best"))).otherwise(F.lit(0.0)).alias("score"),
         F.when(F.col("n_letters") > 0, F.col("best")).alias("cross_entropy"), accepted.alias("accepted"),
     )

@@ -2,13 +2,29 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which :func:`run` writes and rereads as the next one's docs.
+Filtering stages return the columns of documents, whatever they are called.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aisle.llm import shared, signature_tree
+from aisle.llm import language, packing, quality_rules, shared, signature_tree
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every quality rule lets pass."""
+    judged = quality_rules.judge(docs, keep=[*docs.columns])
+    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with calibrated confidence; the models learn from the same documents."""
+    found = shared.written(language.identify(docs, training=F.lit(True), row_key=F.xxhash64("text")), "languages")
+    gone = found.where("NOT accepted").select(F.col("row_key").alias("_key")).distinct()
+    return docs.join(gone, F.xxhash64("text") == F.col("_key"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +32,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return signature_tree.one_of_each(docs, words=5, num=80, den=100)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("quality_rules", quality),
+    ("language_id", languages),
     ("near_duplicates", near_duplicates),
+    ("best_fit_packing", packed),
 ]
 
+# Learned models and tokenizers are not SQL: tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
