@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aisle.llm.shared import written
+
 # Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their there they this to "
@@ -77,7 +79,7 @@ def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
     many of its rarest signatures as a similar set cannot all lack, in its own partition
     of set lengths and the next. Null ids are left out; empty tables give none.
     """
-    sets = prints.where("id IS NOT NULL").groupBy("signatures").agg(F.min("id").alias("id")).withColumn("n", F.size("signatures"))
+    sets = written(prints.where("id IS NOT NULL").groupBy("signatures").agg(F.min("id").alias("id")), "sets").withColumn("n", F.size("signatures"))
     single = sets.select("id", "n", F.explode("signatures").alias("s"))
     rarity = single.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # a signature of one set alone is the rarest and meets nothing: it only takes up a place
