@@ -26,7 +26,7 @@ ANCHORS = (
     "oder sich sie sind so über um und von vor war wie wird zu zum zur "
     "al como con del el ella ese esta este fue ha hay las lo los más muy no nos o para pero por sin sobre su sus también tan todo una uno y ya"
 ).split()
-_MARK = "\x01"
+_MARK, _END = "\x01", "\x02"
 BUCKET_BITS, LEVEL_BITS = 10, 14
 
 
@@ -39,8 +39,10 @@ def with_signatures(frame: DataFrame, text: str, into: str) -> DataFrame:
     words, spots = f"_{into}_words", f"_{into}_spots"
     split = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     marked = F.transform(split, lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit(_MARK), w)).otherwise(w))
-    # one entry per content word, with the common words before it
-    grouped = F.regexp_extract_all(F.array_join(marked, " "), F.lit(rf"(?:{_MARK}\S+ )*[^{_MARK} ]\S*"), F.lit(0))
+    # one entry per content word, with the common words before it; the end counts as one.
+    # Possessive repeats: the regex engine neither recurses nor goes back over long runs.
+    grouped = F.regexp_extract_all(
+        F.concat(F.array_join(marked, " "), F.lit(" " + _END)), F.lit(rf"(?<![^ ])(?:{_MARK}[^ ]++ )*+[^{_MARK} ][^ ]*+"), F.lit(0))
 
     def content(j):
         return F.substring_index(F.coalesce(F.get(F.col(spots), j), F.lit("")), " ", -1)
@@ -52,7 +54,7 @@ def with_signatures(frame: DataFrame, text: str, into: str) -> DataFrame:
         s.startswith(_MARK), number(F.substring_index(s, " ", -2), content(j + 1)))), lambda x: x.isNotNull())
     every = F.transform(F.col(spots), lambda s, j: number(content(j), content(j + 1)))
     frame = frame.withColumn(spots, grouped).withColumn(words, chains)
-    found = F.when(F.size(words) > 0, F.col(words)).when(F.size(spots) > 0, every).otherwise(
+    found = F.when(F.size(words) > 0, F.col(words)).when(F.size(spots) > 1, every).otherwise(
         F.array(number(F.lower(F.coalesce(F.col(text), F.lit(""))))))
     return frame.withColumn(into, F.array_sort(F.array_distinct(found))).drop(words, spots)
 
