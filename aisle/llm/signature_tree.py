@@ -40,6 +40,7 @@ FAN_OUT = 8
 SMALL_GROUP = 32
 BLOCK_SHINGLES = 4_000_000
 """Shingles of a block; a component with more is dealt out in several."""
+LIKELY_BITS = 1 << 26
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -260,6 +261,26 @@ def _possible_links(num: int, den: int):
     return run
 
 
+def _likely(spark, picked: DataFrame):
+    """Drops most rows of (d, mark, text) whose mark is not in ``picked``, before they are shuffled.
+
+    The marks are a bitmap of 16 bits a row, at most LIKELY_BITS; a fuller one lets more rows pass.
+    """
+    rows = picked.count()
+    bits = min(max(1 << (16 * max(rows, 1) - 1).bit_length(), 1 << 16), LIKELY_BITS)
+    slots = picked.select(F.pmod("mark", F.lit(bits)).alias("slot")).groupBy(F.expr("slot div 8").alias("byte")).agg(
+        F.expr("bit_or(shiftleft(1, cast(slot % 8 as int)))").alias("bits")).toArrow()  # at most LIKELY_BITS / 8 rows
+    table = np.zeros(bits // 8, np.uint8)
+    table[np.asarray(slots.column("byte"))] = np.asarray(slots.column("bits"))
+    held = spark.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            slot = np.asarray(batch.column("mark")) & (bits - 1)
+            yield batch.filter(pa.array((held.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+    return run
+
+
 def _set_rows(words: int):
     """(grp, part, side, id, settled, text) to the same rows with their sets."""
     def run(batches):
@@ -383,7 +404,8 @@ def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     picked = picked.join(near.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
     picked = written(picked.select("grp", "id", "n", "x.d", F.col("x.mark").alias("mark")), "picked")
     own = documents.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("mark"), "text")
-    with_sets = own.join(picked, ["d", "mark"]).select("grp", "id", "text").mapInArrow(
+    own = own.mapInArrow(_likely(spark, picked), "d long, mark long, text string")
+    with_sets = own.join(picked.hint("merge"), ["d", "mark"]).select("grp", "id", "text").mapInArrow(
         _set_rows(words), "grp long, id long, hashes binary")
 
     total = picked.groupBy("grp").agg(F.sum("n").alias("total"))
