@@ -289,6 +289,4 @@ RESULT_DESCRIPTION_CHARS = 200
 # --- vectors ----------------------------------------------------------------
 EMBEDDING_DIM = 384
 ENCODE_BATCH = 256
-IVF_THRESHOLD = 50_000
-IVF_MAX_CELLS = 100
 IVF_PROBES = 10

@@ -33,7 +33,9 @@ def with_paths(catalog: DataFrame) -> DataFrame:
 
 
 def _node_id(level: int, names: list[Column]) -> Column:
-    return F.concat_ws(":", F.lit(PREFIXES[level]), *names)
+    """The level names joined by ":"; one inside a name is escaped, so two paths never share an id."""
+    escaped = [F.replace(F.replace(n, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:")) for n in names]
+    return F.concat_ws(":", F.lit(PREFIXES[level]), *escaped)
 
 
 def build(catalog: DataFrame) -> DataFrame:
@@ -216,19 +218,20 @@ def beam(
         queries, nodes_at_level(nodes, 1), widths[1], "node_id", "cosine", block=block, fan_in=1
     )
     kept = top.select("query_id", F.col("target_id").alias("node_id"), F.array("score").alias("scores"))
-    entries = queries.select("query_id", vectors.nonzeros(F.col("embedding")).alias("_q"))
+    entries = queries.select(
+        "query_id", vectors.nonzeros(F.col("embedding")).alias("_q"), vectors.norm(F.col("embedding")).alias("_qn"))
     if block is not None and block.matrix.size <= BROADCAST_VALUES:
         entries = F.broadcast(entries)
     kept = kept.join(entries, "query_id")
     for level in (2, 3, 4):
         below = nodes_at_level(nodes, level).select(
             F.col("parent_id").alias("_parent"), F.col("node_id").alias("_child"),
-            F.col("embedding").alias("_v"),
+            F.col("embedding").alias("_v"), vectors.norm(F.col("embedding")).alias("_vn"),
         )
         scored = kept.join(below, F.col("node_id") == F.col("_parent")).select(
-            "query_id", "_q", "scores", "_parent", "_child",
-            F.round(
-                F.greatest(F.lit(0.0), vectors.dot_nonzeros(F.col("_q"), F.col("_v"))),
+            "query_id", "_q", "_qn", "scores", "_parent", "_child",
+            F.round(F.greatest(F.lit(0.0), F.coalesce(
+                F.try_divide(vectors.dot_nonzeros(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_vn")), F.lit(0.0))),
                 vectors.SCORE_DIGITS,
             ).alias("_score"),
         )
@@ -236,7 +239,7 @@ def beam(
         kept = (
             scored.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= widths[level])
             .select(
-                "query_id", "_q", F.col("_child").alias("node_id"),
+                "query_id", "_q", "_qn", F.col("_child").alias("node_id"),
                 F.concat("scores", F.array("_score")).alias("scores"),
             )
         )

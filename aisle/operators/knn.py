@@ -11,6 +11,7 @@ place. Above it the same scoring runs on co-grouped chunks of both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +39,6 @@ HELD_ROWS = 500_000
 MERGE_FAN_IN = 32
 #: Up to this many probed keys are pushed into the targets' scan.
 PUSHED_KEYS = 2_000
-#: Vectors per cell that centroids are trained on.
-TRAIN_ROWS_PER_CELL = 2_000
 #: Results up to this many rows are marked for broadcast in follow-up joins.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,10 +67,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector has only finite numbers."""
+    usual = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vector.isNotNull() & usual
+
+
 def query_block(queries: DataFrame, vector: str = "embedding", limit: int | None = None) -> QueryBlock | None:
     """The (query_id, vector) rows as a block, or None when there are too many."""
     limit = BLOCK_ROWS if limit is None else limit
-    table = queries.select("query_id", vector).limit(limit + 1).toArrow()
+    table = queries.where(finite(F.col(vector))).select("query_id", vector).limit(limit + 1).toArrow()
     if table.num_rows > limit:
         return None
     return QueryBlock(table.column(0).to_pylist(), _matrix(table.column(1)))
@@ -110,18 +115,24 @@ def _best(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per query the k best target positions; equal scores go to the lower position.
 
-    Scores become integers at the comparison precision, and the position fills
-    the low bits, so one partial sort settles order and ties.
+    Scores are compared in whole units of the comparison precision, as floating
+    numbers: no size of vector overflows them.
     """
     n = targets.shape[0]
     positions = np.arange(n, dtype=np.int64)
     for start in range(0, queries.shape[0], step):
         block = slice(start, start + step)
         scores = _similarity(queries[block], targets, metric) + offsets[block, None]
-        units = np.rint(scores * _SCALE).astype(np.int64)
-        order = -units * n + positions
-        keep = np.argpartition(order, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(positions, order.shape)
-        rows = np.repeat(np.arange(start, start + order.shape[0]), keep.shape[1])
+        units = np.rint(scores * _SCALE)
+        if n > k:
+            keep = np.argpartition(-units, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(units, keep, axis=1).min(axis=1, keepdims=True)
+            for row in np.flatnonzero((units >= last).sum(axis=1) > k):  # ties at the last place
+                above, equal = np.flatnonzero(units[row] > last[row]), np.flatnonzero(units[row] == last[row])
+                keep[row] = np.append(above, equal[: k - len(above)])
+        else:
+            keep = np.broadcast_to(positions, units.shape)
+        rows = np.repeat(np.arange(start, start + units.shape[0]), keep.shape[1])
         yield rows, keep.ravel(), np.take_along_axis(units, keep, axis=1).ravel()
 
 
@@ -208,8 +219,10 @@ def nearest(
     ``queries`` has query_id and a vector; score is minus the squared distance,
     the cosine or the dot product. With ``probes`` (query_id, key, offset) a
     query meets only targets whose ``key`` it probes, and the offset is added to
-    the score. Ties go to the smaller target id.
+    the score. Ties go to the smaller target id. Targets and queries whose vector is
+    null or holds a null, NaN or infinite number have no neighbours and are none.
     """
+    queries, targets = queries.where(finite(F.col(vector))), targets.where(finite(F.col(vector)))
     block = query_block(queries, vector) if block is None else block
     listed = None if probes is None or block is None else probe_list(probes)
     if block is not None and (probes is None or listed is not None):
@@ -353,29 +366,25 @@ class Cells:
 
 
 def default_cells(n: int) -> int:
-    return max(1, min(fv.IVF_MAX_CELLS, n // 10))
+    """As many cells as a cell has vectors on average."""
+    return max(1, math.isqrt(n))
 
 
 def build_cells(
     vectors: DataFrame, nlist: int | None = None, target_id: str = "product_id",
     vector: str = "embedding", seed: int = 42, max_iter: int = 10,
 ) -> Cells:
-    """Partition vectors by nearest k-means centroid.
-
-    Centroids are trained on about ``TRAIN_ROWS_PER_CELL`` vectors per cell;
-    every vector is then assigned, so the sample moves borders, not results.
-    """
+    """Partition vectors by nearest k-means centroid, trained on all of them."""
+    vectors = vectors.where(finite(F.col(vector)))
     n = vectors.count()
     nlist = default_cells(n) if nlist is None else nlist
     pointed = vectors.withColumn("_point", array_to_vector(vector))
     if nlist < 2:
         centre = vectors.limit(1).select(F.lit(0).alias("cell"), F.col(vector).alias("embedding"))
         return Cells(vectors.withColumn("cell", F.lit(0)), centre)
-    share = min(1.0, nlist * TRAIN_ROWS_PER_CELL / max(n, 1))
-    picked = F.pmod(F.xxhash64(target_id), F.lit(1_000_000)) < int(share * 1_000_000)
     model = KMeans(
         k=nlist, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cell",
-    ).fit(pointed.where(picked) if share < 1 else pointed)
+    ).fit(pointed)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = vectors.sparkSession.createDataFrame(centres, "cell int, embedding array<double>")
     return Cells(model.transform(pointed).drop("_point"), centroids)

@@ -13,7 +13,7 @@ from aisle.functions import intent
 from aisle.operators import hierarchy, knn
 from aisle.operators.catalog import filter_products
 from aisle.operators.encode import encode
-from aisle.operators.queries import refine, with_constraints
+from aisle.operators.queries import refine, validate, with_constraints
 from aisle.schema import RESULT_COLUMNS
 
 
@@ -29,6 +29,14 @@ class SearchIndex:
     flat_cells: knn.Cells | None = None
     enhanced_cells: knn.Cells | None = None
     dim: int = fv.EMBEDDING_DIM
+    #: Cells to probe per query; None searches exactly. Only the caller sets it, whatever the size.
+    nprobe: int | None = None
+
+    def approximate(self, nprobe: int = fv.IVF_PROBES) -> SearchIndex:
+        """This index with flat and enhanced searches limited to the ``nprobe`` nearest cells."""
+        if self.flat_cells is None or self.enhanced_cells is None:
+            raise ValueError("the index was saved without cells")
+        return replace(self, nprobe=nprobe)
 
     def loaded(self) -> list[str]:
         have = {
@@ -148,17 +156,17 @@ def _rows(block: knn.QueryBlock | None, k: int) -> int | None:
 
 def _flat_hits(
     queries: DataFrame, vectors: DataFrame, cells: knn.Cells | None, k: int,
-    block: knn.QueryBlock | None, nprobe: int | None = None,
+    block: knn.QueryBlock | None, nprobe: int | None,
 ) -> DataFrame:
-    if cells is not None:
-        return knn.ivf(queries, cells, k, fv.IVF_PROBES if nprobe is None else nprobe, block=block)
+    if nprobe is not None:
+        return knn.ivf(queries, cells, k, nprobe, block=block)
     return knn.flat(queries, vectors, k, block=block)
 
 
 def search_flat(queries: DataFrame, index: SearchIndex, k: int, block: knn.QueryBlock | None = None) -> DataFrame:
     """Nearest products by combined text. ``queries`` is encoded; fetch_k is optional."""
     block = knn.query_block(queries) if block is None else block
-    hits = _flat_hits(queries, index.flat, index.flat_cells, k, block)
+    hits = _flat_hits(queries, index.flat, index.flat_cells, k, block, index.nprobe)
     hits = _fetch_k(hits, queries, 1, _rows(block, k))
     found = attach_products(hits, index.catalog, _rows(block, k))
     return to_results(found, fv.FLAT, F.col("confidence"))
@@ -171,7 +179,7 @@ def search_enhanced(
     """Five times the wanted neighbours by enriched text, reranked by metadata, cut to k."""
     block = knn.query_block(queries) if block is None else block
     fetch = k * fv.OVERFETCH
-    hits = _flat_hits(queries, index.enhanced, index.enhanced_cells, fetch, block)
+    hits = _flat_hits(queries, index.enhanced, index.enhanced_cells, fetch, block, index.nprobe)
     hits = _fetch_k(hits, queries, fv.OVERFETCH, _rows(block, fetch))
     scored = attach_products(
         hits.withColumnRenamed("rank", "_previous"), index.catalog, _rows(block, fetch)
@@ -250,7 +258,7 @@ def intent_rerank(results: DataFrame, queries: DataFrame, k: int, rows: int | No
 def filtered_index(index: SearchIndex, **filters) -> SearchIndex:
     """The index restricted to matching products, so that top-k stays full.
 
-    Cell layouts are dropped: a filtered scan is exact.
+    An approximate index stays approximate: its cells are restricted too.
     """
     catalog = filter_products(index.catalog, **filters)
     ids = catalog.select("product_id")
@@ -258,9 +266,12 @@ def filtered_index(index: SearchIndex, **filters) -> SearchIndex:
     def keep(vectors: DataFrame | None) -> DataFrame | None:
         return None if vectors is None else vectors.join(ids, "product_id", "left_semi")
 
+    def keep_cells(cells: knn.Cells | None) -> knn.Cells | None:
+        return None if cells is None else replace(cells, vectors=keep(cells.vectors))
+
     return replace(
-        index, catalog=catalog, flat=keep(index.flat), enhanced=keep(index.enhanced),
-        leaves=keep(index.leaves), flat_cells=None, enhanced_cells=None,
+        index, catalog=catalog, flat=keep(index.flat), enhanced=keep(index.enhanced), leaves=keep(index.leaves),
+        flat_cells=keep_cells(index.flat_cells), enhanced_cells=keep_cells(index.enhanced_cells),
     )
 
 
@@ -270,8 +281,14 @@ def search(
     rewrites: DataFrame | None = None, rules: Mapping[str, str] | DataFrame | None = None,
     prepared: Prepared | None = None,
 ) -> DataFrame:
-    """Route a query table (query_id, query) to one model and apply shopper intent."""
-    k = max(1, min(int(k), fv.MAX_TOP_K))
+    """Route a query table (query_id, query) to one model and apply shopper intent.
+
+    Queries that ``queries.validate`` gives a reason against have no results.
+    """
+    if not 1 <= int(k) <= fv.MAX_TOP_K:
+        raise ValueError(f"k must be 1 to {fv.MAX_TOP_K}")
+    if prepared is None:
+        queries = validate(queries, k).where("reason IS NULL").drop("reason", "top_k")
     if filters:
         index = filtered_index(index, **filters)
     p = prepare(queries, k, dim=index.dim) if prepared is None else prepared

@@ -55,13 +55,13 @@ def build(enriched: DataFrame, dim: int = fv.EMBEDDING_DIM) -> SearchIndex:
 
 
 def with_cells(
-    index: SearchIndex, nlist: int | None = None, threshold: int = fv.IVF_THRESHOLD,
+    index: SearchIndex, nlist: int | None = None,
 ) -> SearchIndex:
-    """Cell layouts for the vector tables, when they hold at least ``threshold`` vectors."""
+    """The index with cell layouts beside its vector tables, for searches that ask for them."""
     changes = {}
     for name, base in CELL_TABLES.items():
         vectors = getattr(index, base)
-        if vectors is not None and vectors.count() >= threshold:
+        if vectors is not None:
             changes[name] = knn.build_cells(vectors, nlist)
     return replace(index, **changes)
 
@@ -75,17 +75,19 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None when there is none."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def save_all(index: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, nlist: int | None = None) -> None:
-    """Write every table of the index under ``base``, cells for large vector tables."""
+def save_all(index: SearchIndex, base: str, cells: bool = False, nlist: int | None = None) -> None:
+    """Write every table of the index under ``base``, on request also the layouts by cell."""
     save(index.catalog, f"{base}/catalog")
-    save_vectors(index, base, threshold, nlist)
+    save_vectors(index, base, cells, nlist)
 
 
-def save_vectors(index: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, nlist: int | None = None) -> None:
+def save_vectors(index: SearchIndex, base: str, cells: bool = False, nlist: int | None = None) -> None:
     """Write the index tables beside a catalogue that is already under ``base``.
 
     Leaves are laid out in ranges of product type, so that a search that descends
@@ -99,16 +101,17 @@ def save_vectors(index: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOL
         if name == "leaves":
             table = table.repartitionByRange("node_id", F.xxhash64("product_id")).sortWithinPartitions("node_id")
         save(table, f"{base}/{where}")
-    save_cells(load_all(index.catalog.sparkSession, base, index.dim), base, threshold, nlist)
+    if cells:
+        save_cells(load_all(index.catalog.sparkSession, base, index.dim), base, nlist)
 
 
-def save_cells(saved: SearchIndex, base: str, threshold: int = fv.IVF_THRESHOLD, nlist: int | None = None) -> None:
-    """Add the by-cell layout of each saved vector table that is large enough.
+def save_cells(saved: SearchIndex, base: str, nlist: int | None = None) -> None:
+    """Add the by-cell layout of each saved vector table.
 
     Rebalancing by cell keeps small cells in one file and splits large ones,
     instead of one file per task and cell.
     """
-    grown = with_cells(saved, nlist, threshold)
+    grown = with_cells(saved, nlist)
     for name, base_name in CELL_TABLES.items():
         cells = getattr(grown, name)
         if cells is not None:

@@ -380,9 +380,6 @@ CTES["name_sim"] = """
 SELECT a.id AS query_id, t.id AS name, round(greatest(0.0::DOUBLE, sum(a.w * t.w) / (qn * tn)), 9) AS cos
 FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY id)) AS qn FROM q_vec) a
 JOIN (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY id)) AS tn FROM name_vec) t USING (b) GROUP BY 1, 2, qn, tn"""
-CTES["dot_sim"] = """
-SELECT a.id AS query_id, t.id AS name, round(sum(a.w * t.w), 9) AS cos
-FROM q_vec a JOIN name_vec t USING (b) GROUP BY 1, 2"""
 CTES["beam_1"] = """
 SELECT query_id, node_id, coalesce(cos, 0) AS s1 FROM (SELECT w.query_id, n.node_id, n.name FROM wants w CROSS JOIN nodes n WHERE level = 1)
 LEFT JOIN name_sim USING (query_id, name)
@@ -393,7 +390,7 @@ for _level, _width in ((2, 5), (3, 5), (4, 3)):
 SELECT query_id, node_id, {_before}, s{_level} FROM (
   SELECT p.query_id, n.node_id, n.parent_id, {_before}, coalesce(cos, 0) AS s{_level}
   FROM beam_{_level - 1} p JOIN nodes n ON n.parent_id = p.node_id
-  LEFT JOIN dot_sim d ON d.query_id = p.query_id AND d.name = n.name)
+  LEFT JOIN name_sim d ON d.query_id = p.query_id AND d.name = n.name)
 QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY s{_level} DESC, node_id) <= {_width}"""
 CTES["leaf_sim"] = """
 SELECT a.id AS query_id, t.id AS product_id, round(sum(a.w * t.w) / (qn * tn), 12) AS cos

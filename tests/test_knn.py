@@ -86,7 +86,7 @@ def test_few_probes_return_a_subset_of_cells(spark, big):
 
 
 def test_default_cells():
-    assert [knn.default_cells(n) for n in (5, 10, 200, 5000)] == [1, 1, 20, 100]
+    assert [knn.default_cells(n) for n in (5, 10, 200, 5000)] == [2, 3, 14, 70]
 
 
 def test_offsets_are_added_per_probe(spark):
@@ -138,3 +138,21 @@ def test_user_model_sees_distinct_texts_in_batches(spark):
     for distinct in (True, False):
         out = encode.encode_with(df, "t", load, batch_size=4, normalize=False, distinct=distinct)
         assert [list(r.embedding) for r in out.collect()] == [[2.0, 1.0]] * 50
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e3, 1e6])
+def test_neighbours_of_vectors_of_any_size(spark, scale):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(400, 8)) * scale
+    frame = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "product_id bigint, embedding array<double>")
+    asked = frame.where("product_id % 40 = 0").withColumnRenamed("product_id", "query_id")
+    found = knn.flat(asked, frame, 3).where("rank = 1").collect()
+    assert {r.query_id for r in found} == set(range(0, 400, 40))
+    assert all(r.query_id == r.target_id for r in found)
+
+
+def test_vectors_that_are_not_numbers_have_no_neighbours(spark):
+    rows = [(1, [0.0, 1.0]), (2, [float("nan"), 0.0]), (3, None), (4, [float("inf"), 0.0]), (5, [0.5, 0.5]), (6, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "product_id bigint, embedding array<double>")
+    found = knn.flat(frame.withColumnRenamed("product_id", "query_id"), frame, 5).collect()
+    assert {(r.query_id, r.target_id) for r in found} == {(1, 1), (1, 5), (5, 1), (5, 5)}

@@ -169,7 +169,7 @@ def test_timed_benchmark(queries, index, tmp_path):
 
 
 def test_cells_are_used_and_saved_when_large(spark, queries, index, tmp_path):
-    tables.save_all(index, str(tmp_path), threshold=5, nlist=2)
+    tables.save_all(index, str(tmp_path), cells=True, nlist=2)
     saved = tables.load_all(spark, str(tmp_path), 64)
     assert saved.flat_cells is not None and saved.enhanced_cells is not None
     from aisle.operators import knn
@@ -189,3 +189,37 @@ def test_list_models(spark, index, tmp_path):
     assert tables.load_all(spark, str(tmp_path)).loaded() == [fv.FLAT]
     with pytest.raises(ValueError, match="no catalogue"):
         tables.load_all(spark, f"{tmp_path}/none")
+
+
+def test_node_ids_are_unique_when_names_hold_colons(spark, catalog):
+    rows = [("A:B", "C"), ("A", "B:C"), ("A\\", ":B"), ("A", "C")]
+    frame = spark.createDataFrame([(f"P{i}", *r, "S", "T", "n") for i, r in enumerate(rows)],
+                                  "product_id string, department string, category string, subcategory string, product_type string, product_name string")
+    nodes = hierarchy.build(frame).collect()
+    assert len({n.node_id for n in nodes}) == len(nodes)
+
+
+def test_beam_ranks_by_angle_not_by_length(spark):
+    nodes = spark.createDataFrame([
+        ("d", "ROOT", 1, [1.0, 0.0]), ("c1", "d", 2, [3.0, 4.0]), ("c2", "d", 2, [1.0, 0.0]),
+        ("s1", "c1", 3, [1.0, 0.0]), ("s2", "c2", 3, [1.0, 0.0]), ("t1", "s1", 4, [1.0, 0.0]), ("t2", "s2", 4, [1.0, 0.0]),
+    ], "node_id string, parent_id string, level int, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    assert [r.key for r in hierarchy.beam(asked, nodes, {1: 1, 2: 1, 3: 1, 4: 1}).collect()] == ["t2"]
+
+
+def test_blank_queries_and_large_k_are_rejected(spark, index):
+    asked = spark.createDataFrame([("a", "  "), ("b", "yoga mat"), ("c", "x" * 600)], "query_id string, query string")
+    assert {r.query_id for r in ranking.search(asked, index, fv.FLAT, 3).collect()} == {"b"}
+    with pytest.raises(ValueError, match="k must be"):
+        ranking.search(asked, index, fv.FLAT, 51)
+
+
+def test_cells_are_searched_only_on_request(spark, queries, index, tmp_path):
+    tables.save_all(index, str(tmp_path), cells=True, nlist=5)
+    saved = tables.load_all(spark, str(tmp_path), 64)
+    exact = sorted(map(tuple, ranking.search(queries, index, fv.FLAT, 3).collect()))
+    assert sorted(map(tuple, ranking.search(queries, saved, fv.FLAT, 3).collect())) == exact
+    assert sorted(map(tuple, ranking.search(queries, saved.approximate(5), fv.FLAT, 3).collect())) == exact
+    with pytest.raises(ValueError, match="without cells"):
+        index.approximate()
