@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from aisle.llm.batches import Words, chunks
 
-WORD_CACHE = 150_000
-PAIR_CACHE = 2_000_000
+WORD_CACHE, PIECE_CACHE, PAIR_CACHE = 250_000, 400_000, 1_000_000
+"""Remembered at most, per worker process."""
 CHUNK = 4 << 20
 
 
@@ -61,15 +61,24 @@ class Encoder:
                 self.rank[made], self.parts[made] = rank, (a, b)
         self.end = ""  # stands for the word end, one letter for the automaton
         self.automaton = ahocorasick.Automaton()
+        keys = {}
         for name, i in self.vocab.items():
             ends = bool(self.suffix) and name.endswith(self.suffix)
-            key = name[: -len(self.suffix)] + self.end if ends else name
-            self.automaton.add_word(key, (len(key), i))
+            keys[name[: -len(self.suffix)] + self.end if ends else name] = i
+        self.length, self.shorter = [0] * size, [-1] * size
+        for key, i in keys.items():
+            self.automaton.add_word(key, (len(key) - 1, i))
+            self.length[i] = len(key)
+            for cut in range(len(key) - 1, 0, -1):  # the longest token that this one begins with
+                if (prefix := keys.get(key[:cut])) is not None:
+                    self.shorter[i] = prefix
+                    break
         self.automaton.make_automaton()
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.letter = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.compatible_pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, list[int]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the two tokens stay apart when merges run on their joined text."""
@@ -97,31 +106,37 @@ class Encoder:
         if self.suffix:
             text += self.end
         n = len(text)
-        matches: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.automaton.iter(text):
-            matches[end - length + 1].append((length, token))
-        open_, taken, place = [True] * (n + 1), [], 0  # taken: (token, start, matches not yet tried)
-        left = len(matches[0])
+        longest = [-1] * n
+        for end, (back, token) in self.automaton.iter(text):
+            longest[end - back] = token  # matches come by their end, so the longest is the last
+        open_, taken, place = [True] * (n + 1), [], 0
+        token, last = longest[0], -1
+        length, shorter, pairs = self.length, self.shorter, self.compatible_pairs
         while place < n:
-            found = matches[place]
-            while left:
-                left -= 1
-                length, token = found[left]  # longest first
-                if open_[place + length] and (not taken or self.compatible(taken[-1][0], token)):
-                    taken.append((token, place, left))
-                    place += length
-                    left = len(matches[place]) if place < n else 0
+            while token >= 0:
+                end = place + length[token]
+                if open_[end] and (last < 0 or (pairs[last, token] if (last, token) in pairs else self.compatible(last, token))):
+                    taken.append(token)
+                    place, last = end, token
+                    token = longest[place] if place < n else -1
                     break
+                token = shorter[token]
             else:
                 if not taken:
                     raise ValueError("the vocabulary lacks a byte letter")
                 open_[place] = False
-                _, place, left = taken.pop()
-        return [t[0] for t in taken]
+                undone = taken.pop()
+                place -= length[undone]
+                token, last = shorter[undone], taken[-1] if taken else -1
+        return taken
 
     def word(self, text: str) -> list[int]:
         """Tokens of a text without white space."""
         ids: list[int] = []
+        if text.isascii() and "<" not in text:  # already composed, and no special token
+            for found in self.pieces.findall(text.lower()):
+                ids += self._known(found)
+            return ids
         for part in self.split_special.split(text) if self.split_special else [text]:
             if part in self.special:
                 ids.append(self.special[part])
@@ -129,9 +144,19 @@ class Encoder:
                 # letter by letter: a final sigma is not told from others
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 for found in self.pieces.findall(part):
-                    ids += self.piece("".join(map(self.letter.__getitem__, found.encode())))
+                    ids += self._known(found)
         return ids
 
+    def _known(self, text: str) -> list[int]:
+        """Tokens of one piece of normalised text."""
+        found = self.known.get(text)
+        if found is None:
+            if len(self.known) > PIECE_CACHE:
+                self.known.clear()
+            found = self.known[text] = self.piece(
+                text if text.isascii() and text.isalnum() else "".join(map(self.letter.__getitem__, text.encode())))
+        return found
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' texts, joined by blanks as a tokenizer file without decoder has it."""
         at, data = self.offsets, self.bytes
@@ -144,6 +169,7 @@ def _encoder(file: str) -> Encoder:
 
 
 _WORDS: dict[int, tuple[str, str, int]] = {}
+_CASE = [True]
 
 
 def encode(documents: DataFrame, tokenizer: str, keep: list[str] | tuple = ("doc_id",), with_text: bool = False) -> DataFrame:
@@ -164,7 +190,12 @@ def encode(documents: DataFrame, tokenizer: str, keep: list[str] | tuple = ("doc
         for batch in batches:
             for row, data, offsets in chunks(batch.column("text"), CHUNK):
                 words = Words(data, offsets)
-                hashes, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                # case makes no difference, except in the names of special tokens
+                folded = b"<" not in data.tobytes()
+                hashes, first, place = np.unique(words.hashes(lower=folded), return_index=True, return_inverse=True)
+                if folded != _CASE[0]:
+                    _WORDS.clear()
+                    _CASE[0] = folded
                 if len(_WORDS) > WORD_CACHE:
                     _WORDS.clear()
                 ids, decoded, count = np.empty(len(hashes), object), np.empty(len(hashes), object), np.zeros(len(hashes), np.int64)

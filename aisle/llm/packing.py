@@ -13,11 +13,15 @@ its place from its rank among the pieces of its length, which Spark counts in bu
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +34,56 @@ ROUNDS, URGENCY, SHARE = 400, 30.0, 1.0
 SCALES = (2.0, 1.0, 0.5)
 """Multiples of the fractional solution that are rounded; best fit packs the rest."""
 BUCKETS = 64
-CACHE = 400_000
+CHUNK = 4 << 20
 _WHITE = {bytes.fromhex(h) for h in "c285 c2a0 e19a80 e280a8 e280a9 e280af e2819f e38080".split()} | {bytes([0xE2, 0x80, k]) for k in range(0x80, 0x8B)}
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(file: str):
-    from tokenizers import Tokenizer
+SEPARATOR = "\U0010fffe\U0010ffff"
+"""Not a text: put between stretches that are encoded in one call."""
+
+
+class Tokenizer:
+    """The byte-level BPE of a tokenizer file.
+
+    If the file's merges are in the order of its ids, as byte-level files have them, tokens
+    are ranks and many stretches are encoded in one call; else each is encoded alone.
+    """
+
+    def __init__(self, file: str):
+        spec = json.loads(file)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        base = len(vocab) - len(pairs)
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in visible)}
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.ranks = None
+        if plain and base == 256 and all(vocab[a + b] == base + k for k, (a, b) in enumerate(pairs)):
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            self.separator = max([*vocab.values(), *special.values()]) + 1
+            self.ranks = tiktoken.Encoding(
+                "file", pat_str=public_tokenizers.PATTERN, special_tokens=special | {SEPARATOR: self.separator},
+                mergeable_ranks={bytes(byte[c] for c in token): i for token, i in vocab.items()})
+        else:
+            self.plain = tokenizers.Tokenizer.from_str(file)
 
-    return Tokenizer.from_str(file)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        joined = SEPARATOR.join(texts)
+        if self.ranks is None or joined.count(SEPARATOR) != len(texts) - 1:
+            one = self.plain.encode if self.ranks is None else lambda t, **_: self.ranks.encode(t, allowed_special=self.ranks.special_tokens_set - {SEPARATOR}, disallowed_special=())
+            lists = [getattr(x := one(t, add_special_tokens=False), "ids", x) for t in texts]
+            return np.array([i for ids in lists for i in ids], np.uint32), np.array(list(map(len, lists)), np.int64)
+        ids = np.array(self.ranks.encode(joined, allowed_special="all", disallowed_special=()), np.uint32)
+        apart = ids == self.separator
+        ends = np.append(np.flatnonzero(apart), len(ids))
+        return ids[~apart], np.diff(np.append(-1, ends)) - 1
+
+
+@functools.lru_cache(maxsize=2)
+def _tokenizer(file: str) -> Tokenizer:
+    return Tokenizer(file)
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,34 +107,12 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, np.append(start[1:], n)
 
 
-class _Known:
-    """Token ids of the segments met so far in this worker process."""
-
-    def __init__(self):
-        self.place: dict[int, int] = {}
-        self.ids: list[list[int]] = []
-
-
-_KNOWN = _Known()
-
-
 def token_ids(file: str, data: np.ndarray, offsets: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds) of the texts of a chunk; each text ends with the id ``end``."""
-    global _KNOWN
     start, stop = _segments(data, offsets)
     hashes, first, place = np.unique(span_hashes(data, start, stop), return_index=True, return_inverse=True)
-    if len(_KNOWN.place) > CACHE:
-        _KNOWN = _Known()
-    known = _KNOWN
-    keys = hashes.tolist()
-    new = [k for k, key in enumerate(keys) if key not in known.place]
-    texts = [data[a:b].tobytes().decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)]
-    for k, found in zip(new, _tokenizer(file).encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        known.place[keys[k]] = len(known.ids)
-        known.ids.append(found.ids)
-    lists = [known.ids[known.place[key]] for key in keys]
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(size.sum()))
+    texts = [data[a:b].tobytes().decode() for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+    flat, size = _tokenizer(file).encode(texts) if texts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     begin = np.cumsum(size) - size
     # the ids of all segments in order, with room for the end of each text
     counts = size[place]
@@ -109,7 +132,7 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in chunks(batch.column("text")):
+            for row, data, offsets in chunks(batch.column("text"), CHUNK):
                 ids, bounds = token_ids(held.value, data, offsets, end)
                 n = np.diff(bounds)
                 many = -(-n // length)
