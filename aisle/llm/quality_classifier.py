@@ -41,12 +41,14 @@ def index_places() -> tuple[np.ndarray, np.ndarray]:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots, bounds) of the words and marks of the texts of a chunk."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     kind = _KIND[data]
     cut = np.append(True, kind[1:] != kind[:-1])
     cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(data))
-    visible = kind[start] > 0 if len(start) else np.zeros(0, bool)
+    visible = kind[start] > 0
     start, end = start[visible], end[visible]
     return (span_hashes(data, start, end) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.searchsorted(start, offsets)
 
