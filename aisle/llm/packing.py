@@ -34,7 +34,7 @@ ROUNDS, URGENCY, SHARE = 400, 30.0, 1.0
 SCALES = (2.0, 1.0, 0.5)
 """Multiples of the fractional solution that are rounded; best fit packs the rest."""
 BUCKETS = 64
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 _WHITE = {bytes.fromhex(h) for h in "c285 c2a0 e19a80 e280a8 e280a9 e280af e2819f e38080".split()} | {bytes([0xE2, 0x80, k]) for k in range(0x80, 0x8B)}
 
 

@@ -24,6 +24,19 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone(key)``, a written table of one number a row.
+
+    Up to BROADCAST_ROWS numbers (counted) are broadcast, so the rows stay where they
+    are; more are joined by a shuffle.
+    """
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key``; at least ``rows`` rows but for the last."""
     held: list[pa.RecordBatch] = []

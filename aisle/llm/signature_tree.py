@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aisle.llm.batches import Words, chunks, mix
-from aisle.llm.shared import Union, components, whole_groups, written
+from aisle.llm.shared import Union, components, whole_groups, without, written
 
 SLOTS = 1 << 18
 FAN_OUT = 8
@@ -438,7 +438,7 @@ def one_of_each(documents: DataFrame, words: int = 5, num: int = 80, den: int =
     """
     labels = written(linked(documents, words, num, den), "labels")
     gone = labels.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = documents.join(gone, "doc_id", "left_anti")
+    kept = without(documents, written(gone, "gone"), "doc_id")
     lost = labels.where("doc_id IS NULL AND component_id IS NOT NULL")
     if not lost.isEmpty():
         kept = kept.where("doc_id IS NOT NULL")

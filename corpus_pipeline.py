@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with calibrated confidence; the models learn from the same documents."""
     found = shared.written(language.identify(docs, training=F.lit(True), row_key=F.xxhash64("text")), "languages")
-    gone = found.where("NOT accepted").select(F.col("row_key").alias("_key")).distinct()
-    return docs.join(gone, F.xxhash64("text") == F.col("_key"), "left_anti")
+    gone = shared.written(found.where("NOT accepted").select(F.col("row_key").alias("_text_hash")).distinct(), "gone")
+    return shared.without(docs.withColumn("_text_hash", F.xxhash64("text")), gone, "_text_hash").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
