@@ -27,6 +27,10 @@ TEMPERATURES = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
 """Multipliers of the cross-entropy that calibration chooses from."""
 UNKNOWN = "und"
 BITS = letters.SYMBOL_BITS
+CHUNK = 1 << 19
+"""Bytes of text worked on at once; a longer single text is one chunk of its own."""
+BLOCK = 1 << 18
+"""Symbols scored at once, in all languages; bounds a task's memory whatever the text."""
 
 
 class Model(NamedTuple):
@@ -43,6 +47,15 @@ class Model(NamedTuple):
     """log₂ probability of every symbol after every other, per language."""
 
 
+def _tally(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and how often each occurs."""
+    if len(grams) < 1 << 17:
+        return np.unique(grams, return_counts=True)
+    n = np.bincount(grams, minlength=1 << 3 * BITS)
+    seen = np.flatnonzero(n)
+    return seen, n[seen]
+
+
 def _gram_counts(training: DataFrame) -> DataFrame:
     """(lang, gram, n) over the whole texts of (text, lang)."""
     def count(batches):
@@ -50,17 +63,13 @@ def _gram_counts(training: DataFrame) -> DataFrame:
             labels = batch.column("lang").dictionary_encode()
             names = labels.dictionary.to_pylist()
             label = np.asarray(labels.indices)
-            total: dict[int, np.ndarray] = {}
-            for row, data, offsets in chunks(batch.column("text")):
+            for row, data, offsets in chunks(batch.column("text"), CHUNK):
                 symbols, bounds, _ = letters.sequences(data, offsets)
                 packed, ends = letters.histories(symbols, bounds, 3)
                 text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
                 for k in range(len(names)):
-                    n = np.bincount(packed[label[row + text] == k], minlength=1 << 3 * BITS)
-                    total[k] = total[k] + n if k in total else n
-            for k, n in total.items():
-                seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"lang": [names[k]] * len(seen), "gram": seen, "n": n[seen]})
+                    seen, n = _tally(packed[label[row + text] == k])
+                    yield pa.RecordBatch.from_pydict({"lang": [names[k]] * len(seen), "gram": seen, "n": n})
 
     return training.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
@@ -114,22 +123,31 @@ def train(training: DataFrame) -> Model:
     return Model(languages, all_grams, stack(0), contexts, stack(1), stack(2))
 
 
-def cross_entropies(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Bits per symbol of each text in each language."""
-    size = 1 << BITS
-    packed, ends = letters.histories(symbols, bounds, 3)
+def _log_p(model: Model, packed: np.ndarray) -> np.ndarray:
+    """log₂ probability of the last symbol of each packed trigram, per language."""
     at = np.minimum(np.searchsorted(model.trigrams, packed), max(len(model.trigrams) - 1, 0))
     known = model.trigrams[at] == packed
-    bits = np.zeros((len(packed) + 1, len(model.languages)))
     rows = np.empty((len(packed), len(model.languages)), np.float32)
     rows[known] = model.log_p[at[known]]
     new = packed[~known]
     context = new >> BITS
     where = np.minimum(np.searchsorted(model.contexts, context), max(len(model.contexts) - 1, 0))
     left = np.where((model.contexts[where] == context)[:, None], model.log_backoff[where], 0)
-    rows[~known] = left + model.log_bigram[context & (size - 1), new & (size - 1)]
-    np.cumsum(-rows, axis=0, dtype=np.float64, out=bits[1:])
-    return (bits[ends[1:]] - bits[ends[:-1]]) / np.maximum(np.diff(ends), 1)[:, None]
+    rows[~known] = left + model.log_bigram[context & ((1 << BITS) - 1), new & ((1 << BITS) - 1)]
+    return rows
+
+
+def cross_entropies(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bits per symbol of each text in each language."""
+    packed, ends = letters.histories(symbols, bounds, 3)
+    bits = np.zeros((len(ends) - 1, len(model.languages)))
+    for a in range(0, len(packed), BLOCK):
+        b = min(a + BLOCK, len(packed))
+        total = np.zeros((b - a + 1, len(model.languages)))
+        np.cumsum(_log_p(model, packed[a:b]), axis=0, dtype=np.float64, out=total[1:])
+        inside = np.clip(ends, a, b) - a  # a text over several blocks is summed block by block
+        bits -= total[inside[1:]] - total[inside[:-1]]
+    return bits / np.maximum(np.diff(ends), 1)[:, None]
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -138,7 +156,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in chunks(batch.column("text")):
+            for row, data, offsets in chunks(batch.column("text"), CHUNK):
                 symbols, bounds, count = letters.sequences(data, offsets)
                 values = cross_entropies(held.value, symbols, bounds).astype(np.float32)
                 part = batch.slice(row, len(count))
