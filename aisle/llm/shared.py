@@ -25,6 +25,7 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 
 BROADCAST_ROWS = 1_000_000
+HELD_BYTES = 64 << 20
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -38,13 +39,14 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by ``key``; at least ``rows`` rows but for the last."""
+    """Tables of whole groups from batches sorted by ``key``; at least ``rows`` rows or HELD_BYTES but for the last."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
     for batch in batches:
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        size += batch.nbytes
+        if count < rows and size < HELD_BYTES:
             continue
         table = pa.Table.from_batches(held)
         keys = np.asarray(table.column(key))
@@ -53,6 +55,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000
             yield table.slice(0, cut)
             held = table.slice(cut).combine_chunks().to_batches()
             count = table.num_rows - cut
+            size = sum(b.nbytes for b in held)
     if count:
         yield pa.Table.from_batches(held)
 

@@ -15,6 +15,7 @@ How it runs on Spark, none of it on pairs of all documents:
    found by counting all shingles of all documents in a fixed number of slots.
 3. Classes that meet at a shingle are joined there by a tree of bitmaps. What
    survives is a superset of the links; only a spanning forest of it is passed on.
+   A meeting too large for a task is passed on whole, as a star (see :func:`_stars`).
 4. Its connected components are small, and each has all links of its members:
    there a second tree, checked by exact set overlap, finds the links. A component
    too large for a task is dealt out in blocks (see :func:`_large`).
@@ -33,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aisle.llm.batches import Words, chunks, mix
-from aisle.llm.shared import Union, components, whole_groups, without, written
+from aisle.llm.shared import BROADCAST_ROWS, Union, components, whole_groups, without, written
 
 SLOTS = 1 << 18
 FAN_OUT = 8
 SMALL_GROUP = 32
 BLOCK_SHINGLES = 4_000_000
-"""Shingles of a block; a component with more is dealt out in several."""
+"""Shingles of a block; a component with more is dealt out in several, a meeting with more is not gathered."""
+MAP_BITS = 1 << 29
+"""Bits of all bitmaps of one exact comparison."""
 LIKELY_BITS = 1 << 26
 
 
@@ -213,6 +216,30 @@ def _meetings(num: int, den: int):
     return run
 
 
+def _stars(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Of (token, id, n): the members of each token and size class linked with the smallest id among them.
+
+    No task gathers a meeting: the smallest ids are aggregated before the shuffle and
+    broadcast back if they are few. A class meets at its rare shingles first, so what
+    meets at such a common one consists of common ones nearly whole; the exact step decides.
+    """
+    def classes(batches):
+        for batch in batches:
+            size = np.asarray(batch.column("n"))
+            known = {n: _classes_of(n, num, den) for n in np.unique(size).tolist()}
+            found = [known[n] for n in size.tolist()]
+            row = np.repeat(np.arange(len(size)), [len(c) for c in found])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("token").take(pa.array(row)), pa.array([c for many in found for c in many], pa.int32()),
+                batch.column("id").take(pa.array(row))], ["token", "class", "id"])
+
+    rows = members.select("token", "id", "n").mapInArrow(classes, "token long, class int, id long")
+    ends = written(rows.groupBy("token", "class").agg(F.min("id").alias("b")), "stars")
+    few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ends) if few else ends, ["token", "class"]).where("id <> b").select(
+        F.col("id").alias("a"), "b").distinct()
+
+
 def _possible_links(num: int, den: int):
     """Of (key, id, n, bitmap) sorted by key: a spanning forest of the pairs whose bitmaps allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +339,7 @@ def _exact_links(num: int, den: int):
                 size = np.array([len(s) for s in sets])
                 order = np.argsort(size, kind="stable")
                 rows, sets, size = rows[order], [sets[k] for k in order], size[order]
-                bits = 1 << int(min(max(int(size.max()).bit_length() + 1, 6), 16))
+                bits = 1 << max(min(int(size.max()).bit_length() + 1, 16, (MAP_BITS // len(sets)).bit_length() - 1), 6)
                 maps = np.stack([np.frombuffer(_bitmap(s, bits), np.uint8) for s in sets])
                 union = Union(len(rows))
                 start: dict[int, int] = {}
@@ -336,14 +363,23 @@ def _links_within(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_exact_links(num, den), "a long, b long")
 
 
-def _large(sets: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+def _salted(rows: DataFrame, by: list[str], block: int) -> DataFrame:
+    """``rows`` with ``chunk``: each group of ``by`` in as many as hold ``block`` shingles each."""
+    chunks_of = written(rows.groupBy(*by).agg(F.expr(f"sum(n) div {block} + 1").alias("chunks")), "chunks")
+    few = chunks_of.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(chunks_of) if few else chunks_of, by).withColumn(
+        "chunk", F.expr("pmod(xxhash64(id, 1), chunks)")).drop("chunks")
+
+
+def _large(sets: DataFrame, blocks: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Links of the components dealt out in blocks.
 
     First links within blocks, then links between two members of every part found
-    so far (its smallest and its largest set). Parts of one large group of near
-    copies meet there, so what remains is the sets outside the component's most
-    frequent part: they are compared with every block. Nothing is left out, and a
-    group of near copies is not compared with itself block by block.
+    so far (its smallest and its largest set), parts of about as many sets together.
+    Parts of one large group of near copies meet there, so what remains is the sets
+    outside the component's most frequent part: they are compared with every block,
+    a chunk of them at a time. Nothing is left out, no task holds more than a block
+    and a chunk, and a group of near copies is not compared with itself block by block.
     """
     rows = written(sets.join(blocks, ["grp", "id"]).withColumn("n", F.expr("length(hashes) div 8")), "blocks")
     inner = written(_links_within(
@@ -351,22 +387,24 @@ def _large(sets: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
     part = components(inner)
     rows = rows.join(part.withColumnsRenamed({"node": "id", "component": "part"}), "id", "left").withColumn(
         "part", F.coalesce("part", "id"))
-    ends = rows.groupBy("grp", "part").agg(F.min_by("id", "n").alias("x"), F.max_by("id", "n").alias("y")).select(
-        F.explode(F.array_distinct(F.array("x", "y"))).alias("id"))
-    pivots = rows.join(ends, "id", "left_semi").select(
-        F.xxhash64("grp", F.expr("shiftleft(1, cast(log2(n) as int))")).alias("key"), "id", F.col("part").alias("settled"), "hashes")
-    across = written(_links_within(pivots, num, den), "links")
+    ends = rows.groupBy("grp", "part").agg(
+        F.min_by("id", "n").alias("x"), F.max_by("id", "n").alias("y"), F.expr("cast(log2(count(*)) as int) div 3").alias("many")).select(
+        F.explode(F.array_distinct(F.array("x", "y"))).alias("id"), "many").withColumn("many", F.explode(F.expr("array(many, many + 1)")))
+    pivots = _salted(rows.join(ends, "id").withColumn("sized", F.expr("cast(log2(n) as int)")), ["grp", "sized", "many"], block)
+    across = written(_links_within(pivots.select(
+        F.xxhash64("grp", "sized", "many", "chunk").alias("key"), "id", F.col("part").alias("settled"), "hashes"), num, den), "links")
     part = components(inner.unionByName(across))
     rows = written(rows.drop("part").join(part.withColumnsRenamed({"node": "id", "component": "part"}), "id", "left").withColumn(
         "part", F.coalesce("part", "id")), "blocks")
     counts = rows.groupBy("grp", "part").count()
     main = counts.groupBy("grp").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    others = rows.join(main, "grp").where("part <> main")
+    others = written(_salted(rows.join(main, "grp").where("part <> main"), ["grp"], block), "others")
     places = blocks.select("grp", F.col("block").alias("place")).distinct()
-    sent = others.join(places, "grp").where("block <> place").select("grp", F.col("place").alias("block"), "id", "part", "hashes")
-    met = rows.select("grp", "block", "id", "part", "hashes").join(sent.select("grp", "block").distinct(), ["grp", "block"], "left_semi")
+    sent = others.join(places, "grp").where("block <> place").select("grp", F.col("place").alias("block"), "chunk", "id", "part", "hashes")
+    met = rows.select("grp", "block", "id", "part", "hashes").join(
+        others.select("grp", "chunk").distinct(), "grp").select("grp", "block", "chunk", "id", "part", "hashes")
     last = _links_within(met.unionByName(sent).select(
-        F.xxhash64("grp", "block").alias("key"), "id", F.col("part").alias("settled"), "hashes"), num, den)
+        F.xxhash64("grp", "block", "chunk").alias("key"), "id", F.col("part").alias("settled"), "hashes"), num, den)
     return inner.unionByName(across).unionByName(last)
 
 
@@ -387,16 +425,19 @@ def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     described = written(_described(documents, words, num, den, common), "sets")
     sets = described.where("n > 0")
 
-    firsts = sets.select("id", "n", "first").dropDuplicates(["id"]).select(
-        "id", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("place", "token"))
-    shared = firsts.repartition("token").sortWithinPartitions("token").mapInArrow(
+    firsts = written(sets.select("id", F.col("n").cast("int").alias("n"), "first").dropDuplicates(["id"]), "firsts").select(
+        "id", "n", F.posexplode("first").alias("place", "token"))
+    hot = written(firsts.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where(
+        (F.col("total") > block) & (F.col("members") > 1)).select("token"), "hot")
+    stars = None if hot.isEmpty() else _stars(firsts.join(hot, "token", "left_semi"), num, den)
+    shared = (firsts if stars is None else without(firsts, hot, "token")).repartition("token").sortWithinPartitions("token").mapInArrow(
         _meetings(num, den), "token long, id long").distinct()
     maps = sets.select("id", "n", "classes", "bitmaps").dropDuplicates(["id"])
     dealt = shared.join(maps.hint("shuffle_hash"), "id").select(
         "token", "id", "n", F.explode(F.arrays_zip("classes", "bitmaps")).alias("x")).select(
         F.xxhash64("token", "x.classes").alias("key"), "id", "n", F.col("x.bitmaps").alias("bitmap"))
     possible = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_possible_links(num, den), "a long, b long")
-    near = written(components(possible), "near")
+    near = written(components(possible if stars is None else possible.unionByName(stars)), "near")
 
     # one row per class that may have a link, with its text's set
     picked = sets.groupBy("id").agg(
@@ -416,7 +457,7 @@ def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     else:
         small = with_sets.join(large.select("grp").distinct(), "grp", "left_anti")
         links = _links_within(small.select(F.col("grp").alias("key"), "id", F.col("id").alias("settled"), "hashes"), num, den)
-        links = links.unionByName(_large(with_sets, large, num, den))
+        links = links.unionByName(_large(with_sets, large, num, den, block))
     found = components(links)
 
     classes = sets.groupBy("id").agg(F.min("doc_id").alias("class_id"))

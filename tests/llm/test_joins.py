@@ -62,6 +62,36 @@ def test_components_match_brute_force(spark, corpus, words, num, den, block):
     assert found == brute(corpus, words, num, den)
 
 
+def test_no_task_gathers_a_large_meeting(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(100)]
+    rows = [(1, " ".join(base))] + [(i, " ".join([*base[: i % 100], f"new{i}", *base[i % 100 + 1 :]])) for i in range(2, 400)]
+
+    def bounded(make, column, most):
+        """``make`` whose groups hold at most ``most`` shingles."""
+        def made(num, den):
+            inner = make(num, den)
+
+            def run(batches):
+                total = {}
+
+                def seen():
+                    for batch in batches:
+                        for key, n in zip(batch.column("key").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                            total[key] = total.get(key, 0) + (n if column == "n" else len(n) // 8)
+                        yield batch
+
+                yield from inner(seen())
+                assert max(total.values(), default=0) <= most, max(total.values())
+            return run
+        return made
+
+    monkeypatch.setattr(signature_tree, "_possible_links", bounded(signature_tree._possible_links, "n", 5_000))
+    monkeypatch.setattr(signature_tree, "_exact_links", bounded(signature_tree._exact_links, "hashes", 15_000))
+    found = signature_tree.linked(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100, 5_000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 4, 85, 100)
+
+
 def test_links_of_hard_rows(hard, nothing):
     found = [(r.doc_id, r.n_shingles, r.component_id) for r in signature_tree.linked(hard, 4, 85, 100).collect()]
     by_id = {i: (n, c) for i, n, c in found}
