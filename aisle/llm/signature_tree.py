@@ -419,6 +419,12 @@ def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     with a null doc_id take part but never name a component, unless they are alone
     (then it is null). Repeated rows give repeated rows. An empty table gives none.
     """
+    return _labelled(documents, words, num, den, block).select(
+        "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def _labelled(documents: DataFrame, words: int, num: int, den: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """What :func:`linked` returns, with the hash of the text (mark) and the set id that names the component."""
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text")
     common = spark.sparkContext.broadcast(_common_slots(documents, words))
@@ -463,28 +469,34 @@ def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     classes = sets.groupBy("id").agg(F.min("doc_id").alias("class_id"))
     classes = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(names, "component").drop("component")
+    classes = classes.join(names, "component")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
-    return described.select("doc_id", "n", "id").join(classes, "id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    return described.select("doc_id", "mark", "n", "id").join(classes, "id", "left").select(
+        "doc_id", "mark", "n", "component",
         F.coalesce(alone, "class_id").alias("class_id"), F.coalesce(alone, "component_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``documents`` with one row of each component: that of the smallest doc_id.
 
-    Documents without words stay. Of rows that repeat that doc_id in one component,
-    one stays. Rows with a null doc_id stay only where no other row of the component
-    has a doc_id.
+    Documents without words stay. Of different texts with that doc_id in one component
+    the one of the smallest hash stays, and of rows that repeat it, one. A row with a
+    null doc_id stays only where no other row of the component has a doc_id. Rows are
+    told apart by doc_id and text, so a doc_id on texts of several components is
+    judged in each of them.
     """
-    labels = written(linked(documents, words, num, den), "labels")
-    gone = labels.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = without(documents, written(gone, "gone"), "doc_id")
-    lost = labels.where("doc_id IS NULL AND component_id IS NOT NULL")
-    if not lost.isEmpty():
-        kept = kept.where("doc_id IS NOT NULL")
-    repeated = labels.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    def row(mark):
+        return F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), mark).alias("_row")
+
+    labels = written(_labelled(documents, words, num, den).where("n > 0").select(
+        "component", "doc_id", "mark", row(F.col("mark"))), "labels")
+    chosen = labels.groupBy("component").agg(
+        F.min(F.struct(F.isnull("doc_id"), "doc_id", "mark", "_row")).getField("_row").alias("chosen"), F.count("*").alias("rows"))
+    several = written(labels.select("component", "_row").join(chosen.where("rows > 1"), "component").groupBy("_row").agg(
+        F.first("chosen").alias("chosen"), F.count("*").alias("rows")), "several")
+    kept = without(documents.withColumn("_row", row(F.xxhash64("text"))), several.where("_row <> chosen").select("_row"), "_row")
+    repeated = several.where("_row = chosen AND rows > 1").select("_row")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+        kept = kept.join(repeated, "_row", "left_anti").unionByName(again)
+    return kept.select(*[F.col(f"`{c}`") for c in documents.columns])

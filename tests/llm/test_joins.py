@@ -104,6 +104,14 @@ def test_links_of_hard_rows(hard, nothing):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 10]
 
 
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (1, a), (None, b), (None, c), (None, c), (7, d), (7, b + " end"), (3, d), (5, d), (None, None), (None, "")]
+    found = signature_tree.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, found)) == sorted(map(str, spark.createDataFrame(
+        [(1, a), (None, c), (7, b + " end"), (3, d), (None, None), (None, "")], "doc_id long, text string").collect()))
+
+
 def test_tree_finds_every_pair_that_its_bitmaps_allow():
     import numpy as np
 
