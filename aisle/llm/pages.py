@@ -4,7 +4,8 @@ Every element below ``body`` has a subtree hash: its tag and class, its own text
 its children's hashes. Spark counts, per host, on how many different pages a subtree
 occurs; subtrees on many pages of a host are its template and are deleted. So are
 elements whose role is not content by their tag or their class (menus, adverts, reader
-comments and the like). What is left of the page's article, or of its body if it has
+comments and the like), unless the page's only articles or its whole text are in one
+(see :func:`_unwrap`). What is left of the page's article, or of its body if it has
 none, is its text. Inside an article nothing is deleted by count: a paragraph that is
 quoted or copied across a site is still the article's.
 """
@@ -33,37 +34,50 @@ _BLOCK = frozenset(
 _DROPPED = frozenset(
     "aside button canvas dialog embed footer form head header iframe input label link menu meta nav noembed noframes noscript object option "
     "script select style svg template textarea title video audio".split())
+_WRAPPERS = frozenset("aside dialog footer form header menu nav object".split())
+"""Dropped for their role; the other tags in _DROPPED hold no text that is shown."""
 _CONTENT = ("article", "main")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent notice notices "
     "comment comments respond disqus reply replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead header "
     "share sharing social related newsletter subscribe popup modal widget pagination pager".split())
+_PLACES = frozenset("area bar bottom box buttons container form global left links list main mobile posts right secondary site slot top wrapper".split())
+"""What a compound name may add to a name without meaning something else: site-footer, but not related-work."""
 _PARAGRAPH_ENDS = frozenset(_BLOCK - {"br", "option", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"})
 _SAME_CLOSES = {t: {t} for t in ("li", "option", "tr")} | {t: {"dd", "dt"} for t in ("dd", "dt")} | {t: {"td", "th"} for t in ("td", "th")}
 _SPACES = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "name", "children", "dropped", "hash")
+    __slots__ = ("tag", "name", "children", "dropped", "hidden", "hash")
 
-    def __init__(self, tag: str, name: str = "", dropped: bool = False):
-        self.tag, self.name, self.dropped, self.children, self.hash = tag, name, dropped, [], 0
+    def __init__(self, tag: str, name: str = "", dropped: bool = False, hidden: bool = False):
+        self.tag, self.name, self.dropped, self.hidden, self.children, self.hash = tag, name, dropped or hidden, hidden, [], 0
+
+
+def _is_role(token: str) -> bool:
+    """Whether a whole class or id says that an element is no content."""
+    if token in _NAMES:
+        return True
+    parts = {part for part in re.split(r"[_-]+", token) if part}
+    return not parts.isdisjoint(_NAMES) and parts <= _NAMES | _PLACES
 
 
 def _open(tag: str, attributes: str) -> Element:
-    name, dropped = "", tag in _DROPPED
+    name, dropped = "", tag in _WRAPPERS
+    hidden = tag in _DROPPED and not dropped
     if attributes and not attributes.isspace():
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
             if key in ("class", "id"):
                 name = f"{name} {value}" if key == "class" else name
-                dropped |= tag not in ("body", "html", *_CONTENT) and not _NAMES.isdisjoint(re.split(r"[\s_-]+", value))
+                dropped |= tag not in ("body", "html", *_CONTENT) and any(map(_is_role, value.split()))
             elif key == "role":
                 dropped |= value in _ROLES
             else:
-                dropped |= key == "hidden" or value == "true"
-    return Element(tag, name, dropped)
+                hidden |= key == "hidden" or value == "true"
+    return Element(tag, name, dropped, hidden)
 
 
 def parse(page: str) -> Element:
@@ -119,6 +133,7 @@ def parse(page: str) -> Element:
             stack.append(element)
     if at < len(page):
         stack[-1].children.append(entities.unescape(page[at:]))
+    _unwrap(root)
     return root
 
 
@@ -134,6 +149,50 @@ def _walk(root: Element):
             stack.extend((c, False) for c in element.children if isinstance(c, Element))
 
 
+def _unwrap(root: Element) -> None:
+    """Keeps elements dropped for their role that are the page's wrappers.
+
+    Where no article or main is outside of such elements, the outermost that hold one are
+    no longer dropped, and so on inwards until one is found. A form that holds a level-one
+    heading is a wrapper too; so are all forms of a page without content markup whose
+    text is in forms only.
+    """
+    holds, titled = set(), set()
+    for element in _walk(root):
+        if element.hidden:
+            continue
+        inner = [c for c in element.children if isinstance(c, Element)]
+        if element.tag in _CONTENT or any(id(c) in holds for c in inner):
+            holds.add(id(element))
+        if element.tag == "h1" or any(id(c) in titled for c in inner):
+            titled.add(id(element))
+    seen = bool(holds)
+    level = [root]
+    while level:
+        found, text, closed = False, False, []
+        stack = level
+        while stack:
+            element = stack.pop()
+            if element.dropped and element.tag == "form" and not element.hidden and id(element) in titled and not _named(element):
+                element.dropped = False
+            if element.dropped:
+                closed.append(element)
+            elif element.tag in _CONTENT:
+                found = True
+            else:
+                text = text or any(isinstance(c, str) and not c.isspace() for c in element.children)
+                stack.extend(c for c in element.children if isinstance(c, Element))
+        if found or text and not seen:
+            return
+        level = [e for e in closed if not e.hidden and (id(e) in holds if seen else e.tag == "form" and not _named(e))]
+        for element in level:
+            element.dropped = False
+
+
+def _named(element: Element) -> bool:
+    return any(map(_is_role, element.name.split()))
+
+
 def hash_subtrees(root: Element) -> None:
     for element in _walk(root):
         parts = [element.tag, element.name]

@@ -97,6 +97,21 @@ def test_article_of_a_page():
     assert text_of("<article>" + "<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='layout has-sidebar'", "body class='menu-open'><div class='no-sidebar'", "form id=aspnetForm", "div class=sidebar", "header", "aside"])
+def test_wrappers_of_the_article_stay(wrapper):
+    teaser = "<div class='related'><article>Teaser</article></div>"
+    page = f"<{wrapper}><nav>Menu</nav><article><h1>A</h1><section class='related-work'>B</section><div id='social-history'>C</div>" \
+           f"<div class='share-buttons'>D</div></article>{teaser}"
+    assert text_of(page) == "A\nB\nC"
+
+
+def test_forms_around_a_whole_page_stay():
+    assert text_of("<body><form id=f><nav>Menu</nav><div>Text</div></form></body>") == "Text"
+    assert text_of("<p>Note</p><form><h1>A</h1><p>Text</p></form>") == "Note\nA\nText"
+    assert text_of("<p>Text</p><form>Name<input></form>") == "Text" and text_of("<div hidden><article>x</article></div>") == ""
+
+
 def test_subtrees_on_many_pages_of_a_host_are_deleted(spark):
     body = "<body><div><p>Our shop since 1990</p></div><div><p>Story {0}</p><p>Text {0}</p></div></body>"
     rows = [(i, f"http://a.example/{i}", body.format(i)) for i in range(8)] + [(100 + i, f"http://b.example/{i}", body.format(0)) for i in range(8)]
