@@ -6,8 +6,9 @@ occurs; subtrees on many pages of a host are its template and are deleted. So ar
 elements whose role is not content by their tag or their class (menus, adverts, reader
 comments and the like), unless the page's only articles or its whole text are in one
 (see :func:`_unwrap`). What is left of the page's article, or of its body if it has
-none, is its text. Inside an article nothing is deleted by count: a paragraph that is
-quoted or copied across a site is still the article's.
+none, is its text. Inside an article only blocks such as boxes, lists and tables are
+deleted by count, those in many different articles of a host: a paragraph that is quoted
+or copied across a site is still the article's.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MANY_PAGES, MANY_SHARE = 5, 0.2
-"""A subtree is template if it is on so many different pages of the host, and on this share of them."""
+"""A subtree is template if it is on so many different pages of the host, and on this share of them"""
+ALWAYS_PAGES = 50
+"""or on so many whatever the share: a section's template on a large host."""
+INSIDE_ARTICLES = 20
+"""Inside an article a block is template if it is in so many different articles of the host."""
 SALTS = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
@@ -31,6 +36,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+_BOXES = frozenset("address aside center details dir div dl fieldset figure footer header menu nav ol section table ul".split())
 _DROPPED = frozenset(
     "aside button canvas dialog embed footer form head header iframe input label link menu meta nav noembed noframes noscript object option "
     "script select style svg template textarea title video audio".split())
@@ -204,8 +210,12 @@ def hash_subtrees(root: Element) -> None:
         element.hash = xxhash.xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-def _candidates(root: Element, found: list[Element]) -> bool:
-    """Adds to ``found`` the block elements that count may delete; whether ``root`` holds content markup."""
+def _candidates(root: Element) -> list[tuple[Element, int, Element | None]]:
+    """The block elements that count may delete, their keys, and the article that each is in.
+
+    A key is the hash with its last bit set inside an article, so both are counted apart.
+    """
+    found: list[tuple[Element, int, Element | None]] = []
     order = list(_walk(root))
     holds = set()
     for element in order:
@@ -215,28 +225,32 @@ def _candidates(root: Element, found: list[Element]) -> bool:
     while stack:
         element = stack.pop()
         if element.tag in _CONTENT:
+            inner = [c for c in element.children if isinstance(c, Element)]
+            while inner:
+                part = inner.pop()
+                if part.dropped:
+                    continue
+                if part.tag in _BOXES and id(part) not in holds and part.children:
+                    found.append((part, part.hash | 1, element))
+                inner.extend(c for c in part.children if isinstance(c, Element))
             continue
         if element.dropped:
-            found.append(element)
+            found.append((element, element.hash & ~1, None))
             continue
         if element.tag in _BLOCK and element.tag not in ("html", "body", "br", "hr") and id(element) not in holds and element.children:
-            found.append(element)
+            found.append((element, element.hash & ~1, None))
         stack.extend(c for c in element.children if isinstance(c, Element))
-    return id(root) in holds
+    return found
 
 
 def subtrees(root: Element) -> set[int]:
-    """Hashes of the blocks of a page that may be template."""
-    found: list[Element] = []
-    _candidates(root, found)
-    return {e.hash for e in found}
+    """Keys of the blocks of a page that may be template."""
+    return {key for _, key, _ in _candidates(root)}
 
 
 def main_text(root: Element, template: set[int]) -> str:
     """Blocks of the page's articles (outermost article, else main, else body), one a line."""
-    found: list[Element] = []
-    _candidates(root, found)
-    gone = {id(e) for e in found if e.hash in template}
+    gone = {id(e) for e, key, _ in _candidates(root) if key in template}
     starts: list[Element] = []
     for tag in _CONTENT:
         stack = [root]
@@ -286,7 +300,8 @@ def host_of(url):
 def templates(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
     """(host, subtree) on at least ``many_pages`` different pages and ``many_share`` of the pages of their host.
 
-    Pages of equal html count once, so copies of one page are no template.
+    ALWAYS_PAGES pages are enough on any host. Pages of equal html count once, so copies
+    of one page are no template. Inside articles, INSIDE_ARTICLES different articles count.
     """
     def list_subtrees(batches):
         for batch in batches:
@@ -294,10 +309,10 @@ def templates(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float
             for host, mark, page in zip(batch.column("host").to_pylist(), batch.column("mark").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 root = parse(page or "")
                 hash_subtrees(root)
-                found = subtrees(root)
+                found = {(key, mark if article is None else article.hash) for _, key, article in _candidates(root)}
                 hosts += [host] * (len(found) + 1)
-                marks += [mark] * (len(found) + 1)
-                rows += [None, *found]  # null stands for the page itself
+                marks += [mark, *(m for _, m in found)]
+                rows += [None, *(key for key, _ in found)]  # null stands for the page itself
             yield pa.RecordBatch.from_pydict(
                 {"host": pa.array(hosts, pa.string()), "mark": pa.array(marks, pa.int64()), "subtree": pa.array(rows, pa.int64())})
 
@@ -305,8 +320,10 @@ def templates(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float
     listed = rows.mapInArrow(list_subtrees, "host string, mark long, subtree long").distinct()
     counts = listed.groupBy("host", "subtree").count()
     whole = counts.where("subtree IS NULL").select("host", F.col("count").alias("pages"))
-    return counts.where(f"subtree IS NOT NULL AND count >= {many_pages}").join(whole, "host").where(
-        F.col("count") >= many_share * F.col("pages")).select("host", "subtree")
+    inside = F.col("subtree").bitwiseAND(F.lit(1)) == 1
+    many = F.when(inside, F.lit(INSIDE_ARTICLES)).otherwise(F.greatest(F.lit(many_pages), F.least(F.lit(ALWAYS_PAGES), many_share * F.col("pages"))))
+    least = min(many_pages, INSIDE_ARTICLES)
+    return counts.where(f"subtree IS NOT NULL AND count >= {least}").join(whole, "host").where(F.col("count") >= many).select("host", "subtree")
 
 
 def extract(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:

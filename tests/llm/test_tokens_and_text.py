@@ -123,6 +123,15 @@ def test_subtrees_on_many_pages_of_a_host_are_deleted(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string, text string, host string")).count() == 0
 
 
+def test_boxes_in_many_articles_and_templates_of_a_section_are_deleted(spark):
+    article = "<article><h1>Story {0}</h1><div class=bio><p>By our staff</p></div><p>Quoted</p><div>Body {0}</div></article>"
+    rows = [(i, "http://a.example/", article.format(i)) for i in range(25)]
+    rows += [(100 + i, "http://b.example/", f"<p>{i}</p><article><div>Same</div></article>") for i in range(25)]  # one article on many pages
+    rows += [(200 + i, "http://c.example/", f"<div>Page {i}</div>" + "<div>Section</div>" * (i < 60)) for i in range(400)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "Story 3\nQuoted\nBody 3" and found[103] == "Same" and found[203] == "Page 3"
+
+
 @pytest.fixture(scope="module")
 def chats(spark):
     rng = random.Random(4)
