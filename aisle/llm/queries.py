@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisle.llm import (
-    bpe, conversations, language, packing, pages, quality_classifier, quality_rules, signature_tree, spotsigs, toxicity,
+    bpe, conversations, language, packing, pages, prefix_trie, quality_classifier, quality_rules, signature_tree, spotsigs,
+    statements, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +95,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every maximal conversation, rendered."""
     return conversations.render(_table(spark, sf_dir, "conversations"))
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    turns, sizes = prefix_trie.rebuilt(prefix_trie.numbered(prefix_trie.items(_table(spark, sf_dir, "conversations"))))
+    return prefix_trie.with_digests(prefix_trie.build(turns, sizes))
+
+
+ORACLE["op13_prefix_trie"] = statements.PREFIX_TRIE
