@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisle.llm import (
-    bpe, conversations, language, packing, pages, prefix_trie, quality_classifier, quality_rules, signature_tree, spotsigs,
-    statements, toxicity,
+    bpe, collocations, conversations, language, packing, pages, prefix_trie, quality_classifier, quality_rules, signature_tree,
+    spotsigs, statements, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,12 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_prefix_trie"] = statements.PREFIX_TRIE
+
+
+@register
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = statements.COLLOCATIONS

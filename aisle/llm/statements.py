@@ -40,3 +40,36 @@ SELECT v.conv_id, v.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_co
        below.saved_tokens::BIGINT AS saved_tokens, v.words::BIGINT AS n_words, v.ends_sha256
 FROM own_values v JOIN below USING (name) LEFT JOIN nodes up ON up.name = v.parent
 """
+
+COLLOCATIONS = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+counted AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS n FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+        FROM words, range(1, 5) sizes(k))
+    GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM counted WHERE k >= 2 AND n >= 30),
+places AS MATERIALIZED (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+parts AS MATERIALIZED (
+    SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS first_part,
+           array_to_string(list_slice(w, cut + 1, k), ' ') AS rest FROM places),
+cuts AS (
+    SELECT p.lang, p.phrase, p.a, p.cut, x.n AS l, y.n AS r, ((2000000::HUGEINT * p.a) // (x.n + y.n))::BIGINT AS score
+    FROM parts p JOIN counted x ON x.lang = p.lang AND x.phrase = p.first_part
+    JOIN counted y ON y.lang = p.lang AND y.phrase = p.rest),
+best AS (SELECT lang, phrase, a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM cuts GROUP BY ALL),
+shorter AS MATERIALIZED (SELECT *, unnest(range(2, k)) AS size FROM candidates),
+inside AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, unnest(list_transform(range(1, k - size + 2), lambda i: array_to_string(list_slice(w, i, i + size - 1), ' '))) AS phrase
+        FROM shorter)
+    GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
