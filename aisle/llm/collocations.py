@@ -30,8 +30,8 @@ from aisle.llm.shared import written
 MOST_WORDS = 4
 SAMPLE = 0.125
 """Share of the texts that proposes phrases; the result does not depend on it."""
-BITMAP_BITS = 27
-"""The tasks hold proposed phrases as 2^27 bits, 16 MB."""
+LEAST_BITS, MOST_BITS = 16, 27
+"""The tasks hold proposed phrases as one bit for each word of the sample, from 2^16 to 2^27 (16 MB)."""
 UNKNOWN = "und"
 
 _PART = np.zeros(256, bool)
@@ -58,12 +58,12 @@ def _grams(words: _Pieces, hashes: np.ndarray, label: np.ndarray, size: int) ->
     return at, mix(names ^ label[words.text[at]])
 
 
-def _bits(names: np.ndarray) -> np.ndarray:
-    return (names >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _bits(names: np.ndarray, width: int) -> np.ndarray:
+    return (names >> np.uint64(64 - width)).astype(np.int64)
 
 
 def _held(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
-    bits = _bits(names)
+    bits = _bits(names, len(bitmap).bit_length() + 2)
     return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -146,8 +146,8 @@ def counts(documents: DataFrame, sizes: tuple[int, ...], proposed: np.ndarray |
     return rows.groupBy("lang", *WORDS, "k").agg(F.sum("n").alias("n"))
 
 
-def bitmap(phrases: DataFrame) -> np.ndarray:
-    """(lang, w1 … w4, k) as a bitmap of 2^BITMAP_BITS bits, OR-ed by Spark in words of 64."""
+def bitmap(phrases: DataFrame, width: int) -> np.ndarray:
+    """(lang, w1 … w4, k) as a bitmap of 2^``width`` bits, OR-ed by Spark in words of 64."""
     def run(batches):
         for batch in batches:
             labels = batch.column("lang").dictionary_encode()
@@ -156,14 +156,14 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
             for size in np.unique(k):
                 mine = k == size
                 columns = [np.asarray(batch.column(w))[mine].view(np.uint64) for w in WORDS[:size]]
-                bits = np.unique(_bits(_name_of_row(columns, label[mine])))
+                bits = np.unique(_bits(_name_of_row(columns, label[mine]), width))
                 word, first = np.unique(bits >> 6, return_index=True)
                 flags = np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(flags.view(np.int64))], ["word", "flags"])
 
     rows = phrases.select("lang", *WORDS, "k").mapInArrow(run, "word long, flags long")
     found = rows.groupBy("word").agg(F.bit_or("flags").alias("flags")).toArrow()  # at most 2^21 rows
-    whole = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
+    whole = np.zeros(1 << width - 6, np.uint64)
     whole[np.asarray(found.column("word"))] = np.asarray(found.column("flags")).view(np.uint64)
     return whole.view(np.uint8)
 
@@ -177,14 +177,16 @@ def frequent(documents: DataFrame, least: int = 30, share: float = SAMPLE) -> tu
     picked = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = written(_texts(documents).where(picked), "sample")
     lowered = F.col("n") >= max(2, int(least * share / 2))
-    proposed = bitmap(counts(sample, (1,)).where(lowered))
+    words = written(counts(sample, (1,)), "counts")
+    width = min(max((words.agg(F.sum("n")).first()[0] or 0).bit_length(), LEAST_BITS), MOST_BITS)
+    proposed = bitmap(words.where(lowered), width)
     for size in range(2, MOST_WORDS + 1):  # within the sample, size by size
-        proposed = proposed | bitmap(counts(sample, (size,), proposed).where(lowered))
+        proposed = proposed | bitmap(counts(sample, (size,), proposed).where(lowered), width)
     every = written(counts(documents, tuple(range(1, MOST_WORDS + 1)), proposed), "counts")
     known = proposed
     found = every.where(F.col("n") >= least)
     while True:  # each pass settles one more size at least, so there are at most MOST_WORDS - 1
-        grown = known | bitmap(found)
+        grown = known | bitmap(found, width)
         if np.array_equal(grown, known):
             break
         more = counts(documents, tuple(range(2, MOST_WORDS + 1)), grown, known)
@@ -250,7 +252,7 @@ def words_of(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     wanted = phrases.select("lang", F.explode(F.array(*WORDS)).alias("w1")).where("w1 <> 0").select(
         "lang", "w1", *[F.lit(0).cast("long").alias(w) for w in WORDS[1:]], F.lit(1).alias("k")).distinct()
     wanted = written(wanted, "words")
-    held = documents.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    held = documents.sparkSession.sparkContext.broadcast(bitmap(wanted, 22))
 
     def run(batches):
         seen: dict[str, np.ndarray] = {}
