@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisle.llm import (
-    bpe, collocations, conversations, language, packing, pages, prefix_trie, quality_classifier, quality_rules, signature_tree,
-    spotsigs, statements, toxicity,
+    bpe, collocations, conversations, language, neighbour_graph, packing, pages, prefix_trie, quality_classifier,
+    quality_rules, signature_tree, spotsigs, statements, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_collocations"] = statements.COLLOCATIONS
+
+
+@register
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every hundredth one."""
+    graph = neighbour_graph.build(_table(spark, sf_dir, "embeddings"))
+    asked = graph.points.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    return neighbour_graph.search(graph, asked).withColumn("rank", F.col("rank").cast("int")).withColumnRenamed("id", "vec_id")
