@@ -16,6 +16,7 @@ task, not occurrences. Words are named by 64-bit hashes, phrases by their words'
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisle.llm.batches import _SALT, CHUNK_BYTES, Words, chunks, mix
+from aisle.llm.batches import _SALT, Words, chunks, mix
 from aisle.llm.shared import written
 
 MOST_WORDS = 4
 SAMPLE = 0.125
 """Share of the texts that proposes phrases; the result does not depend on it."""
 LEAST_BITS, MOST_BITS = 16, 27
-"""The tasks hold proposed phrases as one bit for each word of the sample, from 2^16 to 2^27 (16 MB)."""
+"""The tasks hold proposed phrases as eight bits or more for each word of the sample, from 2^16 to 2^27 (16 MB)."""
+CHUNK = 1 << 18
+"""Bytes of text worked on at once; a longer single text is one chunk of its own."""
 UNKNOWN = "und"
 
 _PART = np.zeros(256, bool)
@@ -105,7 +108,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]):
         numbers = _labels(names)
         for k, name in enumerate(names):
             mine = batch.column("text").filter(pa.array(index == k))
-            for _, data, offsets in chunks(mine, CHUNK_BYTES):
+            for _, data, offsets in chunks(mine, CHUNK):
                 words = _Pieces(data, offsets)
                 yield name, words, words.hashes(lower=True), np.full(len(offsets) - 1, numbers[k])
 
@@ -172,13 +175,13 @@ def frequent(documents: DataFrame, least: int = 30, share: float = SAMPLE) -> tu
     """((lang, w1 … w4, k, n) with n >= ``least``, (lang, n of all its words)), exact over all texts.
 
     ``share`` of the texts, picked by a hash of the text, proposes the phrases found
-    ``least`` * ``share`` / 2 times in it (twice at least).
+    three quarters of ``least`` * ``share`` times in it (twice at least).
     """
     picked = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = written(_texts(documents).where(picked), "sample")
-    lowered = F.col("n") >= max(2, int(least * share / 2))
+    lowered = F.col("n") >= max(2, math.ceil(least * share * 3 / 4))
     words = written(counts(sample, (1,)), "counts")
-    width = min(max((words.agg(F.sum("n")).first()[0] or 0).bit_length(), LEAST_BITS), MOST_BITS)
+    width = min(max((words.agg(F.sum("n")).first()[0] or 0).bit_length() + 3, LEAST_BITS), MOST_BITS)
     proposed = bitmap(words.where(lowered), width)
     for size in range(2, MOST_WORDS + 1):  # within the sample, size by size
         proposed = proposed | bitmap(counts(sample, (size,), proposed).where(lowered), width)
