@@ -6,7 +6,9 @@ trigrams whatever the corpus; it is held as one sorted array of packed trigrams
 the log-probability in each language beside it. A text is scored by its cross-entropy
 in bits per symbol, and the lowest wins. Two calibrations come from all training
 texts: the temperature that turns cross-entropies into probabilities (lowest log
-loss), and per language the cross-entropy beyond which a text is rejected.
+loss), and per language the middle and the spread of the cross-entropy. Both are
+medians, so texts of another kind among the training texts do not move them much, and
+the spread is of a letter, so a short text may deviate more than a long one.
 """
 
 from __future__ import annotations
@@ -69,7 +71,9 @@ def _gram_counts(training: DataFrame) -> DataFrame:
                 text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
                 for k in range(len(names)):
                     seen, n = _tally(packed[label[row + text] == k])
-                    yield pa.RecordBatch.from_pydict({"lang": [names[k]] * len(seen), "gram": seen, "n": n})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[k]] * len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(n, pa.int64())],
+                        ["lang", "gram", "n"])
 
     return training.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
@@ -170,7 +174,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(
-    documents: DataFrame, training: Column, rejected: float = 0.0005, slack_bits: float = 0.5, row_key: Column | None = None,
+    documents: DataFrame, training: Column, deviations: float = 8.0, slack_bits: float = 0.5, row_key: Column | None = None,
 ) -> DataFrame:
     """The language of every text of (doc_id, text, lang).
 
@@ -179,8 +183,10 @@ def identify(
     Returns per row doc_id, is_training, lang_pred, score (calibrated probability, 0 to
     1), cross_entropy of lang_pred and accepted. A text that is null or has no letter
     has lang_pred ``und``, score 0 and is not accepted. A text is not accepted either
-    if its cross-entropy is over the calibrated bound of its language: the value that a
-    share ``rejected`` of the training texts predicted so exceeds, plus ``slack_bits``.
+    if its cross-entropy is over the calibrated bound of its language: the median of the
+    training texts of that lang predicted so, plus ``slack_bits``, plus ``deviations`` times their
+    spread over the square root of the text's number of letters. The spread is 1.4826 times the median
+    of |cross-entropy - median| * sqrt(letters).
     Equal scores go to the first language by name. Without training rows all are ``und``.
     """
     key = [] if row_key is None else [row_key.alias("row_key")]
@@ -208,10 +214,17 @@ def identify(
     losses = used.agg(*[F.avg(-F.log(F.greatest(probability(F.lit(t), truth), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()
     loss = [losses[i] if losses[i] is not None else 0.0 for i in range(len(TEMPERATURES))]
     t = TEMPERATURES[int(np.argmin(loss))]
-    limits = {r["lang_pred"]: r["limit"] + slack_bits for r in used.groupBy("lang_pred").agg(
-        F.percentile_approx("best", 1 - rejected, 10_000).alias("limit")).collect()}  # one row per language
-    limit = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair]) if limits else F.create_map(F.lit(""), F.lit(0.0))
-    accepted = (F.col("n_letters") > 0) & F.coalesce(F.col("best") <= F.try_element_at(limit, F.col("lang_pred")), F.lit(False))
+    right = used.where("lang_pred = lang")
+    middles = {r["lang"]: r["m"] for r in right.groupBy("lang").agg(F.percentile_approx("best", 0.5, 10_000).alias("m")).collect()}
+
+    def by_language(values: dict[str, float]) -> Column:  # one value per language
+        pairs = F.create_map(*[F.lit(v) for pair in values.items() for v in pair]) if values else F.create_map(F.lit(""), F.lit(0.0))
+        return F.try_element_at(pairs, F.col("lang_pred"))
+
+    off = F.abs(F.col("best") - by_language(middles)) * F.sqrt("n_letters")
+    spreads = {r["lang"]: 1.4826 * r["s"] for r in right.groupBy("lang").agg(F.percentile_approx(off, 0.5, 10_000).alias("s")).collect()}
+    limit = by_language(middles) + slack_bits + deviations * by_language(spreads) / F.sqrt("n_letters")
+    accepted = (F.col("n_letters") > 0) & F.coalesce(F.col("best") <= limit, F.lit(False))
     return scored.select(
         *names_kept, "lang_pred",
         F.when(F.col("n_letters") > 0, probability(F.lit(t), F.col("best"))).otherwise(F.lit(0.0)).alias("score"),
