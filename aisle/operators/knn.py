@@ -6,12 +6,20 @@ query matrix and emits at most ``k`` rows per query; a shuffle then merges
 those short lists.
 
 A query table below ``BLOCK_ROWS`` is broadcast, so targets are scanned in
-place. Above it the same scoring runs on co-grouped chunks of both sides.
+place. A larger one is written once and broadcast in blocks: each task holds a
+chunk of its targets and takes the blocks one after the other, so neither side
+is copied or shuffled. Queries that probe keys and are too many to broadcast
+meet the targets in co-grouped chunks of both sides.
+
+Vectors that are null or hold a number that is null or not finite take no part.
+They are found by NumPy in the task that reads them: as a Spark filter the test
+would be pushed below, and repeat, whatever made the vector.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,19 +28,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aisle.functions import fixed_values as fv
 from aisle.functions.vectors import SCORE_DIGITS, confidence
+from aisle.sources.folders import shared_folder
 
 #: A broadcast query block has at most this many rows, and so does a group's query side.
 BLOCK_ROWS = 20_000
 #: A broadcast probe list (query x cell or query x taxonomy node) has at most this many rows.
 PROBE_ROWS = 2_000_000
-#: Targets per co-grouped chunk.
+#: Targets per co-grouped chunk, and targets that a task holds while query blocks pass.
 CHUNK_ROWS = 50_000
+#: Query blocks of one scan hold at most about this many bytes of vectors; more queries take more scans.
+STREAMED_BYTES = 256 << 20
+#: A task keeps at most about this many (query, rank) places for the query blocks of one scan.
+STREAMED_PLACES = 4_000_000
 #: A task holds results for at most this many (query, rank) places at a time.
 HELD_ROWS = 500_000
 #: Partial results are merged by this many reducers per query before the last merge.
@@ -63,23 +76,35 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if flat.dtype not in (np.float32, np.float64):
+        flat = flat.astype(np.float64)
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
 
-def finite(vector: Column) -> Column:
-    """Whether a vector has only finite numbers."""
-    usual = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vector.isNotNull() & usual
+def _usable(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows whose vector is made of finite numbers only, those vectors as a matrix)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    rows = np.arange(len(column))
+    if column.null_count:
+        rows = rows[np.asarray(column.is_valid())]
+        column = column.drop_null()
+    matrix = _matrix(column)  # a null number becomes NaN
+    fine = np.isfinite(matrix).all(axis=1)
+    return (rows, matrix) if fine.all() else (rows[fine], matrix[fine])
 
 
 def query_block(queries: DataFrame, vector: str = "embedding", limit: int | None = None) -> QueryBlock | None:
     """The (query_id, vector) rows as a block, or None when there are too many."""
     limit = BLOCK_ROWS if limit is None else limit
-    table = queries.where(finite(F.col(vector))).select("query_id", vector).limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return None
-    return QueryBlock(table.column(0).to_pylist(), _matrix(table.column(1)))
+    table = queries.select("query_id", vector).limit(limit + 1).toArrow()
+    return None if table.num_rows > limit else _as_block(table)
+
+
+def _as_block(table: pa.Table) -> QueryBlock:
+    rows, matrix = _usable(table.column(1))
+    return QueryBlock(table.column(0).take(pa.array(rows)).to_pylist(), matrix)
 
 
 def probe_list(probes: DataFrame, limit: int | None = None) -> pd.DataFrame | None:
@@ -98,6 +123,7 @@ def _literal(value: object) -> str:
 
 
 def _similarity(queries: np.ndarray, targets: np.ndarray, metric: str) -> np.ndarray:
+    queries = queries.astype(np.float64, copy=False)
     products = queries @ targets.T
     if metric == "dot":
         return products
@@ -119,6 +145,7 @@ def _best(
     numbers: no size of vector overflows them.
     """
     n = targets.shape[0]
+    targets = targets.astype(np.float64, copy=False)
     positions = np.arange(n, dtype=np.int64)
     for start in range(0, queries.shape[0], step):
         block = slice(start, start + step)
@@ -163,8 +190,12 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, k: int, metric: str, keyed:
         if not batch.num_rows or not len(block):
             continue
         id_type = batch.schema.field(0).type
+        at, vectors = _usable(batch.column(1))
+        if len(at) < batch.num_rows:
+            batch = batch.take(pa.array(at))
+            if not len(at):
+                continue
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        vectors = _matrix(batch.column(1))
         if not keyed:
             held += offer(ids, vectors, every, zero)
         else:
@@ -185,6 +216,113 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, k: int, metric: str, keyed:
         )
 
 
+def _chunks_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.DataType, np.ndarray, np.ndarray]]:
+    """(type of ids, ids, vectors) of at least ``rows`` usable targets at a time, ids ascending."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count, id_type = 0, None
+
+    def joined():
+        ids = np.concatenate([x for x, _ in held])
+        order = np.argsort(ids, kind="stable")
+        return id_type, ids[order], np.concatenate([x for _, x in held])[order]
+
+    for batch in batches:
+        id_type = batch.schema.field(0).type
+        at, vectors = _usable(batch.column(1))
+        if len(at):
+            held.append((batch.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False), vectors))
+            count += len(at)
+        if count >= rows:
+            yield joined()
+            held, count = [], 0
+    if count:
+        yield joined()
+
+
+def _reachable(block: QueryBlock, vectors: np.ndarray, worst: np.ndarray | None, metric: str) -> np.ndarray:
+    """Rows of the block that some of the targets can still serve, by the lengths of the vectors.
+
+    No target is nearer to a query than their lengths differ, and no dot product exceeds
+    that of the lengths; ``worst`` is each query's last score so far, in units.
+    """
+    every = np.arange(len(block))
+    if worst is None or metric == "cosine":
+        return every
+    asked = np.sqrt((block.matrix.astype(np.float64) ** 2).sum(axis=1))
+    found = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+    if metric == "dot":
+        bound = asked * found.max()
+    else:
+        bound = -np.maximum(0.0, np.maximum(asked - found.max(), found.min() - asked)) ** 2
+    slack = 1e-9 * (asked + found.max()) ** 2  # rounding of either side
+    return every[~(np.rint((bound + slack) * _SCALE) < worst)]
+
+
+def _scan_blocks(batches: Iterator[pa.RecordBatch], blocks: list, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """Best k targets per query of many blocks: targets are read once, blocks pass by chunks of them."""
+    best: list[pd.DataFrame | None] = [None] * len(blocks)
+    id_type = None
+    for id_type, ids, vectors in _chunks_of(batches, CHUNK_ROWS):
+        for n, shared in enumerate(blocks):
+            block = shared.value
+            worst = None
+            if best[n] is not None:
+                last = best[n].groupby("q")["units"].agg(["size", "min"])
+                worst = np.full(len(block), -np.inf)
+                full = last[last["size"] >= k]
+                worst[full.index] = full["min"]
+            rows = _reachable(block, vectors, worst, metric)
+            parts = [] if best[n] is None else [best[n]]
+            for q, position, units in _best(block.matrix[rows], vectors, np.zeros(len(rows)), k, metric):
+                parts.append(pd.DataFrame({"q": rows[q], "units": units, "id": ids[position]}))
+            if parts:
+                best[n] = _trim(pd.concat(parts, ignore_index=True), k)
+    for n, found in enumerate(best):
+        if found is not None and len(found):
+            names = blocks[n].value.ids
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in found["q"]]), pa.array(found["id"], type=id_type), pa.array(found["units"].to_numpy() / _SCALE)],
+                names=["query_id", "target_id", "score"],
+            )
+
+
+def _nearest_streamed(queries, targets, k, target_id, metric, vector) -> DataFrame:
+    """Many queries without probes: written once, broadcast in blocks, one target scan for many blocks.
+
+    The driver holds one block at a time. A scan takes as many blocks as its tasks may
+    hold (``STREAMED_BYTES`` of vectors, ``STREAMED_PLACES`` results); more queries
+    take more scans, never larger tasks.
+    """
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.col(vector).alias("_qv"))
+    path = f"{shared_folder(spark)}/knn/queries-{uuid.uuid4().hex}"
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    n = max(1, -(-asked.count() // BLOCK_ROWS))
+    parts = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
+    arranged = f"{path}-blocks"
+    parts.write.partitionBy("_block").parquet(arranged)
+    parts = spark.read.schema(parts.schema).parquet(arranged)
+    schema = _hit_schema(queries, targets, target_id)
+    narrow = targets.select(target_id, vector)
+    hits, blocks, size, places = None, [], 0, 0
+
+    def scan_of(blocks):
+        return narrow.mapInArrow(lambda batches: _scan_blocks(batches, blocks, k, metric), schema)
+
+    for i in range(n):
+        block = _as_block(parts.where(F.col("_block") == i).select("query_id", "_qv").toArrow())
+        if not len(block):
+            continue
+        if blocks and (size + block.matrix.nbytes > STREAMED_BYTES or places + len(block) * k > STREAMED_PLACES):
+            hits = scan_of(blocks) if hits is None else hits.unionByName(scan_of(blocks))
+            blocks, size, places = [], 0, 0
+        blocks.append(spark.sparkContext.broadcast(block))
+        size, places = size + block.matrix.nbytes, places + len(block) * k
+    last = scan_of(blocks)
+    return last if hits is None else hits.unionByName(last)
+
+
 def _hit_schema(queries: DataFrame, targets: DataFrame, target_id: str) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -222,7 +360,6 @@ def nearest(
     the score. Ties go to the smaller target id. Targets and queries whose vector is
     null or holds a null, NaN or infinite number have no neighbours and are none.
     """
-    queries, targets = queries.where(finite(F.col(vector))), targets.where(finite(F.col(vector)))
     block = query_block(queries, vector) if block is None else block
     listed = None if probes is None or block is None else probe_list(probes)
     if block is not None and (probes is None or listed is not None):
@@ -234,6 +371,8 @@ def nearest(
                 queries, targets, k, target_id, metric, vector, block.part(start, start + step), listed, key
             )
             hits = part if hits is None else hits.unionByName(part)
+    elif probes is None:
+        hits = _nearest_streamed(queries, targets, k, target_id, metric, vector)
     else:
         hits = _nearest_grouped(
             queries, targets, k, target_id, metric, vector, probes, key,
@@ -276,26 +415,17 @@ def _with_keys(targets: DataFrame, key: str, keys: list) -> DataFrame:
 
 
 def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key, chunk_rows) -> DataFrame:
-    """The same scoring on co-grouped chunks, for query sides that must not be broadcast.
+    """The same scoring on co-grouped chunks, for probing queries that must not be broadcast.
 
     Each key's targets are cut into chunks of about ``chunk_rows`` and its
     queries into blocks of about ``BLOCK_ROWS``; a group is one chunk by one
     block, so a key that holds a third of all rows is many groups.
     """
-    base = targets.select(F.col(target_id).alias("_t"), F.col(vector).alias("_tv"), *(
-        [F.col(key).alias("_key")] if probes is not None else []
-    ))
+    base = targets.select(F.col(target_id).alias("_t"), F.col(vector).alias("_tv"), F.col(key).alias("_key"))
     asked = queries.select("query_id", F.col(vector).alias("_qv"))
-    if probes is None:
-        chunks = max(1, -(-targets.count() // chunk_rows))
-        base = base.withColumn("_key", F.pmod(F.xxhash64("_t"), F.lit(chunks)))
-        asked = asked.withColumn("_offset", F.lit(0.0)).withColumn(
-            "_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")))
-        )
-    else:
-        asked = probes.select(
-            "query_id", F.col("key").alias("_key"), F.col("offset").cast("double").alias("_offset")
-        ).join(asked, "query_id")
+    asked = probes.select(
+        "query_id", F.col("key").alias("_key"), F.col("offset").cast("double").alias("_offset")
+    ).join(asked, "query_id")
 
     def pieces(frame: DataFrame, size: int, name: str) -> DataFrame:
         n = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.count(F.lit(1)) / size))
@@ -324,12 +454,14 @@ def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key
         if not asked.num_rows or not found.num_rows:
             empty = [pa.array([], query_type), pa.array([], id_type), pa.array([], pa.float64())]
             return pa.Table.from_arrays(empty, names=names)
+        rows, queried = _usable(asked.column("_qv"))
+        at, vectors = _usable(found.column("_tv"))
+        asked, found = asked.take(pa.array(rows)), found.take(pa.array(at))
+        if not len(rows) or not len(at):
+            return score(asked.slice(0, 0), found.slice(0, 0))
         ids = found.column("_t").to_numpy()
         order = np.argsort(ids, kind="stable")
-        parts = list(_best(
-            _matrix(asked.column("_qv")), _matrix(found.column("_tv"))[order],
-            asked.column("_offset").to_numpy(), k, metric,
-        ))
+        parts = list(_best(queried, vectors[order], asked.column("_offset").to_numpy(), k, metric))
         q, position, units = (np.concatenate(c) for c in zip(*parts))
         return pa.Table.from_arrays([
             asked.column("query_id").combine_chunks().take(pa.array(q)),
@@ -375,7 +507,8 @@ def build_cells(
     vector: str = "embedding", seed: int = 42, max_iter: int = 10,
 ) -> Cells:
     """Partition vectors by nearest k-means centroid, trained on all of them."""
-    vectors = vectors.where(finite(F.col(vector)))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = vectors.where(F.col(vector).isNotNull() & fine)  # stored vectors: nothing is computed again
     n = vectors.count()
     nlist = default_cells(n) if nlist is None else nlist
     pointed = vectors.withColumn("_point", array_to_vector(vector))

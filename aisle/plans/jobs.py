@@ -10,28 +10,11 @@ from aisle.operators.catalog import to_unified
 from aisle.operators.enrich import enrich_descriptions
 from aisle.operators.ranking import SearchIndex
 from aisle.plans import index as tables
+from aisle.sources.folders import shared_folder  # noqa: F401 (part of this module's interface)
 from aisle.sources.readers import read_catalog, read_processed
 from aisle.sources.writers import write_catalog
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for written intermediate tables.
-
-    It is the session's ``spark.checkpoint.dir``. Only a local session may do
-    without: there a temporary folder is every task's folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="aisle-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def prepare_catalog(raw: DataFrame) -> DataFrame:
     """Raw rows to the cleaned, enriched catalogue: one lazy plan."""
     return raw.transform(to_unified).transform(clean.run).transform(enrich_descriptions)

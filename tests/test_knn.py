@@ -156,3 +156,27 @@ def test_vectors_that_are_not_numbers_have_no_neighbours(spark):
     frame = spark.createDataFrame(rows, "product_id bigint, embedding array<double>")
     found = knn.flat(frame.withColumnRenamed("product_id", "query_id"), frame, 5).collect()
     assert {(r.query_id, r.target_id) for r in found} == {(1, 1), (1, 5), (5, 1), (5, 5)}
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_many_queries_are_streamed_past_targets_that_stay_in_place(spark, big, monkeypatch, metric):
+    big = big * np.linspace(0.1, 30, len(big), dtype=np.float32)[:, None]  # lengths differ, so whole blocks are out of reach
+    targets, queries = frame(spark, big, "row_id").repartition(3), frame(spark, big[::2], "query_id")
+    expected = ranks(knn.nearest(queries, targets, 7, "row_id", metric))
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 25)
+    for places in (10**9, 300):  # one scan, several scans
+        monkeypatch.setattr(knn, "STREAMED_PLACES", places)
+        found = knn.nearest(queries, targets, 7, "row_id", metric)
+        assert ranks(found) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" not in plan and "Generate" not in plan
+        assert plan.count("MapInArrow") == 1 if places == 10**9 else plan.count("MapInArrow") > 1  # target scans
+
+
+def test_streamed_queries_and_targets_that_are_not_numbers(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 2)
+    rows = [("a", [0.0, 1.0]), ("b", [float("nan"), 0.0]), ("c", None), ("d", [float("inf"), 0.0]), ("e", [0.5, 0.5]), ("f", [None, 1.0])]
+    targets = spark.createDataFrame(rows, "product_id string, embedding array<double>")
+    found = knn.flat(targets.withColumnRenamed("product_id", "query_id"), targets, 5).collect()
+    assert {(r.query_id, r.target_id) for r in found} == {("a", "a"), ("a", "e"), ("e", "a"), ("e", "e")}
