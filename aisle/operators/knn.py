@@ -286,7 +286,7 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch], blocks: list, k: int, metric
             )
 
 
-def _nearest_streamed(queries, targets, k, target_id, metric, vector) -> DataFrame:
+def _nearest_streamed(queries, targets, k, target_id, metric, vector, block_rows: int | None = None) -> DataFrame:
     """Many queries without probes: written once, broadcast in blocks, one target scan for many blocks.
 
     The driver holds one block at a time. A scan takes as many blocks as its tasks may
@@ -298,7 +298,7 @@ def _nearest_streamed(queries, targets, k, target_id, metric, vector) -> DataFra
     path = f"{shared_folder(spark)}/knn/queries-{uuid.uuid4().hex}"
     asked.write.parquet(path)
     asked = spark.read.schema(asked.schema).parquet(path)
-    n = max(1, -(-asked.count() // BLOCK_ROWS))
+    n = max(1, -(-asked.count() // (block_rows or BLOCK_ROWS)))
     parts = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     arranged = f"{path}-blocks"
     parts.write.partitionBy("_block").parquet(arranged)
@@ -319,7 +319,7 @@ def _nearest_streamed(queries, targets, k, target_id, metric, vector) -> DataFra
             blocks, size, places = [], 0, 0
         blocks.append(spark.sparkContext.broadcast(block))
         size, places = size + block.matrix.nbytes, places + len(block) * k
-    last = scan_of(blocks)
+    last = scan_of(blocks)  # without usable queries a scan that finds nothing
     return last if hits is None else hits.unionByName(last)
 
 

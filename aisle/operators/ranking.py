@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -15,6 +16,7 @@ from aisle.operators.catalog import filter_products
 from aisle.operators.encode import encode
 from aisle.operators.queries import refine, validate, with_constraints
 from aisle.schema import RESULT_COLUMNS
+from aisle.sources.folders import shared_folder
 
 
 @dataclass(frozen=True)
@@ -110,11 +112,12 @@ def to_results(ranked: DataFrame, model_id: str, score: Column, extra: Sequence[
 
 @dataclass(frozen=True)
 class Prepared:
-    """Encoded queries with intent columns and ``fetch_k``; their block and largest fetch_k."""
+    """Encoded queries with intent columns, ``top_k`` and ``fetch_k``; their block, largest fetch_k and top_k."""
 
     queries: DataFrame
     block: knn.QueryBlock | None
     fetch: int
+    most: int
 
     @property
     def rows(self) -> int | None:
@@ -127,17 +130,21 @@ def prepare(
 ) -> Prepared:
     """Intent, number of results to fetch, and vectors of a query table.
 
-    A query with gender or t-shirt intent fetches more, because intent moves
-    its results afterwards; others fetch ``overfetch`` times the wanted number.
+    Queries that ``validate`` gives a reason against are left out. A column ``top_k``, if
+    there is one, is the number of results each query wants (bounded like ``top_k``);
+    else all want ``top_k``. A query with gender or t-shirt intent fetches more, because
+    intent moves its results afterwards; others fetch ``overfetch`` times the wanted number.
     """
-    constrained_k = min(top_k * fv.CONSTRAINED_OVERFETCH, fv.MAX_TOP_K)
-    plain_k = top_k * overfetch
-    df = with_constraints(queries).withColumn(
-        "fetch_k", F.when(F.col("constrained"), constrained_k).otherwise(plain_k)
-    )
+    each = "top_k" in queries.columns
+    wanted = F.coalesce(F.col("top_k").cast("int"), F.lit(top_k)) if each else top_k
+    df = validate(queries, wanted).where("reason IS NULL").drop("reason")
+    most = min((df.agg(F.max("top_k")).first()[0] if each else top_k) or 1, fv.MAX_TOP_K)
+    df = with_constraints(df).withColumn("fetch_k", F.when(
+        F.col("constrained"), F.least(F.col("top_k") * fv.CONSTRAINED_OVERFETCH, F.lit(fv.MAX_TOP_K))
+    ).otherwise(F.col("top_k") * overfetch))
     encoded = encode(df, text, dim=dim)
     block = knn.query_block(encoded) if block is None else block
-    return Prepared(encoded, block, max(constrained_k, plain_k))
+    return Prepared(encoded, block, max(min(most * fv.CONSTRAINED_OVERFETCH, fv.MAX_TOP_K), most * overfetch), most)
 
 
 def _fetch_k(hits: DataFrame, queries: DataFrame, factor: int, rows: int | None) -> DataFrame:
@@ -163,10 +170,13 @@ def _flat_hits(
     return knn.flat(queries, vectors, k, block=block)
 
 
-def search_flat(queries: DataFrame, index: SearchIndex, k: int, block: knn.QueryBlock | None = None) -> DataFrame:
+def search_flat(
+    queries: DataFrame, index: SearchIndex, k: int, block: knn.QueryBlock | None = None, hits: DataFrame | None = None,
+) -> DataFrame:
     """Nearest products by combined text. ``queries`` is encoded; fetch_k is optional."""
     block = knn.query_block(queries) if block is None else block
-    hits = _flat_hits(queries, index.flat, index.flat_cells, k, block, index.nprobe)
+    if hits is None:
+        hits = _flat_hits(queries, index.flat, index.flat_cells, k, block, index.nprobe)
     hits = _fetch_k(hits, queries, 1, _rows(block, k))
     found = attach_products(hits, index.catalog, _rows(block, k))
     return to_results(found, fv.FLAT, F.col("confidence"))
@@ -175,11 +185,13 @@ def search_flat(queries: DataFrame, index: SearchIndex, k: int, block: knn.Query
 def search_enhanced(
     queries: DataFrame, index: SearchIndex, k: int, block: knn.QueryBlock | None = None,
     weights: Mapping[str, float] | None = None, model_id: str = fv.ENHANCED, extra: Sequence[str] = (),
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """Five times the wanted neighbours by enriched text, reranked by metadata, cut to k."""
     block = knn.query_block(queries) if block is None else block
     fetch = k * fv.OVERFETCH
-    hits = _flat_hits(queries, index.enhanced, index.enhanced_cells, fetch, block, index.nprobe)
+    if hits is None:
+        hits = _flat_hits(queries, index.enhanced, index.enhanced_cells, fetch, block, index.nprobe)
     hits = _fetch_k(hits, queries, fv.OVERFETCH, _rows(block, fetch))
     scored = attach_products(
         hits.withColumnRenamed("rank", "_previous"), index.catalog, _rows(block, fetch)
@@ -190,27 +202,78 @@ def search_enhanced(
     return to_results(ranked, model_id, F.col("_score"), extra)
 
 
-def search_hierarchical(queries: DataFrame, index: SearchIndex, k: int, block: knn.QueryBlock | None = None) -> DataFrame:
+def search_hierarchical(
+    queries: DataFrame, index: SearchIndex, k: int, block: knn.QueryBlock | None = None, hits: DataFrame | None = None,
+) -> DataFrame:
     """Beam search down the taxonomy, products ranked by decayed path score."""
     block = knn.query_block(queries) if block is None else block
-    hits = hierarchy.search(queries, index.nodes, index.leaves, k, block=block)
+    if hits is None:
+        hits = hierarchy.search(queries, index.nodes, index.leaves, k, block=block)
     hits = _fetch_k(hits, queries, 1, _rows(block, k))
     found = attach_products(hits, index.catalog, _rows(block, k))
     return to_results(found, fv.HIERARCHICAL, F.col("score"))
 
 
+def _refined(queries, index, rewrites, rules) -> tuple[DataFrame, knn.QueryBlock | None]:
+    encoded = encode(refine(queries.drop("embedding"), rewrites, rules), "refined_query", dim=index.dim)
+    return encoded, knn.query_block(encoded)
+
+
+@dataclass(frozen=True)
+class SharedHits:
+    """Each model's neighbours of one prepared query table, as written tables at the deepest need."""
+
+    hits: Mapping[str, DataFrame]
+    #: (query_id, refined_query) of the expanded model's queries, and their block.
+    refined: DataFrame | None
+    refined_block: knn.QueryBlock | None
+
+
+def shared_hits(
+    prepared: Prepared, index: SearchIndex, models: Sequence[str], fetch: int, rewrites: DataFrame | None = None,
+    rules: Mapping[str, str] | DataFrame | None = None,
+) -> SharedHits:
+    """Neighbours for every search of ``models`` up to ``fetch`` results a query, found once.
+
+    Routed searches and the ensemble cut the same tables to what each query needs, so a
+    vector table is scanned once per kind of query vector, however many models read it.
+    """
+    spark = prepared.queries.sparkSession
+    base = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{base}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{base}/{name}")
+
+    found, refined, refined_block = {}, None, None
+    for model in models:
+        if model == fv.HIERARCHICAL:
+            hits = hierarchy.search(prepared.queries, index.nodes, index.leaves, fetch, block=prepared.block)
+        elif model == fv.FLAT:
+            hits = _flat_hits(prepared.queries, index.flat, index.flat_cells, fetch, prepared.block, index.nprobe)
+        else:
+            queries, block = prepared.queries, prepared.block
+            if model == fv.EXPANDED:
+                queries, block = _refined(queries, index, rewrites, rules)
+                refined, refined_block = written(queries.select("query_id", "refined_query"), "refined"), block
+            hits = _flat_hits(queries, index.enhanced, index.enhanced_cells, fetch * fv.OVERFETCH, block, index.nprobe)
+        found[model] = written(hits, model)
+    return SharedHits(found, refined, refined_block)
+
+
 def search_expanded(
     queries: DataFrame, index: SearchIndex, k: int, rewrites: DataFrame | None = None,
-    rules: Mapping[str, str] | DataFrame | None = None,
+    rules: Mapping[str, str] | DataFrame | None = None, shared: SharedHits | None = None,
 ) -> DataFrame:
     """Queries refined by a rewrite table or by rules, then the enhanced search.
 
     Adds ``refined_query`` to the results.
     """
-    refined = refine(queries.drop("embedding"), rewrites, rules)
-    encoded = encode(refined, "refined_query", dim=index.dim)
-    block = knn.query_block(encoded)
-    results = search_enhanced(encoded, index, k, block, model_id=fv.EXPANDED)
+    if shared is not None:
+        encoded, block, hits = queries.join(shared.refined, "query_id"), shared.refined_block, shared.hits[fv.EXPANDED]
+    else:
+        encoded, block, hits = *_refined(queries, index, rewrites, rules), None
+    results = search_enhanced(encoded, index, k, block, model_id=fv.EXPANDED, hits=hits)
     texts = encoded.select("query_id", "refined_query")
     return results.join(F.broadcast(texts) if block is not None else texts, "query_id")
 
@@ -218,6 +281,7 @@ def search_expanded(
 def search_model(
     model_id: str, queries: DataFrame, index: SearchIndex, k: int, block: knn.QueryBlock | None = None,
     rewrites: DataFrame | None = None, rules: Mapping[str, str] | DataFrame | None = None,
+    shared: SharedHits | None = None,
 ) -> DataFrame:
     """One model's raw results for encoded queries; unknown or absent models are errors."""
     if model_id not in fv.MODELS:
@@ -225,16 +289,17 @@ def search_model(
     if model_id not in index.loaded():
         raise ValueError(f"model {model_id!r} is not loaded")
     if model_id == fv.EXPANDED:
-        return search_expanded(queries, index, k, rewrites, rules).drop("refined_query")
+        return search_expanded(queries, index, k, rewrites, rules, shared).drop("refined_query")
     run = {
         fv.HIERARCHICAL: search_hierarchical, fv.FLAT: search_flat, fv.ENHANCED: search_enhanced,
     }[model_id]
-    return run(queries, index, k, block)
+    return run(queries, index, k, block, hits=None if shared is None else shared.hits[model_id])
 
 
 def _with_adjusted(results: DataFrame, queries: DataFrame, rows: int | None) -> DataFrame:
     """Results with their query's intent columns and ``_adjusted``."""
-    wants = queries.select("query_id", "gender", "wants_tshirt", "wants_kids", "constrained")
+    own = ["top_k"] if "top_k" in queries.columns else []
+    wants = queries.select("query_id", "gender", "wants_tshirt", "wants_kids", "constrained", *own)
     joined = results.join(F.broadcast(wants) if rows is not None else wants, "query_id")
     has = intent.result_flags(
         F.col("product_name"), F.col("department"), F.col("category"), F.col("description")
@@ -251,6 +316,8 @@ def intent_rerank(results: DataFrame, queries: DataFrame, k: int, rows: int | No
     adjusted = _with_adjusted(results, queries, rows).withColumnRenamed("rank", "_previous")
     sort_key = F.when(F.col("constrained"), -F.col("_adjusted")).otherwise(F.lit(0.0))
     ranked = top_k(adjusted, ["query_id"], [sort_key, F.col("_previous")], k)
+    if "top_k" in ranked.columns:
+        ranked = ranked.where(F.col("rank") <= F.col("top_k"))
     confidence = F.when(F.col("constrained"), F.round("_adjusted", 4)).otherwise(F.col("confidence_score"))
     return ranked.withColumn("confidence_score", confidence).select(RESULT_COLUMNS)
 
@@ -275,25 +342,29 @@ def filtered_index(index: SearchIndex, **filters) -> SearchIndex:
     )
 
 
+def _check_k(k: int) -> None:
+    if not 1 <= int(k) <= fv.MAX_TOP_K:
+        raise ValueError(f"k must be 1 to {fv.MAX_TOP_K}")
+
+
 def search(
     queries: DataFrame, index: SearchIndex, model_id: str | None = None, k: int = 5,
     filters: Mapping[str, object] | None = None, min_confidence: float | None = None,
     rewrites: DataFrame | None = None, rules: Mapping[str, str] | DataFrame | None = None,
-    prepared: Prepared | None = None,
+    prepared: Prepared | None = None, shared: SharedHits | None = None,
 ) -> DataFrame:
     """Route a query table (query_id, query) to one model and apply shopper intent.
 
-    Queries that ``queries.validate`` gives a reason against have no results.
+    Queries that ``queries.validate`` gives a reason against have no results. A column
+    ``top_k`` of the query table is each query's own number of results, 1 to 50; without
+    one all have ``k``.
     """
-    if not 1 <= int(k) <= fv.MAX_TOP_K:
-        raise ValueError(f"k must be 1 to {fv.MAX_TOP_K}")
-    if prepared is None:
-        queries = validate(queries, k).where("reason IS NULL").drop("reason", "top_k")
+    _check_k(k)
     if filters:
         index = filtered_index(index, **filters)
     p = prepare(queries, k, dim=index.dim) if prepared is None else prepared
-    results = search_model(model_id or fv.ENHANCED, p.queries, index, p.fetch, p.block, rewrites, rules)
-    ranked = intent_rerank(results, p.queries, k, p.rows)
+    results = search_model(model_id or fv.ENHANCED, p.queries, index, p.fetch, p.block, rewrites, rules, shared)
+    ranked = intent_rerank(results, p.queries, p.most, p.rows)
     if min_confidence is not None:
         ranked = ranked.where(F.col("confidence_score") >= min_confidence)
     return ranked
@@ -324,6 +395,7 @@ def vote(
     ]
     merged = adjusted.groupBy("query_id", "product_id").agg(
         *parts, F.count(F.lit(1)).alias("votes"), F.min(seen).alias("_seen"),
+        F.max(F.col("top_k") if "top_k" in adjusted.columns else F.lit(k)).alias("_wanted"),
         F.min_by(F.struct(*attributes), seen).alias("_product"),
     )
     total = F.lit(0.0)
@@ -332,7 +404,7 @@ def vote(
     scored = merged.withColumn("_score", F.round(total, knn.SCORE_DIGITS))
     ranked = top_k(
         scored, ["query_id"], [F.desc("_score"), F.desc("votes"), F.col("_seen"), F.col("product_id")], k
-    )
+    ).where(F.col("rank") <= F.col("_wanted"))
     return ranked.select(
         "query_id", F.lit(fv.ENSEMBLE).alias("model_id"), "rank", "product_id",
         *[F.col(f"_product.{c}").alias(c) for c in attributes],
@@ -343,10 +415,10 @@ def vote(
 def ensemble(
     queries: DataFrame, index: SearchIndex, k: int = 5, weights: Mapping[str, float] | None = None,
     rewrites: DataFrame | None = None, rules: Mapping[str, str] | DataFrame | None = None,
-    block: knn.QueryBlock | None = None,
+    block: knn.QueryBlock | None = None, shared: SharedHits | None = None,
 ) -> DataFrame:
-    """All loaded models in one plan, merged by :func:`vote`."""
-    k = max(1, min(int(k), fv.MAX_TOP_K))
+    """All loaded models in one plan, merged by :func:`vote`; queries and ``k`` as in :func:`search`."""
+    _check_k(k)
     weights = fv.ENSEMBLE_WEIGHTS if weights is None else weights
     models = [m for m in weights if m in index.loaded()]
     if not models:
@@ -354,9 +426,9 @@ def ensemble(
     p = prepare(queries, k, dim=index.dim, overfetch=fv.ENSEMBLE_OVERFETCH, block=block)
     results = None
     for model in models:
-        found = search_model(model, p.queries, index, p.fetch, p.block, rewrites, rules).select(RESULT_COLUMNS)
+        found = search_model(model, p.queries, index, p.fetch, p.block, rewrites, rules, shared).select(RESULT_COLUMNS)
         results = found if results is None else results.unionByName(found)
-    return vote(results, p.queries, k, weights, p.rows)
+    return vote(results, p.queries, p.most, weights, p.rows)
 
 
 def compare_models(

@@ -17,13 +17,21 @@ def run_benchmarks(
     queries: DataFrame, index: SearchIndex, k: int = 5, models: Sequence[str] | None = None,
     fields: Sequence[str] = evaluation.RELEVANCE_FIELDS,
 ) -> DataFrame:
-    """Macro-averaged metrics per (model, query type): one plan over all queries."""
+    """Macro-averaged metrics per (model, query type), over all queries at once.
+
+    The routed models and the ensemble read the same neighbour tables, found and written once.
+    Queries that are not valid have no results and count as failed.
+    """
     models = [*index.loaded(), fv.ENSEMBLE] if models is None else list(models)
     single = [m for m in models if m != fv.ENSEMBLE]
     prepared = ranking.prepare(queries, k, dim=index.dim)
-    results = ranking.compare_models(queries, index, k, single, prepared) if single else None
+    shared = None
+    if single and fv.ENSEMBLE in models:
+        fetch = max(prepared.fetch, prepared.most * fv.ENSEMBLE_OVERFETCH)
+        shared = ranking.shared_hits(prepared, index, index.loaded(), fetch)
+    results = ranking.compare_models(queries, index, k, single, prepared, shared=shared) if single else None
     if fv.ENSEMBLE in models:
-        voted = ranking.ensemble(queries, index, k, block=prepared.block).drop("votes")
+        voted = ranking.ensemble(queries, index, k, block=prepared.block, shared=shared).drop("votes")
         results = voted if results is None else results.unionByName(voted)
     flagged = evaluation.flag_results(results, queries, fields)
     return evaluation.average(evaluation.query_metrics(flagged, queries, models, k))
@@ -52,8 +60,10 @@ def run_timed(
 def spot_check(queries: DataFrame, index: SearchIndex, k: int = 5) -> DataFrame:
     """Top results per model and ensemble with a relevance marker."""
     prepared = ranking.prepare(queries, k, dim=index.dim)
-    results = ranking.compare_models(queries, index, k, prepared=prepared).unionByName(
-        ranking.ensemble(queries, index, k, block=prepared.block).drop("votes")
+    fetch = max(prepared.fetch, prepared.most * fv.ENSEMBLE_OVERFETCH)
+    shared = ranking.shared_hits(prepared, index, index.loaded(), fetch)
+    results = ranking.compare_models(queries, index, k, prepared=prepared, shared=shared).unionByName(
+        ranking.ensemble(queries, index, k, block=prepared.block, shared=shared).drop("votes")
     )
     flagged = evaluation.flag_results(results, queries)
     return flagged.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +52,24 @@ def read_catalog(
         nested = [f.name for f in raw.schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
         raw = raw.withColumns({c: F.to_json(f"`{c}`") for c in nested})
     require_columns(raw, REQUIRED_RAW)
-    if ORDINAL not in raw.columns:
-        raw = raw.withColumn(ORDINAL, F.monotonically_increasing_id())
-    return raw
+    return raw if ORDINAL in raw.columns else numbered(raw)
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """Rows of a file scan with a dense ordinal from 0, in the order of file path and place in the file.
+
+    One pass counts the rows of each split of a file (a row per split), a prefix sum over
+    the splits gives each its first ordinal, and the rows take theirs by their place in the split.
+    However the files are split, the ordinals are the same.
+    """
+    split = ["_file", "_start"]
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                        F.monotonically_increasing_id().alias("_id"))
+    sizes = placed.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("_all").orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_all", F.lit(0)).select(  # splits, not rows, are ordered
+        *split, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(starts, split).withColumn(ORDINAL, F.col("_id") + F.col("_shift")).drop(*split, "_id", "_shift")
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:

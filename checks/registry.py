@@ -489,9 +489,18 @@ def knn_flat(spark, sf_dir):
 
 @register("knn_grouped", _HITS)
 def knn_grouped(spark, sf_dir):
-    """The path for query tables too large to broadcast, on the same input."""
+    """The path for probing query tables too large to broadcast, on the same input: all probe one key."""
+    asked, given = fx.vector_queries(spark, sf_dir), fx.vectors(spark, sf_dir).withColumn("cell", F.lit(0))
+    probes = asked.select("query_id", F.lit(0).alias("key"), F.lit(0.0).alias("offset"))
+    hits = knn._nearest_grouped(asked, given, 10, "vec_id", "l2", "embedding", probes, "cell", 200)
+    return _rounded(knn.with_confidence(knn.merge_top_k(hits, 10)))
+
+
+@register("knn_streamed", _HITS)
+def knn_streamed(spark, sf_dir):
+    """The path for query tables too large to broadcast at once, on the same input: many blocks, one target scan."""
     asked, given = fx.vector_queries(spark, sf_dir), fx.vectors(spark, sf_dir)
-    hits = knn._nearest_grouped(asked, given, 10, "vec_id", "l2", "embedding", None, None, 200)
+    hits = knn._nearest_streamed(asked, given, 10, "vec_id", "l2", "embedding", block_rows=100)
     return _rounded(knn.with_confidence(knn.merge_top_k(hits, 10)))
 
 
@@ -748,6 +757,15 @@ def ensemble(spark, sf_dir):
     return ranking.ensemble(fx.queries(spark, sf_dir), fx.search_index(spark, sf_dir))
 
 
+@register("ensemble_validated", f"SELECT {_RESULTS}, votes FROM voted")
+def ensemble_validated(spark, sf_dir):
+    """Blank and over-long queries among the others have no results and change none."""
+    asked = fx.queries(spark, sf_dir)
+    blank = asked.withColumns({"query_id": F.concat(F.lit("blank-"), "query_id"), "query": F.lit("  ")})
+    long = asked.withColumns({"query_id": F.concat(F.lit("long-"), "query_id"), "query": F.repeat(F.lit("word "), F.lit(120))})
+    return ranking.ensemble(asked.unionByName(blank).unionByName(long), fx.search_index(spark, sf_dir))
+
+
 # --- evaluation ---------------------------------------------------------------
 @register("spot_check", """
 SELECT query_id, model_id, rank, product_name, department, category, confidence_score,

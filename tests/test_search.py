@@ -223,3 +223,35 @@ def test_cells_are_searched_only_on_request(spark, queries, index, tmp_path):
     assert sorted(map(tuple, ranking.search(queries, saved.approximate(5), fv.FLAT, 3).collect())) == exact
     with pytest.raises(ValueError, match="without cells"):
         index.approximate()
+
+
+def test_each_query_has_its_own_number_of_results(spark, queries, index):
+    wanted = queries.withColumn("top_k", F.when(F.col("query_id") == "q1", 2).when(F.col("query_id") == "q3", 4).when(F.col("query_id") == "q4", 900))
+    for run in (lambda q, k: ranking.search(q, index, k=k), lambda q, k: ranking.ensemble(q, index, k).drop("votes")):
+        rows = {}
+        for r in run(wanted, 3).collect():
+            rows.setdefault(r.query_id, []).append((r.rank, r.product_id, r.confidence_score))
+        for query, k in (("q1", 2), ("q2", 3), ("q3", 4), ("q4", 50)):
+            alone = run(queries.where(F.col("query_id") == query), k).orderBy("rank").collect()
+            assert sorted(rows.get(query, [])) == [(r.rank, r.product_id, r.confidence_score) for r in alone]
+
+
+def test_invalid_queries_and_numbers_everywhere(spark, queries, index):
+    bad = spark.createDataFrame([("x1", "exact", " ", ["a"]), ("x2", "exact", "w" * 501, ["a"]), ("x3", "exact", None, ["a"])],
+                                "query_id string, query_type string, query string, relevant_terms array<string>")
+    asked = queries.select(*bad.columns).unionByName(bad)
+    for found in (ranking.ensemble(asked, index, 3), ranking.compare_models(asked, index, 3)):
+        assert not {r.query_id for r in found.select("query_id").distinct().collect()} & {"x1", "x2", "x3"}
+    for k in (0, 51, 200):
+        with pytest.raises(ValueError):
+            ranking.ensemble(asked, index, k)
+
+
+def test_benchmark_from_shared_neighbours_equals_models_alone(spark, queries, index):
+    from aisle.plans import benchmark
+
+    whole = {tuple(r) for r in benchmark.run_benchmarks(queries, index, 3).collect()}
+    alone = set()
+    for model in [*index.loaded(), fv.ENSEMBLE]:
+        alone |= {tuple(r) for r in benchmark.run_benchmarks(queries, index, 3, [model]).collect()}
+    assert whole == alone
