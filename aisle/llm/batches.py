@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 """Bytes worked on at once; a longer single text is one chunk of its own."""
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

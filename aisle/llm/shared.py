@@ -25,7 +25,7 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 
 BROADCAST_ROWS = 1_000_000
-HELD_BYTES = 64 << 20
+HELD_BYTES = 24 << 20
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -58,6 +58,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000
             size = sum(b.nbytes for b in held)
     if count:
         yield pa.Table.from_batches(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 class Union:
