@@ -38,6 +38,23 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``frame`` is called so."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def labelled(rows: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` with the columns of ``known``, a written table of one narrow row a ``key``; other rows are left out.
+
+    As in :func:`without`, a counted number of labels is broadcast, so texts stay where they are.
+    """
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(known) if few else known, key)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key``; at least ``rows`` rows or HELD_BYTES but for the last."""
     held: list[pa.RecordBatch] = []

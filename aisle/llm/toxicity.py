@@ -4,8 +4,8 @@ A text's features are the distinct n-grams (4 to 6 letter symbols, word boundari
 included) that it contains, hashed to 2²⁰ slots. Each slot is scaled by its log-count
 ratio r = log P(gram | toxic) / P(gram | clean), estimated over all labelled training
 texts; slots with too few texts or a weak ratio are left out. Weights are then fitted by
-logistic regression on at most ``TRAIN_ROWS`` labelled texts (expected number, chosen by
-a hash of the text).
+logistic regression on at most ``TRAIN_ROWS`` different labelled rows, those of the
+smallest hashes of (doc_id, text), in that order.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from aisle.llm import letters
 from aisle.llm.batches import chunks, mix
+from aisle.llm.shared import labelled, written
 
 SLOT_BITS = 20
 SIZES = (4, 5, 6)
@@ -102,8 +103,11 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, label: n
 
 
 def train(training: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """The classifier of (text, label); rows without a label of 0 or 1 are ignored."""
-    training = training.where("label IN (0, 1)").select("text", F.col("label").cast("long").alias("label"))
+    """The classifier of (row_key, text, label); rows without a label of 0 or 1 are ignored.
+
+    ``row_key`` is a hash that names a row's content: rows that share it are fitted once.
+    """
+    training = training.where("label IN (0, 1)").select("row_key", "text", F.col("label").cast("long").alias("label"))
     texts, ratio, rows = _ratios(training)
     used = np.flatnonzero((texts >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
     feature = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -112,19 +116,22 @@ def train(training: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         sure = 1.0 if rows[1] else 0.0
         return Model(np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1), 8.0 * (2 * sure - 1))
     held = training.sparkSession.sparkContext.broadcast(feature)
-    share = min(1.0, train_rows / sum(rows))
-    sample = training.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))) if share < 1 else training
+    chosen = written(training.select("row_key").distinct().orderBy("row_key").limit(train_rows), "chosen")  # a bounded table
+    sample = training.join(F.broadcast(chosen), "row_key", "left_semi")
 
     def sparse(batches):
         for batch in batches:
             for row, data, offsets in chunks(batch.column("text")):
                 text, column = features(data, offsets, held.value)
                 bounds = np.searchsorted(text, np.arange(len(offsets)))
+                part = batch.slice(row, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").slice(row, len(offsets) - 1),
-                     pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(column.astype(np.int32)))], ["label", "columns"])
+                    [part.column("row_key"), part.column("label"),
+                     pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(column.astype(np.int32)))], ["row_key", "label", "columns"])
 
-    found = sample.mapInArrow(sparse, "label long, columns array<int>").toArrow()  # train_rows texts, distinct features only
+    # train_rows rows at most; a row that is repeated is one, so the order by its key is the only one
+    found = sample.mapInArrow(sparse, "row_key long, label long, columns array<int>").groupBy("row_key").agg(
+        F.max("label").alias("label"), F.max("columns").alias("columns")).orderBy("row_key").toArrow()
     label = np.asarray(found.column("label")).astype(float)
     lists = found.column("columns").combine_chunks()
     columns = np.asarray(lists.flatten())
@@ -161,6 +168,7 @@ def classify(documents: DataFrame, labels: DataFrame, training: Column, label: s
     nearly 1 if all labels are 1, else nearly 0. Null doc_ids are scored, never trained on.
     """
     rows = documents.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("is_training"))
-    known = labels.groupBy("doc_id").agg(F.max(label).alias("label"))
-    model = train(rows.where("is_training").join(known, "doc_id").select("text", "label"))
+    known = written(labels.groupBy("doc_id").agg(F.max(label).alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)"), "known")
+    usable = labelled(rows.where("is_training"), known)
+    model = train(usable.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", "label"))
     return score(rows, model, ["doc_id", "is_training"]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
