@@ -79,6 +79,8 @@ class Encoder:
         self.letter = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.compatible_pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.words: dict[int, tuple[str, str, int]] = {}
+        self.words_folded = True
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the two tokens stay apart when merges run on their joined text."""
@@ -168,10 +170,6 @@ def _encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
-_WORDS: dict[int, tuple[str, str, int]] = {}
-_CASE = [True]
-
-
 def encode(documents: DataFrame, tokenizer: str, keep: list[str] | tuple = ("doc_id",), with_text: bool = False) -> DataFrame:
     """Token ids of every text, by the word-end BPE file at ``tokenizer`` (a path on the driver).
 
@@ -193,17 +191,16 @@ def encode(documents: DataFrame, tokenizer: str, keep: list[str] | tuple = ("doc
                 # case makes no difference, except in the names of special tokens
                 folded = b"<" not in data.tobytes()
                 hashes, first, place = np.unique(words.hashes(lower=folded), return_index=True, return_inverse=True)
-                if folded != _CASE[0]:
-                    _WORDS.clear()
-                    _CASE[0] = folded
-                if len(_WORDS) > WORD_CACHE:
-                    _WORDS.clear()
+                remembered = encoder.words
+                if folded != encoder.words_folded or len(remembered) > WORD_CACHE:
+                    remembered.clear()
+                    encoder.words_folded = folded
                 ids, decoded, count = np.empty(len(hashes), object), np.empty(len(hashes), object), np.zeros(len(hashes), np.int64)
                 for k, (key, a, b) in enumerate(zip(hashes.tolist(), words.start[first].tolist(), words.end[first].tolist(), strict=True)):
-                    known = _WORDS.get(key)
+                    known = remembered.get(key)
                     if known is None:
                         found = encoder.word(data[a:b].tobytes().decode())
-                        known = _WORDS[key] = (" ".join(map(str, found)), encoder.decode(found), len(found))
+                        known = remembered[key] = (" ".join(map(str, found)), encoder.decode(found), len(found))
                     ids[k], decoded[k], count[k] = known
                 tokens = count[place]
                 if (silent := tokens == 0).any():  # words of Unicode white space only
