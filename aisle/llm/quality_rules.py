@@ -154,9 +154,12 @@ def estimate(documents: DataFrame, rules: list[Rule], share: float = SAMPLE_SHAR
     return sorted((known.get(r.name, Cost(r.name, 0.0, 0, 0)) for r in rules), key=lambda c: (-c.worth, c.name))
 
 
-def judge(documents: DataFrame, rules: list[Rule] = RULES, measures: list[str] | tuple = (), keep: list[str] | tuple = ("doc_id",)) -> DataFrame:
+def judge(documents: DataFrame, rules: list[Rule] = RULES, measures: list[str] | tuple = (), keep: list[str] | tuple = ("doc_id",),
+          verdict: tuple[str, str] = ("failed_rule", "kept")) -> DataFrame:
     """Verdict of the cascade on every row: columns ``keep``, ``measures``, failed_rule, kept.
 
+    ``verdict`` names the last two; choose other names where ``keep`` has these.
+
     ``measures`` are returned for all rows, so they are computed before the cascade;
     all else only for the rows that still stand. ``failed_rule`` is the rule that
     rejected, null if kept. A null text counts as empty; an empty text has measures 0
@@ -181,8 +184,8 @@ def judge(documents: DataFrame, rules: list[Rule] = RULES, measures: list[str] |
                 names = pa.array([ordered[k].name if k >= 0 else None for k in failed], pa.string())
                 part = batch.slice(row, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in keep] + found + [names, pa.array(failed < 0)], [*keep, *measures, "failed_rule", "kept"])
+                    [part.column(k) for k in keep] + found + [names, pa.array(failed < 0)], [*keep, *measures, *verdict])
 
     types = dict(documents.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *(f"{m} long" for m in measures), "failed_rule string", "kept boolean"])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *(f"{m} long" for m in measures), f"{verdict[0]} string", f"{verdict[1]} boolean"])
     return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

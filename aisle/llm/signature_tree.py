@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aisle.llm.batches import Words, chunks, mix
-from aisle.llm.shared import BROADCAST_ROWS, Union, components, whole_groups, without, written
+from aisle.llm.shared import BROADCAST_ROWS, Union, components, free_name, whole_groups, without, written
 
 SLOTS = 1 << 18
 FAN_OUT = 8
@@ -411,7 +411,7 @@ def _large(sets: DataFrame, blocks: DataFrame, num: int, den: int, block: int) -
 def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``num / den`` or more.
 
-    Returns (doc_id, n_shingles, class_id, component_id) per row of ``documents``,
+    Returns (doc_id, n_shingles, component_id, class_id) per row of ``documents``,
     which has doc_id and text (other columns are ignored). Words are lower-cased in
     A-Z; a text with fewer than ``words`` words is one shingle; an empty or null text
     has no shingle and is a component of its own. ``class_id`` and ``component_id``
@@ -420,7 +420,7 @@ def linked(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     (then it is null). Repeated rows give repeated rows. An empty table gives none.
     """
     return _labelled(documents, words, num, den, block).select(
-        "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
 
 
 def _labelled(documents: DataFrame, words: int, num: int, den: int, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -452,7 +452,9 @@ def _labelled(documents: DataFrame, words: int, num: int, den: int, block: int =
     picked = written(picked.select("grp", "id", "n", "x.d", F.col("x.mark").alias("mark")), "picked")
     own = documents.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("mark"), "text")
     own = own.mapInArrow(_likely(spark, picked), "d long, mark long, text string")
-    with_sets = own.join(picked.hint("merge"), ["d", "mark"]).select("grp", "id", "text").mapInArrow(
+    # one text a class: rows that repeat a doc_id and a text meet as their first one
+    texts = own.groupBy("d", "mark").agg(F.first("text").alias("text"))
+    with_sets = texts.join(picked.hint("merge"), ["d", "mark"]).select("grp", "id", "text").mapInArrow(
         _set_rows(words), "grp long, id long, hashes binary")
 
     total = picked.groupBy("grp").agg(F.sum("n").alias("total"))
@@ -485,8 +487,10 @@ def one_of_each(documents: DataFrame, words: int = 5, num: int = 80, den: int =
     told apart by doc_id and text, so a doc_id on texts of several components is
     judged in each of them.
     """
-    def row(mark):
-        return F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), mark).alias("_row")
+    name = free_name(documents, "_row")
+
+    def row(mark, name="_row"):
+        return F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), mark).alias(name)
 
     labels = written(_labelled(documents, words, num, den).where("n > 0").select(
         "component", "doc_id", "mark", row(F.col("mark"))), "labels")
@@ -494,9 +498,10 @@ def one_of_each(documents: DataFrame, words: int = 5, num: int = 80, den: int =
         F.min(F.struct(F.isnull("doc_id"), "doc_id", "mark", "_row")).getField("_row").alias("chosen"), F.count("*").alias("rows"))
     several = written(labels.select("component", "_row").join(chosen.where("rows > 1"), "component").groupBy("_row").agg(
         F.first("chosen").alias("chosen"), F.count("*").alias("rows")), "several")
-    kept = without(documents.withColumn("_row", row(F.xxhash64("text"))), several.where("_row <> chosen").select("_row"), "_row")
-    repeated = several.where("_row = chosen AND rows > 1").select("_row")
+    gone = several.where("_row <> chosen").select(F.col("_row").alias(name))
+    kept = without(documents.withColumn(name, row(F.xxhash64("text"), name)), gone, name)
+    repeated = several.where("_row = chosen AND rows > 1").select(F.col("_row").alias(name))
     if not repeated.isEmpty():
-        again = kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-        kept = kept.join(repeated, "_row", "left_anti").unionByName(again)
+        again = kept.join(repeated, name, "left_semi").dropDuplicates([name])
+        kept = kept.join(repeated, name, "left_anti").unionByName(again)
     return kept.select(*[F.col(f"`{c}`") for c in documents.columns])
