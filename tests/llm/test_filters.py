@@ -113,3 +113,19 @@ def test_classifiers_on_hard_rows(hard, nothing, labels, module, label):
     assert module.classify(nothing, labels, F.lit(True)).count() == 0
     none = module.classify(hard, labels.where("false"), F.lit(True)).collect()
     assert len(none) == 12 and {r.predicted for r in none} == {0}
+
+
+def test_toxicity_is_fitted_on_a_bounded_number_of_rows(spark, monkeypatch):
+    texts = [(i, f"{'vile hateful scum' if i % 3 == 0 else 'kind gentle words'} number {i % 7}", int(i % 3 == 0)) for i in range(60)]
+    rows = [*texts, *([texts[0]] * 500)]
+    documents = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "logistic", lambda rows, columns, values, label, width, f=toxicity.logistic: seen.append(len(label)) or f(rows, columns, values, label, width))
+    training = documents.join(known, "doc_id").select(F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("toxic").alias("label"))
+    first, again = (toxicity.train(frame, 20) for frame in (training, training.repartition(5)))
+    assert seen == [20, 20] and (first.weight == again.weight).all() and first.bias == again.bias
+    whole = {r.doc_id: r.score for r in toxicity.classify(documents, known, F.lit(True)).collect()}
+    assert seen[2] == 60 and all((whole[i] > 0.5) == bool(t) for i, _, t in texts)
+    monkeypatch.setattr("aisle.llm.shared.BROADCAST_ROWS", 10)  # labels joined by a shuffle give the same
+    assert {r.doc_id: r.score for r in toxicity.classify(documents, known, F.lit(True)).collect()} == pytest.approx(whole)

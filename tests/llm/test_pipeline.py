@@ -52,3 +52,11 @@ def test_stages_take_hard_and_empty_tables(spark, hard, nothing):
                 assert out.where("piece = 0").count() == frame.count()
             else:
                 assert out.columns == frame.columns and out.count() <= frame.count()
+
+
+def test_stages_keep_columns_of_any_name(spark, hard):
+    names = ["kept", "failed_rule", "_row", "_text_hash", "_row_"]
+    frame = hard.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, frame, SF).collect()
+        assert rows and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in rows for n in names)

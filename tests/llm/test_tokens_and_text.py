@@ -1,7 +1,9 @@
 """Packing, BPE, page text and conversations against tokenizers, brute force and exact expectations."""
 
 import hashlib
+import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -132,6 +134,70 @@ def test_boxes_in_many_articles_and_templates_of_a_section_are_deleted(spark):
     assert found[3] == "Story 3\nQuoted\nBody 3" and found[103] == "Same" and found[203] == "Page 3"
 
 
+@pytest.mark.parametrize("pages_of_host", [19, 25, 10_000])
+def test_content_that_recurs_elsewhere_stays(spark, pages_of_host):
+    table = "<table><tr><td>Yes</td><td>No</td></tr></table>"
+    rows = [(i, "http://a.example/", f"<article><h1>Story {i}</h1>{table}<div>Body {i}</div></article>") for i in range(pages_of_host)]
+    rows += [(20_000 + i, "http://b.example/", f"<h2>{'Introduction' if i < 10 else i}</h2><p>Yes.</p><div>Body {i}</div>") for i in range(40)]
+    rows += [(30_000 + i, "http://d.example/", f"<div>{'Same' if i < 60 else i}</div><div>Body {i}</div>") for i in range(pages_of_host * 2)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(found[i] == f"Story {i}\nYes\nNo\nBody {i}" for i in range(pages_of_host))
+    assert found[20_003] == "Introduction\nYes.\nBody 3"
+    if pages_of_host > 100:  # one filling of a place among many
+        assert found[30_003] == "Same\nBody 3"
+
+
+def test_templates_match_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        parts = [f"<div class=c{rng.randint(0, 2)}><p>{rng.choice(['x', 'y', i])}</p></div>" for _ in range(rng.randint(0, 4))]
+        body = "".join(parts)
+        rows.append((i, f"http://{rng.choice('ab')}.example/", f"<article>{body}</article>" if rng.random() < 0.4 else body))
+    rows += rows[:50] + [(None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on: dict = {}
+    for _, url, page in rows:
+        root = pages.parse(page or "")
+        pages.hash_subtrees(root)
+        for part, place, article in pages._candidates(root):
+            own = article.hash if article else page
+            on.setdefault((url[7:16], place), {}).setdefault(part.hash, set()).add(own)
+    wanted = {(host, place, part) for (host, place), parts in on.items() for part, marks in parts.items()
+              if len(marks) >= (20 if place & 1 else 5) and len(marks) >= 0.5 * len(set().union(*parts.values()))}
+    found = {tuple(r) for r in pages.templates(pages.listed(frame)).collect()}
+    assert found == wanted and len(found) > 1
+    sent, joined = ([tuple(r) for r in pages.extract(frame, broadcast=n).collect()] for n in (10_000, 0))
+    assert sorted(sent, key=str) == sorted(joined, key=str) and len(sent) == 351
+
+
+def test_headers_and_quotes_of_an_article_stay():
+    page = "<header>Site</header><article><header><h1>Title</h1></header><p>a</p><aside><blockquote>Said</blockquote></aside>" \
+           "<aside class=pullquote>Short</aside><aside>More links</aside><header class=banner>Buy</header><footer>By</footer></article>"
+    assert text_of(page) == "Title\na\nSaid\nShort"
+
+
+def test_parsing_is_linear():
+    began = time.perf_counter()
+    assert text_of("<div>" * 16_000 + "x" + "</b></p></article>" * 16_000) == "x"
+    assert text_of("<p><td><li><ul>" + "<b>" * 16_000 + "<li>x</li></em>" * 16_000) == "\n".join("x" * 16_000)
+    assert time.perf_counter() - began < 4
+
+
+def test_two_tokenizers_in_one_session(spark, tmp_path):
+    with open(WORDS, encoding="utf-8") as file:
+        other = json.load(file)
+    vocab = other["model"]["vocab"]
+    vocab["the</w>"], vocab["house</w>"] = vocab["house</w>"], vocab["the</w>"]
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(other, file)
+    frame = spark.createDataFrame([(1, "the old house")], "doc_id long, text string").coalesce(1)
+    for file in (WORDS, path, WORDS):
+        ids = Tokenizer.from_file(file).encode("the old house", add_special_tokens=False).ids
+        assert bpe.encode(frame, file, with_text=True).first().ids == " ".join(map(str, ids))
+
+
 @pytest.fixture(scope="module")
 def chats(spark):
     rng = random.Random(4)
