@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,9 @@ from aisle.functions import fixed_values as fv
 from aisle.functions import parsing
 from aisle.schema import ORDINAL, UNIFIED, UNIFIED_COLUMNS
 
+#: Ordinals in a block of the page index, and blocks in a group of its prefix sums.
+PAGE_BLOCK, PAGE_GROUP = 10_000, 1_000
+
 
 def to_unified(raw: DataFrame, strict_prices: bool = False) -> DataFrame:
     """The fixed catalogue columns (plus the ordinal) from whichever raw columns exist.
@@ -104,11 +107,41 @@ def get_products(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     return first.select("_row.*")
 
 
-def page(catalog: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
-    """One page in source order, with the totals on every row."""
+def page_blocks(catalog: DataFrame, rows: int = PAGE_BLOCK) -> DataFrame:
+    """(block, first, last, rows, before) per run of ``rows`` ordinals: its rows and the rows before it.
+
+    Ordinals may have gaps. The prefix sums run within groups of ``PAGE_GROUP`` blocks,
+    then over the groups, so one task orders the N / (rows x PAGE_GROUP) groups only.
+    """
+    counted = catalog.groupBy(F.floor(F.col(ORDINAL) / rows).alias("block")).agg(
+        F.min(ORDINAL).alias("first"), F.max(ORDINAL).alias("last"), F.count(F.lit(1)).alias("rows"),
+    ).withColumn("_group", F.floor(F.col("block") / PAGE_GROUP))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = counted.groupBy("_group").agg(F.sum("rows").alias("_n")).select(
+        "_group", F.coalesce(F.sum("_n").over(earlier(Window.orderBy("_group"))), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("rows").over(earlier(Window.partitionBy("_group").orderBy("block"))), F.lit(0))
+    placed = counted.withColumn("_inside", inside).join(groups, "_group")
+    return placed.select("block", "first", "last", "rows", (F.col("_base") + F.col("_inside")).alias("before"))
+
+
+def page(catalog: DataFrame, page: int = 1, per_page: int = 20, blocks: DataFrame | None = None) -> DataFrame:
+    """One page of at most 100 rows in source order, with the totals on every row; ``per_page`` tells the size used.
+
+    With ``blocks``, a written :func:`page_blocks` of the same catalogue, the page reads only
+    the ordinals of the blocks it lies in, however deep it is; a catalogue laid out by
+    ordinal (``plans.index.save_pages``) then opens only their files.
+    """
     number, size = max(int(page), 1), max(1, min(int(per_page), 100))
-    total = catalog.agg(F.count(F.lit(1))).scalar()
-    rows = catalog.orderBy(ORDINAL).offset((number - 1) * size).limit(size)
+    skipped = (number - 1) * size
+    if blocks is None:
+        total = catalog.agg(F.count(F.lit(1))).scalar()
+        rows = catalog.orderBy(ORDINAL).offset(skipped).limit(size)
+    else:
+        met = blocks.where((F.col("before") < skipped + size) & (F.col("before") + F.col("rows") > skipped))
+        low, high, before = met.agg(F.min("first"), F.max("last"), F.min("before")).first()
+        total = blocks.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
+        found = catalog.where("false") if low is None else catalog.where(F.col(ORDINAL).between(low, high))
+        rows = found.orderBy(ORDINAL).offset(0 if low is None else skipped - before).limit(size)
     return rows.select(
         "*",
         F.lit(number).alias("page"),

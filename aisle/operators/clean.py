@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from aisle.functions import fixed_values as fv
@@ -10,8 +10,8 @@ from aisle.functions import text
 from aisle.functions.parsing import bounded_rating
 from aisle.schema import ORDINAL
 
-#: Rank error of the sketch that brackets the price percentile is N / this.
-SKETCH_ACCURACY = 100_000
+#: Ranks that one narrowing round of the price percentile looks at, and the number of rounds.
+GRID, ROUNDS = 2000, 3
 
 
 def clean_text_fields(df: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -22,53 +22,74 @@ def clean_text_fields(df: DataFrame, pattern: str | None = None) -> DataFrame:
     return df.withColumns({c: text.strip_boilerplate(F.col(c), pattern) for c in long_texts})
 
 
+def _narrowed(values: DataFrame, within: Column) -> Column:
+    """One round: a smaller range around the wanted order statistics, as a scalar (low, high, position).
+
+    ``within`` is the previous round's. The rows below the range are counted
+    exactly, the ones inside give a sketch of evenly spaced ranks; the new range ends one
+    rank step outside the wanted places, which is more than the sketch's error. Small
+    ranges stay as they are.
+    """
+    v, inside = F.col("v"), (F.col("v") >= F.col("w.low")) & (F.col("v") <= F.col("w.high"))
+    steps = [i / GRID for i in range(GRID + 1)]
+    seen = values.select("v", within.alias("w")).groupBy("w").agg(
+        F.count_if(v < F.col("w.low")).alias("below"), F.count_if(inside).alias("n"),
+        F.percentile_approx(F.when(inside, v), steps, 10 * GRID).alias("marks"),
+    )
+    place = F.floor("w.position") - F.col("below")
+
+    def mark(index: Column) -> Column:
+        return F.get("marks", F.least(F.greatest(index, F.lit(0)), F.lit(GRID)).cast("int"))
+
+    low = mark(F.floor(place * GRID / F.col("n")) - 1)
+    high = mark(F.ceil((place + 1) * GRID / F.col("n")) + 1)
+    many = F.col("n") >= 10 * GRID
+    return seen.select(F.struct(
+        F.when(many, low).otherwise(F.col("w.low")).alias("low"),
+        F.when(many, high).otherwise(F.col("w.high")).alias("high"), F.col("w.position").alias("position"),
+    )).scalar()
+
+
 def percentile_exact(df: DataFrame, column: str, p: float) -> DataFrame:
     """One row: the exact, linearly interpolated percentile of a non-null column.
 
-    The built-in exact percentile holds every distinct value in one task. Here a
-    bounded sketch brackets the two order statistics; only the distinct values
-    inside the bracket (about 4/SKETCH_ACCURACY of the rows, or a few dozen,
-    counted before they move) are walked in order, the ones below merely counted.
+    The built-in exact percentile holds every distinct value in one task, and a window
+    over all values sorts them in one. Here rounds of aggregates narrow a range around the
+    two order statistics: rows below it are counted, the ones inside give the sketch for
+    the next round. Each of the ROUNDS leaves about 4/GRID of the rows, so of 10^12 rows
+    some thousands of different values remain; these, with their counts, are one array.
+    Without values the percentile is null.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    # the narrowest margin that still spans a few rows on either side of the position
-    margins = [m for m in (2.0 / SKETCH_ACCURACY * 10 ** i for i in range(8)) if m < 1]
-    lows = F.percentile_approx("v", [max(p - m, 0.0) for m in margins], SKETCH_ACCURACY)
-    highs = F.percentile_approx("v", [min(p + m, 1.0) for m in margins], SKETCH_ACCURACY)
-    summary = values.agg(
-        F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
-        lows.alias("lows"), highs.alias("highs"),
-    )
-    low, high = F.col("least"), F.col("most")
-    for i in reversed(range(len(margins))):
-        wide_enough = F.col("n") * margins[i] >= 5
-        low = F.when(wide_enough, F.col("least") if p <= margins[i] else F.get("lows", F.lit(i))).otherwise(low)
-        high = F.when(wide_enough, F.col("most") if p + margins[i] >= 1 else F.get("highs", F.lit(i))).otherwise(high)
-    bracket = summary.select(F.struct("n", low.alias("low"), high.alias("high"))).scalar()
-    # everything below the bracket falls into the null group, which sorts first
-    inside = (
-        values.where(F.col("v") <= bracket["high"])
-        .groupBy(F.when(F.col("v") >= bracket["low"], F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    earlier = Window.orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)
-    walked = inside.select(
-        "v", "copies",
-        F.coalesce(F.sum("copies").over(earlier), F.lit(0)).alias("seen"),
-        ((bracket["n"] - 1) * F.lit(float(p))).alias("position"),
+    first = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"))
+    position = (F.col("n") - 1) * F.lit(float(p))
+    target = first.select(F.struct("low", "high", position.alias("position"))).scalar()
+    for _ in range(ROUNDS):
+        target = _narrowed(values, target)
+    # everything below the range falls into the null group
+    held = (
+        values.select("v", target.alias("w")).where(F.col("v") <= F.col("w.high"))
+        .groupBy(F.when(F.col("v") >= F.col("w.low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("copies"))
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("copies"))), F.lit(0)).alias("below"),
+            F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "copies")))).alias("values"))
     )
+    held = held.select("below", "values", target["position"].alias("position"))
+    none = F.lit(None).cast("double")
 
-    def at(index: Column) -> Column:
-        return F.max(F.when((index >= F.col("seen")) & (index < F.col("seen") + F.col("copies")), F.col("v")))
+    def step(state: Column, entry: Column) -> Column:
+        seen = state["seen"] + entry["copies"]
 
-    position = F.col("position")
-    ends = walked.agg(
-        at(F.floor(position)).alias("first"), at(F.ceil(position)).alias("second"),
-        F.max(position - F.floor(position)).alias("weight"),
-    )
-    return ends.select(
-        (F.col("first") + (F.col("second") - F.col("first")) * F.col("weight")).alias("percentile")
-    )
+        def reached(name: str, index: Column) -> Column:
+            return F.coalesce(state[name], F.when(index < seen, entry["v"])).alias(name)
+
+        place = F.col("position")
+        return F.struct(seen.alias("seen"), reached("first", F.floor(place)), reached("second", F.ceil(place)))
+
+    start = F.struct(F.col("below").alias("seen"), none.alias("first"), none.alias("second"))
+    ends = held.select("position", F.aggregate("values", start, step).alias("at"))
+    weight = F.col("position") - F.floor("position")
+    return ends.select((F.col("at.first") + (F.col("at.second") - F.col("at.first")) * weight).alias("percentile"))
 
 
 def price_cap(df: DataFrame, p: float = 0.999) -> DataFrame:
@@ -88,15 +109,19 @@ def normalize_ratings(df: DataFrame) -> DataFrame:
     return df.withColumn("rating", bounded_rating(F.col("rating")))
 
 
-def _survivors(df: DataFrame) -> DataFrame:
+def _groups(df: DataFrame) -> DataFrame:
+    """One row per (product_name, category) that stays: its first ordinal and the rows it stands for."""
     keys = df.select(ORDINAL, "product_id", "product_name", "category")
     per_id = keys.groupBy("product_id").agg(
-        F.min(F.struct(ORDINAL, "product_name", "category")).alias("first")
+        F.min(F.struct(ORDINAL, "product_name", "category")).alias("first"), F.count(F.lit(1)).alias("rows")
     )
-    per_name = per_id.groupBy("first.product_name", "first.category").agg(
-        F.min(f"first.{ORDINAL}").alias(ORDINAL)
+    return per_id.groupBy("first.product_name", "first.category").agg(
+        F.min(f"first.{ORDINAL}").alias(ORDINAL), F.sum("rows").alias("rows")
     )
-    return per_name.select(ORDINAL)
+
+
+def _survivors(df: DataFrame) -> DataFrame:
+    return _groups(df).select(ORDINAL)
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -166,12 +191,13 @@ def run_observed(
 
 
 def removal_report(df: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Rows left after each step that drops rows, as a table."""
-    cleaned = clean_text_fields(df, pattern)
-    unique = remove_duplicates(cleaned)
-    steps = {"input": df, "deduplicated": unique, "non_empty": remove_empty(unique)}
-    counts = [
-        d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("step"), "rows")
-        for name, d in steps.items()
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """Rows left after each step that drops rows, as a table (step, rows), from one pass over the input.
+
+    The groups of duplicates know how many rows they stand for, so the input is their sum.
+    """
+    groups = _groups(clean_text_fields(df, pattern))
+    counts = groups.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("input"), F.count(F.lit(1)).alias("deduplicated"),
+        F.count_if(F.length(F.trim("product_name")) > 2).alias("non_empty"),
+    )
+    return counts.unpivot([], ["input", "deduplicated", "non_empty"], "step", "rows")

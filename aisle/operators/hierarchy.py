@@ -10,14 +10,13 @@ from aisle.functions import vectors
 from aisle.operators import knn
 from aisle.operators.encode import encode
 from aisle.functions.text import leaf_text
+from aisle.schema import FILTER_COLUMNS
 
 LEVELS = ["department", "category", "subcategory", "product_type"]
 PREFIXES = {1: "dept", 2: "cat", 3: "subcat", 4: "ptype", 5: "prod"}
 ROOT = "ROOT"
 #: Query vectors are broadcast into the beam's join up to this many numbers.
 BROADCAST_VALUES = 4_000_000
-#: A tree is written as one JSON document only up to this many nodes.
-DOCUMENT_NODES = 200_000
 
 
 def with_paths(catalog: DataFrame) -> DataFrame:
@@ -115,18 +114,21 @@ def children(nodes: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def leaf_products(catalog: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """(ancestor_id, product_id) for every node in ``ancestors(node_id)``.
+    """(ancestor_id, product_id) for every different node in ``ancestors(node_id)``.
 
-    The depth is fixed, so a product knows its ancestors: one equi-join on an
-    array of five ids instead of a traversal.
+    The depth is fixed, so a product knows its ancestor on each level: one equi-join a
+    level with the ancestors of that level, instead of a traversal. The root is no join
+    key; every product is below it if it is asked for at all.
     """
-    paths = with_paths(catalog).select(
-        "product_id",
-        F.explode(F.array(F.lit(ROOT), *[F.col(f"node_{i}") for i in range(1, 5)])).alias("node_id"),
-    )
-    return paths.join(ancestors.select("node_id"), "node_id").select(
-        F.col("node_id").alias("ancestor_id"), "product_id"
-    )
+    asked = ancestors.select("node_id").distinct()
+    pathed = with_paths(catalog)
+    root_asked = asked.where(F.col("node_id") == ROOT).agg(F.count(F.lit(1))).scalar()
+    below = pathed.where(root_asked > 0).select(F.lit(ROOT).alias("ancestor_id"), "product_id")
+    for level in range(1, 5):
+        own = asked.where(F.startswith("node_id", F.lit(f"{PREFIXES[level]}:")))
+        found = pathed.select(F.col(f"node_{level}").alias("node_id"), "product_id").join(own, "node_id")
+        below = below.unionByName(found.select(F.col("node_id").alias("ancestor_id"), "product_id"))
+    return below
 
 
 def subtrees(nodes: DataFrame) -> DataFrame:
@@ -149,30 +151,45 @@ def subtrees(nodes: DataFrame) -> DataFrame:
     return below.select(F.col("tree.name").alias("department"), F.to_json("tree").alias("json"))
 
 
-def document(nodes: DataFrame) -> DataFrame:
-    """The whole tree as one JSON text."""
-    body = subtrees(nodes).agg(F.concat_ws(",", F.array_sort(F.collect_list("json"))).alias("children"))
-    root = nodes.where(F.col("level") == 0).agg(F.max("count")).scalar()
-    return body.select(F.concat(
-        F.lit('{"name":"ROOT","level":0,"count":'), root.cast("string"),
-        F.lit(',"children":['), F.col("children"), F.lit("]}"),
-    ).alias("json"))
+def _path_key(node_id: Column, level: Column) -> Column:
+    """The node's escaped path, each name ended by ":". A subtree's keys start with its top's, and only they do."""
+    return F.when(level == 0, "").otherwise(F.concat(F.regexp_replace(node_id, "^[a-z]+:", ""), F.lit(":")))
 
 
-def export_json(nodes: DataFrame, path: str, layout: str = "document") -> None:
-    """Write the tree as one JSON document, or as one line per department.
+def document_lines(nodes: DataFrame) -> DataFrame:
+    """(path, line): the whole tree as one JSON document of a line per node, in order of path.
 
-    A document is one row, so it is refused for trees that should be spread.
+    Sorted by path, a node stands right before its subtree. What a line closes before it
+    opens its node follows from the node alone: the first child of a parent comes right
+    after it, any other after the end of a sibling's subtree, which reaches down to level
+    4. So no line looks at another one and no task holds a tree. First children are found
+    by one aggregation, a minimum per parent. ``nodes`` are those of :func:`build`. The
+    last line closes what is open and has a null path; no nodes give no lines.
+    """
+    keyed = nodes.select("node_id", "parent_id", "level", "name", "count", _path_key(F.col("node_id"), F.col("level")).alias("path"))
+    firsts = keyed.where("level > 0").groupBy("parent_id").agg(F.min("path").alias("path"))
+    marked = keyed.join(firsts.select("path", F.lit(True).alias("_first")), "path", "left")
+    quoted = F.expr("substr(to_json(named_struct('n', coalesce(name, ''))), 6)")  # "name"}
+    head = F.concat(
+        F.lit('{"name":'), F.rtrim(quoted, F.lit("}")), F.lit(',"level":'), F.col("level").cast("string"),
+        F.lit(',"count":'), F.col("count").cast("string"))
+    inner = F.concat(head, F.lit(',"children":['))
+    leaf = F.concat(head, F.lit(',"products":'), F.col("count").cast("string"), F.lit("}"))
+    before = F.when((F.col("level") == 0) | F.col("_first"), "").otherwise(
+        F.concat(F.expr("repeat(']}', 4 - level)"), F.lit(",")))
+    opened = F.concat(before, F.when(F.col("level") == 4, leaf).otherwise(inner))
+    ends = nodes.agg(F.max("level").alias("deepest")).where("deepest IS NOT NULL").select(
+        F.lit(None).cast("string").alias("path"), F.expr("repeat(']}', greatest(deepest, 1))").alias("line"))
+    return marked.select("path", opened.alias("line")).unionByName(ends)
+
+
+def export_json(nodes: DataFrame, path: str) -> None:
+    """Write the tree as one JSON document: the files under ``path`` in order of name, a line per node.
+
+    The lines are sorted by ranges of path, so any size is the same layout.
     """
-    if layout == "document":
-        if nodes.limit(DOCUMENT_NODES + 1).count() > DOCUMENT_NODES:
-            raise ValueError(f"more than {DOCUMENT_NODES} nodes: use layout='departments'")
-        tree = document(nodes)
-    elif layout == "departments":
-        tree = subtrees(nodes).select("json")
-    else:
-        raise ValueError(f"unknown layout {layout!r}")
-    tree.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+    lines = document_lines(nodes).orderBy(F.asc_nulls_last("path"))
+    lines.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 # --- search -------------------------------------------------------------------
@@ -183,11 +200,13 @@ def node_vectors(nodes: DataFrame, dim: int = fv.EMBEDDING_DIM) -> DataFrame:
 
 
 def leaf_vectors(catalog: DataFrame, dim: int = fv.EMBEDDING_DIM) -> DataFrame:
-    """(product_id, node_id of the product type, embedding)."""
-    pathed = with_paths(catalog).select(
-        "product_id", F.col("node_4").alias("node_id"), leaf_text().alias("_text")
+    """(product_id, node_id of the product type, embedding) and the catalogue's columns that searches filter by."""
+    own = [F.col(c).alias(f"_{c}") for c in FILTER_COLUMNS]
+    pathed = with_paths(catalog.select("*", *own)).select(
+        "product_id", F.col("node_4").alias("node_id"), leaf_text().alias("_text"), *[f"_{c}" for c in FILTER_COLUMNS]
     )
-    return encode(pathed, "_text", dim=dim).select("product_id", "node_id", "embedding")
+    return encode(pathed, "_text", dim=dim).select(
+        "product_id", "node_id", "embedding", *[F.col(f"_{c}").alias(c) for c in FILTER_COLUMNS])
 
 
 def path_sum(scores: list[Column], decay: float = fv.LEVEL_DECAY) -> Column:

@@ -15,7 +15,7 @@ from aisle.operators import hierarchy, knn
 from aisle.operators.catalog import filter_products
 from aisle.operators.encode import encode
 from aisle.operators.queries import refine, validate, with_constraints
-from aisle.schema import RESULT_COLUMNS
+from aisle.schema import FILTER_COLUMNS, RESULT_COLUMNS
 from aisle.sources.folders import shared_folder
 
 
@@ -325,13 +325,19 @@ def intent_rerank(results: DataFrame, queries: DataFrame, k: int, rows: int | No
 def filtered_index(index: SearchIndex, **filters) -> SearchIndex:
     """The index restricted to matching products, so that top-k stays full.
 
-    An approximate index stays approximate: its cells are restricted too.
+    Vector tables that carry the filtered columns are filtered where they lie, down to
+    their files; older tables without them are joined with the matching ids. An
+    approximate index stays approximate: its cells are restricted too.
     """
     catalog = filter_products(index.catalog, **filters)
     ids = catalog.select("product_id")
 
     def keep(vectors: DataFrame | None) -> DataFrame | None:
-        return None if vectors is None else vectors.join(ids, "product_id", "left_semi")
+        if vectors is None:
+            return None
+        if set(FILTER_COLUMNS) <= set(vectors.columns):
+            return filter_products(vectors, **filters)
+        return vectors.join(ids, "product_id", "left_semi")
 
     def keep_cells(cells: knn.Cells | None) -> knn.Cells | None:
         return None if cells is None else replace(cells, vectors=keep(cells.vectors))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from aisle.functions import fixed_values as fv
 from aisle.functions import text
+from aisle.operators import catalog as products
 from aisle.operators import hierarchy, knn
 from aisle.operators.encode import encode
 from aisle.operators.ranking import SearchIndex
+from aisle.schema import FILTER_COLUMNS, ORDINAL
 
 TABLES = {
     "catalog": "catalog",
@@ -25,13 +27,15 @@ CELL_TABLES = {"flat_cells": "flat", "enhanced_cells": "enhanced"}
 
 
 def build_flat(catalog: DataFrame, dim: int = fv.EMBEDDING_DIM) -> DataFrame:
-    texts = catalog.select("product_id", text.combined_text().alias("_text"))
-    return encode(texts, "_text", dim=dim).select("product_id", "embedding")
+    """(product_id, embedding) and the columns that searches filter by, so that a filter needs no join."""
+    texts = catalog.select("product_id", *FILTER_COLUMNS, text.combined_text().alias("_text"))
+    return encode(texts, "_text", dim=dim).select("product_id", "embedding", *FILTER_COLUMNS)
 
 
 def build_enhanced(enriched: DataFrame, dim: int = fv.EMBEDDING_DIM) -> DataFrame:
-    texts = enriched.select("product_id", text.enhanced_text().alias("_text"))
-    return encode(texts, "_text", dim=dim).select("product_id", "embedding")
+    """As :func:`build_flat`, of the enhanced texts."""
+    texts = enriched.select("product_id", *FILTER_COLUMNS, text.enhanced_text().alias("_text"))
+    return encode(texts, "_text", dim=dim).select("product_id", "embedding", *FILTER_COLUMNS)
 
 
 def build_hierarchical(catalog: DataFrame, dim: int = fv.EMBEDDING_DIM) -> tuple[DataFrame, DataFrame]:
@@ -91,8 +95,8 @@ def save_vectors(index: SearchIndex, base: str, cells: bool = False, nlist: int
     """Write the index tables beside a catalogue that is already under ``base``.
 
     Leaves are laid out in ranges of product type, so that a search that descends
-    into few types skips most files; the id's hash splits a type that is too large
-    for one range.
+    into few types skips most files, the others in ranges of department and category
+    for filtered searches; the id's hash splits a value that is too large for one range.
     """
     for name, where in TABLES.items():
         table = getattr(index, name)
@@ -100,6 +104,9 @@ def save_vectors(index: SearchIndex, base: str, cells: bool = False, nlist: int
             continue
         if name == "leaves":
             table = table.repartitionByRange("node_id", F.xxhash64("product_id")).sortWithinPartitions("node_id")
+        elif name in ("flat", "enhanced"):
+            table = table.repartitionByRange("department", "category", F.xxhash64("product_id")).sortWithinPartitions(
+                "department", "category")
         save(table, f"{base}/{where}")
     if cells:
         save_cells(load_all(index.catalog.sparkSession, base, index.dim), base, nlist)
@@ -120,6 +127,18 @@ def save_cells(saved: SearchIndex, base: str, nlist: int | None = None) -> None:
             save(cells.centroids, f"{base}/{TABLES[base_name]}_centroids")
 
 
+def save_pages(catalog: DataFrame, base: str, rows: int = products.PAGE_BLOCK) -> None:
+    """Write the catalogue in source order and its page index, for pages at any depth."""
+    save(catalog.repartitionByRange(ORDINAL).sortWithinPartitions(ORDINAL), f"{base}/pages")
+    written = load(catalog.sparkSession, f"{base}/pages")
+    save(products.page_blocks(written, rows), f"{base}/page_blocks")
+
+
+def load_pages(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(catalogue in source order, its page index), as :func:`save_pages` wrote them."""
+    return spark.read.parquet(f"{base}/pages"), spark.read.parquet(f"{base}/page_blocks")
+
+
 def load_all(spark: SparkSession, base: str, dim: int = fv.EMBEDDING_DIM) -> SearchIndex:
     """The index under ``base``; tables that are absent leave their model unloaded."""
     tables = {name: load(spark, f"{base}/{where}") for name, where in TABLES.items()}

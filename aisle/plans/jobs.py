@@ -25,8 +25,7 @@ def build(spark: SparkSession, processed: DataFrame, base: str, dim: int = fv.EM
     tables.save(enrich_descriptions(processed), f"{base}/catalog")
     tables.save_vectors(tables.build(tables.load(spark, f"{base}/catalog"), dim), base)
     saved = tables.load_all(spark, base, dim)
-    small = saved.nodes.limit(hierarchy.DOCUMENT_NODES + 1).count() <= hierarchy.DOCUMENT_NODES
-    hierarchy.export_json(saved.nodes, f"{base}/taxonomy", "document" if small else "departments")
+    hierarchy.export_json(saved.nodes, f"{base}/taxonomy")
     return saved
 
 

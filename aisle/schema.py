@@ -27,6 +27,9 @@ UNIFIED_COLUMNS = UNIFIED.fieldNames()
 #: Source order of a row. Spark rows have none, so it travels as a column.
 ORDINAL = "_ord"
 
+#: What searches filter by; vector tables carry them.
+FILTER_COLUMNS = ["department", "category", "brand", "price", "rating"]
+
 RESULT_COLUMNS = [
     "query_id", "model_id", "rank", "product_id", "product_name", "department",
     "category", "brand", "price", "rating", "reviews_count", "description",

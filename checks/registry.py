@@ -13,7 +13,7 @@ from aisle.functions import intent, parsing, text, vectors
 from aisle.operators import (
     catalog, clean, encode, enrich, evaluation, hierarchy, knn, queries as queries_ops, ranking, stats,
 )
-from aisle.plans import benchmark, index as index_tables
+from aisle.plans import benchmark, index as index_tables, jobs
 from aisle.schema import ORDINAL, RESULT_COLUMNS, UNIFIED_COLUMNS
 from checks import fixtures as fx
 from checks import oracle as o
@@ -221,6 +221,11 @@ def clean_run(spark, sf_dir):
     return clean.run(fx.landed(spark, sf_dir))
 
 
+@register("validate_schema", f"SELECT {UNIFIED_LIST} FROM unified")
+def validate_schema(spark, sf_dir):
+    return clean.validate_schema(fx.landed(spark, sf_dir))
+
+
 @register("removal_report", """
 SELECT 'input' AS step, count(*) AS rows FROM raw UNION ALL SELECT 'deduplicated', count(*) FROM unique_rows
 UNION ALL SELECT 'non_empty', count(*) FROM named_rows""")
@@ -387,6 +392,15 @@ def page(spark, sf_dir):
     )
 
 
+@register("page_indexed", """
+SELECT _ord, product_id, 7 AS page, 17 AS per_page, (SELECT count(*) FROM cleaned) AS total FROM cleaned ORDER BY _ord LIMIT 17 OFFSET 102""")
+def page_indexed(spark, sf_dir):
+    base = fx.folder(spark, sf_dir, "paged")
+    index_tables.save_pages(fx.cleaned(spark, sf_dir), base)
+    rows, blocks = index_tables.load_pages(spark, base)
+    return catalog.page(rows, 7, 17, blocks).select(ORDINAL, "product_id", "page", "per_page", "total")
+
+
 @register("page_after", "SELECT _ord, product_id FROM cleaned WHERE _ord > 100 ORDER BY _ord LIMIT 20")
 def page_after(spark, sf_dir):
     return catalog.page_after(fx.cleaned(spark, sf_dir), 100, 20).select(ORDINAL, "product_id")
@@ -539,7 +553,8 @@ def nodes_at_level(spark, sf_dir):
     return hierarchy.nodes_at_level(nodes, 3).select("node_id", "name", "count")
 
 
-@register("children", "SELECT c.parent_id, c.node_id, c.level, c.name, c.count FROM nodes c JOIN nodes p ON c.parent_id = p.node_id WHERE p.level = 2")
+@register("children", """
+SELECT parent_id, node_id, level, name, count FROM nodes WHERE parent_id IN (SELECT node_id FROM nodes WHERE level = 2)""")
 def children(spark, sf_dir):
     nodes = hierarchy.build(fx.cleaned(spark, sf_dir))
     return hierarchy.children(nodes, hierarchy.nodes_at_level(nodes, 2))
@@ -575,7 +590,11 @@ def export_json(spark, sf_dir):
     return hierarchy.subtrees(hierarchy.build(fx.cleaned(spark, sf_dir)))
 
 
-@register("export_json_document")
+@register("export_json_document", """
+SELECT CASE WHEN level = 0 OR first THEN '' ELSE repeat(']}', 4 - level) || ',' END || '{"name":"' || name || '","level":' || level
+  || ',"count":' || count || CASE WHEN level = 4 THEN ',"products":' || count || '}' ELSE ',"children":[' END AS value
+FROM (SELECT *, node_id = arg_min(node_id, node_id || ':') OVER (PARTITION BY parent_id) AS first FROM nodes)
+UNION ALL SELECT ']}]}]}]}'""")
 def export_json_document(spark, sf_dir):
     path = fx.folder(spark, sf_dir, "taxonomy")
     hierarchy.export_json(hierarchy.build(fx.cleaned(spark, sf_dir)), path)
@@ -591,6 +610,16 @@ def index_stats(spark, sf_dir):
     return index_tables.stats(fx.search_index(spark, sf_dir))
 
 
+@register("prepare_job", """
+SELECT 'catalog' AS "table", count(*) AS rows FROM ready UNION ALL SELECT 'flat_vectors', count(*) FROM ready
+UNION ALL SELECT 'enhanced_vectors', count(*) FROM ready UNION ALL SELECT 'taxonomy_nodes', count(*) FROM nodes
+UNION ALL SELECT 'leaf_vectors', count(*) FROM ready""")
+def prepare_job(spark, sf_dir):
+    raw, base = fx.folder(spark, sf_dir, "job-raw"), fx.folder(spark, sf_dir, "job")
+    sources.write_catalog(fx.raw_catalog(spark, sf_dir), raw)
+    return index_tables.stats(jobs.prepare(spark, raw, base, "parquet"))
+
+
 @register("list_models", f"""
 SELECT unnest({o.words(fv.MODELS)}) AS model_id, true AS loaded, (SELECT count(*) FROM cleaned) AS vectors""")
 def list_models(spark, sf_dir):
@@ -801,7 +830,25 @@ def run_benchmarks(spark, sf_dir):
     return benchmark.run_benchmarks(fx.queries(spark, sf_dir), fx.search_index(spark, sf_dir))
 
 
-@register("format_report")
+@register("write_report", "SELECT * FROM report")
+def write_report(spark, sf_dir):
+    path, report = fx.folder(spark, sf_dir, "report"), run_benchmarks(spark, sf_dir)
+    sources.write_report(report, path)
+    return spark.read.schema(report.schema).json(f"{path}/json")
+
+
+_FIXED3 = " || ' ' || ".join(
+    f"lpad(CAST(CAST(round(CAST({m} AS DECIMAL(9, 4)), 3) AS DECIMAL(9, 3)) AS VARCHAR), 6, ' ')" for m in evaluation.METRICS)
+
+
+@register("format_report", f"""
+SELECT CAST(row_number() OVER (ORDER BY part, a, b) - 1 AS INTEGER) AS _ord, line FROM (
+  SELECT 0 AS part, '0' AS a, '' AS b, repeat('=', 90) AS line UNION ALL SELECT 0, '1', '', 'EVALUATION REPORT'
+  UNION ALL SELECT 0, '2', '', repeat('=', 90)
+  UNION ALL SELECT 0, '3', '', rpad('Model', 25, ' ') || ' ' || rpad('Type', 10, ' ') || '    P@K    R@K    MRR   NDCG     F1     Time'
+  UNION ALL SELECT 0, '4', '', repeat('-', 90) UNION ALL SELECT 2, '', '', repeat('=', 90)
+  UNION ALL SELECT 1, model_id, query_type, rpad(model_id, 25, ' ') || ' ' || rpad(query_type, 10, ' ') || ' ' || {_FIXED3} || '         -'
+  FROM report)""")
 def format_report(spark, sf_dir):
     return evaluation.format_report(run_benchmarks(spark, sf_dir))
 

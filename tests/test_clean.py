@@ -83,3 +83,22 @@ def test_stats(catalog):
     assert approx.departments == 4
     top = stats.product_stats(catalog, 2).first()
     assert [(e.value, e["count"]) for e in top.department_counts] == [("Electronics", 3), ("Fashion", 3)]
+
+
+def test_percentile_narrows_in_rounds_without_a_window(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.lognormal(0, 9, 40000), np.full(20000, 2.5), -rng.lognormal(0, 3, 5000)])
+    df = spark.createDataFrame([(float(v),) for v in values], "price double")
+    for p in (0.001, 0.4, 0.999):
+        assert one(clean.percentile_exact(df, "price", p)) == pytest.approx(float(np.quantile(values, p)), rel=1e-12)
+    plan = clean.percentile_exact(df, "price", 0.999)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert one(clean.percentile_exact(df.where("false"), "price", 0.5)) is None
+
+
+def test_removal_report_reads_its_input_once(spark, catalog):
+    extra = catalog.where("_ord < 3").withColumn("_ord", F.col("_ord") + 100)
+    blank = catalog.where("_ord = 0").withColumns({"_ord": F.lit(200).cast("bigint"), "product_id": F.lit("new"), "product_name": F.lit(" x ")})
+    df = catalog.unionByName(extra).unionByName(blank)
+    assert {r.step: r["rows"] for r in clean.removal_report(df).collect()} == {"input": 14, "deduplicated": 11, "non_empty": 10}
+    assert {r.step: r["rows"] for r in clean.removal_report(df.where("false")).collect()} == {"input": 0, "deduplicated": 0, "non_empty": 0}

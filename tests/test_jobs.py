@@ -8,6 +8,7 @@ from aisle import sources
 from aisle.functions import fixed_values as fv
 from aisle.operators import catalog as ops
 from aisle.operators import hierarchy, ranking
+from aisle.plans import index as tables
 from aisle.plans import jobs
 from aisle.streaming.ingest import prepare_rows
 
@@ -71,14 +72,46 @@ def test_raw_to_search_and_reuse(spark, csv_dir, tmp_path):
     assert lamps["children"][0]["children"][0] == {"name": "LED lamps", "level": 4, "count": 1, "products": 1}
 
 
-def test_taxonomy_by_department(spark, catalog, tmp_path, monkeypatch):
+def test_tree_document_is_a_line_per_node(spark, tmp_path):
+    names = ["a", "a!", "a:b", "a\\", 'q"}', "a b", "\U0010ffff", "é"]
+    rows = [(f"{i}", "n", names[i % 8], names[i * 3 % 7], names[i * 5 % 6], names[i % 5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "product_id string, product_name string, department string, category string, subcategory string, product_type string")
+    nodes = hierarchy.build(df)
+    hierarchy.export_json(nodes.repartition(13), str(tmp_path / "t"))
+    files = sorted(f for f in os.listdir(tmp_path / "t") if f.startswith("part-"))
+    text = "".join((tmp_path / "t" / f).read_text("utf-8") for f in files)
+    assert len(text.splitlines()) == nodes.count() + 1
+
+    def wanted(parent, level):
+        out = {}
+        for r in below.get(parent, []):
+            more = {"products": r["count"]} if level == 4 else {"children": wanted(r.node_id, level + 1)}
+            out[r.name] = {"level": level, "count": r["count"], **more}
+        return out
+
+    def found(children):
+        assert len({c["name"] for c in children}) == len(children)
+        return {c["name"]: {**{k: v for k, v in c.items() if k != "name"}, **(
+            {"children": found(c["children"])} if "children" in c else {})} for c in children}
+
+    below = {}
+    for r in nodes.collect():
+        below.setdefault(r.parent_id, []).append(r)
+    tree = json.loads(text)
+    assert (tree["name"], tree["count"]) == ("ROOT", 400) and found(tree["children"]) == wanted("ROOT", 1)
+    lone = hierarchy.document_lines(nodes.where("level = 0")).orderBy(F.asc_nulls_last("path"))
+    assert json.loads("".join(r.line for r in lone.collect())) == {"name": "ROOT", "level": 0, "count": 400, "children": []}
+    assert hierarchy.document_lines(nodes.where("false")).count() == 0
+
+
+def test_leaf_products_of_any_level(spark, catalog):
     nodes = hierarchy.build(catalog)
-    monkeypatch.setattr(hierarchy, "DOCUMENT_NODES", 3)
-    with pytest.raises(ValueError, match="departments"):
-        hierarchy.export_json(nodes, str(tmp_path / "t"))
-    hierarchy.export_json(nodes, str(tmp_path / "t"), "departments")
-    trees = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "t")).collect()]
-    assert {t["name"]: t["count"] for t in trees} == {"Fashion": 3, "Electronics": 3, "Home & Garden": 2, "Sports": 2}
+    got = hierarchy.leaf_products(catalog, nodes.unionByName(nodes)).collect()
+    counts = {r.node_id: r["count"] for r in nodes.collect()}
+    assert len(got) == len(set(map(tuple, got))) == 50
+    for node, n in counts.items():
+        assert sum(r.ancestor_id == node for r in got) == n
+    assert hierarchy.leaf_products(catalog, nodes.where("false")).count() == 0
 
 
 def test_blank_levels_default(spark):
@@ -113,6 +146,19 @@ def test_pages(catalog):
     assert [r._ord for r in ops.page_after(catalog, 7, 4).collect()] == [8, 9]
 
 
+def test_deep_pages_by_the_page_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ops, "PAGE_GROUP", 3)
+    rows = spark.range(3000).where("id % 7 <> 3 AND (id < 900 OR id > 1400)").select(F.col("id").alias("_ord"), F.lit("x").alias("name"))
+    tables.save_pages(rows, str(tmp_path), rows=40)
+    paged, blocks = tables.load_pages(spark, str(tmp_path))
+    for number, size in ((1, 20), (2, 100), (31, 33), (100, 20), (107, 20), (108, 20), (109, 20), (10_000, 100)):
+        got, plain = ops.page(paged, number, size, blocks), ops.page(rows, number, size)
+        assert got.collect() == plain.collect(), (number, size)
+    text = ops.page(paged, 60, 20, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(_ord" in text
+    assert ops.page(rows.where("false"), 1, 5, blocks.where("false")).count() == 0
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     from checks import fixtures as fx
 

@@ -180,3 +180,13 @@ def test_streamed_queries_and_targets_that_are_not_numbers(spark, monkeypatch):
     targets = spark.createDataFrame(rows, "product_id string, embedding array<double>")
     found = knn.flat(targets.withColumnRenamed("product_id", "query_id"), targets, 5).collect()
     assert {(r.query_id, r.target_id) for r in found} == {("a", "a"), ("a", "e"), ("e", "a"), ("e", "e")}
+
+
+def test_recall_of_cells_by_probes(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = knn.flat(asked, vectors, 10, "vec_id").select("query_id", "target_id")
+    cells = knn.build_cells(vectors, target_id="vec_id")
+    for probes, least in ((None, 0.85), (12, 0.9)):
+        near = knn.ivf(asked, cells, 10, *([probes] if probes else []), target_id="vec_id").select("query_id", "target_id")
+        assert exact.intersect(near).count() >= least * exact.count()
