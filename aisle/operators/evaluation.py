@@ -118,7 +118,7 @@ def format_report(report: DataFrame) -> DataFrame:
         F.lit(1).alias("part"), "model_id", "query_type",
         F.concat_ws(
             " ", F.rpad("model_id", 25, " "), F.rpad("query_type", 10, " "), *numbers,
-            F.coalesce(F.format_string("%7.1fms", time), F.lit("        -")),
+            F.when(time.isNull(), "        -").otherwise(F.format_string("%7.1fms", time)),
         ).alias("line"),
     )
     header = "%-25s %-10s %6s %6s %6s %6s %6s %8s" % ("Model", "Type", "P@K", "R@K", "MRR", "NDCG", "F1", "Time")

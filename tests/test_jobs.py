@@ -131,6 +131,7 @@ def test_report_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/json").count() == 1
     lines = [r.value for r in spark.read.text(f"{tmp_path}/text").collect()]
     assert lines[1] == "EVALUATION REPORT" and len(lines) == 7
+    assert lines[5].endswith(" 0.500         -")  # a report without times
 
 
 def test_query_sets(spark, queries, tmp_path):
