@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -51,17 +52,40 @@ def boilerplate_pattern(
     return "(?i)" + "|".join(branches)
 
 
+def guarded_pattern() -> str:
+    """:func:`boilerplate_pattern` with its defaults in a form that gives up early: the same matches.
+
+    At each character the plain form tries every phrase, and reads on to the end of the
+    word for a web address. Here phrases, which all begin with two plain characters, are
+    tried only where two such stand, and an address only where its run of name characters,
+    or the search after a match, begins: all starts inside a run see the same end of it.
+    """
+    branches, address = [], fv.BOILERPLATE_PATTERNS.index("{site}")
+    for phrases in (fv.BOILERPLATE_PATTERNS[:address], fv.BOILERPLATE_PATTERNS[address + 1:]):
+        starts = [re.match(r"(?:\\b)?\\?([a-z0-9(])([a-z0-9])", p).groups() for p in phrases]
+        first, second = ("".join(sorted(set(letters))) for letters in zip(*starts))
+        phrases = "|".join(phrases).replace("{site}", fv.SHOP_SITE)
+        branches.append(f"(?=[{first}][{second}])(?:{phrases})")
+    branches.insert(1, rf"(?:(?<![a-z0-9-])|\G){fv.SHOP_SITE}")
+    branches.append(r"\b[a-z0-9]{%d,}\b" % fv.SKU_MIN_LEN)
+    return "(?i)" + "|".join(branches)
+
+
 def strip_boilerplate(c: Column, pattern: str | None = None) -> Column:
     """Sales phrases and article-number-like tokens out, punctuation re-spaced."""
     text = F.coalesce(c, F.lit(""))
-    text = F.regexp_replace(text, pattern or boilerplate_pattern(), " ")
+    text = F.regexp_replace(text, pattern or guarded_pattern(), " ")
     text = F.regexp_replace(text, _BLANKS, " ")
     text = F.regexp_replace(text, r"\s*([,.;:!?])\s*", "$1 ")
     return F.btrim(text, F.lit(" ,.;:-"))
 
 
 def _labelled(label: str, value: Column) -> Column:
-    return F.when(F.trim(value) != "", F.concat(F.lit(f"{label}: "), value))
+    """The value after its label, null if it is blank; bound to a name, so that it is computed once."""
+    def text(v: Column) -> Column:
+        return F.when(F.trim(v) != "", F.concat(F.lit(f"{label}: "), v))
+
+    return F.get(F.transform(F.array(value), text), F.lit(0))
 
 
 def _field(name: str) -> Column:
