@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 from aisle.functions import fixed_values as fv
 
+#: A task forgets the words it has hashed when there are more of them than this.
+KNOWN_WORDS = 200_000
+_WORD = re.compile("[a-z0-9]+")
+
 
 def text_buckets(text: Column, dim: int = fv.EMBEDDING_DIM) -> Column:
     """Hash bucket of every alphanumeric token, as text.
@@ -49,18 +55,40 @@ def fit_idf(df: DataFrame, text: str, dim: int = fv.EMBEDDING_DIM) -> IDFModel:
     return IDF(inputCol="_tf", outputCol="_weighted").fit(bucket_counts(df, text, dim))
 
 
+def _unit_vectors(texts: Iterator[pd.Series], dim: int, normalize: bool) -> Iterator[pd.Series]:
+    """Token counts per bucket, of lower-cased texts; a word met before is not hashed again."""
+    known: dict[str, int] = {}
+    for batch in texts:
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        rows = []
+        for text in batch:
+            words = _WORD.findall(text)
+            for word in set(words).difference(known):
+                known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            counts = np.bincount([known[w] for w in words], minlength=dim).astype(np.float64)
+            if normalize and words:
+                counts /= np.sqrt((counts ** 2).sum())
+            rows.append(counts.astype(np.float32))
+        yield pd.Series(rows, index=batch.index, dtype=object)
+
+
 def encode(
     df: DataFrame, text: str, output: str = "embedding", dim: int = fv.EMBEDDING_DIM,
     idf: IDFModel | None = None, normalize: bool = True,
 ) -> DataFrame:
     """Add a hashed bag-of-words vector of ``text``: a projection, no shuffle.
 
-    Empty text gives the zero vector.
+    Empty text gives the zero vector. Without ``idf`` the buckets are those of
+    :func:`text_buckets`, counted in Arrow batches.
     """
-    counted = bucket_counts(df, text, dim)
-    weights = "_tf"
-    if idf is not None:
-        counted, weights = idf.transform(counted), "_weighted"
+    if idf is None:
+        @F.pandas_udf("array<float>")
+        def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            return _unit_vectors(texts, dim, normalize)
+
+        return df.withColumn(output, embed(F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    counted, weights = idf.transform(bucket_counts(df, text, dim)), "_weighted"
     if normalize:
         counted = Normalizer(p=2.0, inputCol=weights, outputCol="_unit").transform(counted)
         weights = "_unit"

@@ -97,16 +97,18 @@ def save_vectors(index: SearchIndex, base: str, cells: bool = False, nlist: int
     Leaves are laid out in ranges of product type, so that a search that descends
     into few types skips most files, the others in ranges of department and category
     for filtered searches; the id's hash splits a value that is too large for one range.
+    The ranges are sampled, and that sample would compute every vector once more: the
+    vectors are shuffled by id first, so that it reads what is shuffled.
     """
     for name, where in TABLES.items():
         table = getattr(index, name)
         if table is None or name == "catalog":
             continue
         if name == "leaves":
-            table = table.repartitionByRange("node_id", F.xxhash64("product_id")).sortWithinPartitions("node_id")
+            table = table.hint("rebalance", "product_id").repartitionByRange("node_id", F.xxhash64("product_id")).sortWithinPartitions("node_id")
         elif name in ("flat", "enhanced"):
-            table = table.repartitionByRange("department", "category", F.xxhash64("product_id")).sortWithinPartitions(
-                "department", "category")
+            table = table.hint("rebalance", "product_id").repartitionByRange(
+                "department", "category", F.xxhash64("product_id")).sortWithinPartitions("department", "category")
         save(table, f"{base}/{where}")
     if cells:
         save_cells(load_all(index.catalog.sparkSession, base, index.dim), base, nlist)

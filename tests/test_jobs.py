@@ -177,3 +177,11 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert jobs.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_vectors_are_computed_once_though_their_ranges_are_sampled(index, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(tables, "save", lambda df, path, *_: plans.update({path: df._jdf.queryExecution().optimizedPlan().toString()}))
+    tables.save_vectors(index, "x")
+    for name in ("flat_vectors", "enhanced_vectors", "leaf_vectors"):
+        assert plans[f"x/{name}"].count("Rebalance") == 1 and "RepartitionByExpression" in plans[f"x/{name}"]
