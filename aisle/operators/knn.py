@@ -417,9 +417,10 @@ def _with_keys(targets: DataFrame, key: str, keys: list) -> DataFrame:
 def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key, chunk_rows) -> DataFrame:
     """The same scoring on co-grouped chunks, for probing queries that must not be broadcast.
 
-    Each key's targets are cut into chunks of about ``chunk_rows`` and its
-    queries into blocks of about ``BLOCK_ROWS``; a group is one chunk by one
-    block, so a key that holds a third of all rows is many groups.
+    Each key's targets are cut into groups of about ``CHUNK_ROWS`` and its
+    queries into blocks of about ``BLOCK_ROWS``; a task takes one group and one
+    block, so a key that holds a third of all rows is many tasks. Only whole groups
+    copy a query: within one, ``chunk_rows`` targets are scored at a time.
     """
     base = targets.select(F.col(target_id).alias("_t"), F.col(vector).alias("_tv"), F.col(key).alias("_key"))
     asked = queries.select("query_id", F.col(vector).alias("_qv"))
@@ -431,7 +432,7 @@ def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key
         n = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.count(F.lit(1)) / size))
         return frame.groupBy("_key").agg(n.alias(name))
 
-    sizes = pieces(base, chunk_rows, "_chunks").join(pieces(asked, BLOCK_ROWS, "_blocks"), "_key")
+    sizes = pieces(base, max(chunk_rows, CHUNK_ROWS), "_chunks").join(pieces(asked, BLOCK_ROWS, "_blocks"), "_key")
     one = F.lit(1).cast("bigint")
     left = (
         asked.join(sizes, "_key")
@@ -460,13 +461,24 @@ def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key
         if not len(rows) or not len(at):
             return score(asked.slice(0, 0), found.slice(0, 0))
         ids = found.column("_t").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        parts = list(_best(queried, vectors[order], asked.column("_offset").to_numpy(), k, metric))
-        q, position, units = (np.concatenate(c) for c in zip(*parts))
+        order, offsets = np.argsort(ids, kind="stable"), asked.column("_offset").to_numpy()
+        worst, parts, held = np.full(len(queried), -np.inf), [], 0  # each query's last score so far, in units
+        for start in range(0, len(order), chunk_rows):
+            piece = order[start:start + chunk_rows]
+            for q, position, units in _best(queried, vectors[piece], offsets, k, metric):
+                fine = units >= worst[q]
+                parts.append(pd.DataFrame({"q": q[fine], "units": units[fine], "id": ids[piece][position[fine]]}))
+                held += len(parts[-1])
+            if held > 2 * k * len(queried) or start + chunk_rows >= len(order):
+                parts = [_trim(pd.concat(parts, ignore_index=True), k)]
+                held, last = len(parts[0]), parts[0].groupby("q")["units"].agg(["size", "min"])
+                full = last[last["size"] >= k]
+                worst[full.index] = full["min"]
+        best = parts[0]
         return pa.Table.from_arrays([
-            asked.column("query_id").combine_chunks().take(pa.array(q)),
-            pa.array(ids[order][position], type=id_type),
-            pa.array(units / _SCALE),
+            asked.column("query_id").combine_chunks().take(pa.array(best["q"].to_numpy())),
+            pa.array(best["id"].to_numpy(), type=id_type),
+            pa.array(best["units"].to_numpy() / _SCALE),
         ], names=names)
 
     groups = ["_key", "_chunk", "_block"]
