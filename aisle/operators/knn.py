@@ -258,13 +258,18 @@ def _reachable(block: QueryBlock, vectors: np.ndarray, worst: np.ndarray | None,
     return every[~(np.rint((bound + slack) * _SCALE) < worst)]
 
 
-def _scan_blocks(batches: Iterator[pa.RecordBatch], blocks: list, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """Best k targets per query of many blocks: targets are read once, blocks pass by chunks of them."""
+def _scan_blocks(
+    batches: Iterator[pa.RecordBatch], shared: list, k: int, metric: str, block_rows: int,
+) -> Iterator[pa.RecordBatch]:
+    """Best k targets per query of many blocks: targets are read once, blocks pass by chunks of them.
+
+    Each of the broadcast query tables ``shared`` is taken in blocks of ``block_rows``.
+    """
+    blocks = [block.value.part(i, i + block_rows) for block in shared for i in range(0, len(block.value), block_rows)]
     best: list[pd.DataFrame | None] = [None] * len(blocks)
     id_type = None
     for id_type, ids, vectors in _chunks_of(batches, CHUNK_ROWS):
-        for n, shared in enumerate(blocks):
-            block = shared.value
+        for n, block in enumerate(blocks):
             worst = None
             if best[n] is not None:
                 last = best[n].groupby("q")["units"].agg(["size", "min"])
@@ -279,7 +284,7 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch], blocks: list, k: int, metric
                 best[n] = _trim(pd.concat(parts, ignore_index=True), k)
     for n, found in enumerate(best):
         if found is not None and len(found):
-            names = blocks[n].value.ids
+            names = blocks[n].ids
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i in found["q"]]), pa.array(found["id"], type=id_type), pa.array(found["units"].to_numpy() / _SCALE)],
                 names=["query_id", "target_id", "score"],
@@ -289,16 +294,18 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch], blocks: list, k: int, metric
 def _nearest_streamed(queries, targets, k, target_id, metric, vector, block_rows: int | None = None) -> DataFrame:
     """Many queries without probes: written once, broadcast in blocks, one target scan for many blocks.
 
-    The driver holds one block at a time. A scan takes as many blocks as its tasks may
-    hold (``STREAMED_BYTES`` of vectors, ``STREAMED_PLACES`` results); more queries
-    take more scans, never larger tasks.
+    The driver holds ``BLOCK_ROWS`` queries at a time, which tasks score in blocks of
+    ``block_rows``: small blocks are no jobs, files or broadcasts of their own. A scan takes
+    as many blocks as its tasks may hold (``STREAMED_BYTES`` of vectors, ``STREAMED_PLACES``
+    results); more queries take more scans, never larger tasks.
     """
+    block_rows = block_rows or BLOCK_ROWS
     spark = queries.sparkSession
     asked = queries.select("query_id", F.col(vector).alias("_qv"))
     path = f"{shared_folder(spark)}/knn/queries-{uuid.uuid4().hex}"
     asked.write.parquet(path)
     asked = spark.read.schema(asked.schema).parquet(path)
-    n = max(1, -(-asked.count() // (block_rows or BLOCK_ROWS)))
+    n = max(1, -(-asked.count() // BLOCK_ROWS))
     parts = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     arranged = f"{path}-blocks"
     parts.write.partitionBy("_block").parquet(arranged)
@@ -308,7 +315,7 @@ def _nearest_streamed(queries, targets, k, target_id, metric, vector, block_rows
     hits, blocks, size, places = None, [], 0, 0
 
     def scan_of(blocks):
-        return narrow.mapInArrow(lambda batches: _scan_blocks(batches, blocks, k, metric), schema)
+        return narrow.mapInArrow(lambda batches: _scan_blocks(batches, blocks, k, metric, block_rows), schema)
 
     for i in range(n):
         block = _as_block(parts.where(F.col("_block") == i).select("query_id", "_qv").toArrow())

@@ -190,3 +190,38 @@ def test_recall_of_cells_by_probes(spark, sf_dir):
     for probes, least in ((None, 0.85), (12, 0.9)):
         near = knn.ivf(asked, cells, 10, *([probes] if probes else []), target_id="vec_id").select("query_id", "target_id")
         assert exact.intersect(near).count() >= least * exact.count()
+
+
+def test_small_chunks_of_a_group_copy_no_query(spark, big):
+    targets = frame(spark, big, "row_id").withColumn("cell", F.lit(0))
+    queries = frame(spark, big[::9], "query_id")
+    probes = queries.select("query_id", F.lit(0).alias("key"), F.lit(0.0).alias("offset"))
+    hits = knn._nearest_grouped(queries, targets, 12, "row_id", "l2", "embedding", probes, "cell", 20)
+    assert hits.count() == 12 * len(big[::9])  # one task's lists, not one for each 20 targets
+    assert ranks(knn.merge_top_k(hits, 12)) == brute(big[::9], big, 12)
+
+
+def test_small_blocks_of_streamed_queries_are_no_jobs(spark, big):
+    targets, queries = frame(spark, big, "row_id"), frame(spark, big, "query_id")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("streamed", "")
+    hits = knn._nearest_streamed(queries, targets, 5, "row_id", "l2", "embedding", block_rows=10)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup("streamed")) < 20  # 40 blocks
+    assert ranks(knn.merge_top_k(hits, 5)) == brute(big, big, 5)
+
+
+def test_encoder_counts_the_buckets_of_the_words_and_hashes_a_word_once(spark, monkeypatch):
+    import pandas as pd
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    texts = ["a b a", "", None, "Été LAMP lamp-x 9\nÀb", "\u212aelvin \u0130x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    counted = Normalizer(p=2.0, inputCol="_tf", outputCol="_u").transform(encode.bucket_counts(df, "t", 32))
+    wanted = {r.id: r.e for r in counted.select("id", vector_to_array("_u", "float32").alias("e")).collect()}
+    assert {r.id: r.embedding for r in encode.encode(df, "t", dim=32).collect()} == wanted
+    hashed, md5 = [], encode.hashlib.md5
+    monkeypatch.setattr(encode.hashlib, "md5", lambda w: hashed.append(w) or md5(w))
+    rows = [r for s in encode._unit_vectors(iter([pd.Series(["a b a", "b"]), pd.Series(["a c"])]), 32, True) for r in s]
+    assert sorted(hashed) == [b"a", b"b", b"c"] and len(rows) == 3
