@@ -98,10 +98,10 @@ def price_cap(df: DataFrame, p: float = 0.999) -> DataFrame:
     return percentile_exact(filled, "price", p).select(F.col("percentile").alias("price_cap"))
 
 
-def normalize_prices(df: DataFrame, factor: float = 3.0, p: float = 0.999) -> DataFrame:
-    """Prices beyond ``factor`` times the percentile cap are set to the cap."""
+def normalize_prices(df: DataFrame, factor: float = 3.0, p: float = 0.999, cap: Column | None = None) -> DataFrame:
+    """Prices beyond ``factor`` times the percentile cap, by default that of ``df``, are set to the cap."""
     price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
-    cap = price_cap(df, p).scalar()
+    cap = price_cap(df, p).scalar() if cap is None else cap
     return df.withColumn("price", F.when((cap > 0) & (price > cap * factor), cap).otherwise(price))
 
 
@@ -159,12 +159,16 @@ def validate_schema(df: DataFrame) -> DataFrame:
 
 
 def run(df: DataFrame, pattern: str | None = None, blank_is_missing: bool = True) -> DataFrame:
-    """clean → prices → ratings → duplicates → empty names → defaults → check."""
+    """clean → prices → ratings → duplicates → empty names → defaults → check.
+
+    Duplicates are told by cleaned names, but only the rows that stay have their texts
+    cleaned: cleaning looks at one row at a time. The price cap is that of all rows.
+    """
     return (
-        df.transform(clean_text_fields, pattern)
-        .transform(normalize_prices)
+        df.join(_survivors(clean_text_fields(df, pattern)), ORDINAL, "left_semi")
+        .transform(clean_text_fields, pattern)
+        .transform(normalize_prices, cap=price_cap(df).scalar())
         .transform(normalize_ratings)
-        .transform(remove_duplicates)
         .transform(remove_empty)
         .transform(fill_missing, blank_is_missing)
         .transform(validate_schema)

@@ -63,3 +63,9 @@ def test_every_registered_query_has_a_statement_or_a_reason():
 
     without = {n for n, (_, sql) in REGISTRY.items() if sql is None}
     assert without == {"knn_ivf"}
+
+
+def test_only_rows_that_stay_have_their_texts_cleaned(index):
+    unified = index.catalog.drop("enriched_description")
+    below = clean.run(unified)._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi", 1)[1]
+    assert "replacement" not in below
