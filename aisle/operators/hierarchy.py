@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aisle.functions import fixed_values as fv
@@ -11,12 +13,11 @@ from aisle.operators import knn
 from aisle.operators.encode import encode
 from aisle.functions.text import leaf_text
 from aisle.schema import FILTER_COLUMNS
+from aisle.sources.folders import shared_folder
 
 LEVELS = ["department", "category", "subcategory", "product_type"]
 PREFIXES = {1: "dept", 2: "cat", 3: "subcat", 4: "ptype", 5: "prod"}
 ROOT = "ROOT"
-#: Query vectors are broadcast into the beam's join up to this many numbers.
-BROADCAST_VALUES = 4_000_000
 
 
 def with_paths(catalog: DataFrame) -> DataFrame:
@@ -228,42 +229,31 @@ def beam(
 ) -> DataFrame:
     """(query_id, key, offset): the product types each query descends into.
 
-    The best departments per query, then per kept node its best children. The
-    offset is what the four levels add to a product's path score. Rows stay
-    partitioned by query throughout, and a level's children come by equi-join.
+    The best departments per query, then per kept node its best children, scored in blocks
+    where the nodes lie. The offset is what the four levels add to a product's path score.
+    Each level's kept nodes are a written table: at most the product of the widths a query.
     """
     widths = widths or fv.BEAM_WIDTHS
+    spark = queries.sparkSession
+    base = f"{shared_folder(spark)}/beam-{uuid.uuid4().hex}"
+    block = knn.query_block(queries) if block is None else block
+
+    def written(kept: DataFrame, level: int) -> DataFrame:
+        kept.write.parquet(f"{base}/{level}")
+        return spark.read.schema(kept.schema).parquet(f"{base}/{level}")
+
     top = knn.nearest(
         queries, nodes_at_level(nodes, 1), widths[1], "node_id", "cosine", block=block, fan_in=1
     )
-    kept = top.select("query_id", F.col("target_id").alias("node_id"), F.array("score").alias("scores"))
-    entries = queries.select(
-        "query_id", vectors.nonzeros(F.col("embedding")).alias("_q"), vectors.norm(F.col("embedding")).alias("_qn"))
-    if block is not None and block.matrix.size <= BROADCAST_VALUES:
-        entries = F.broadcast(entries)
-    kept = kept.join(entries, "query_id")
+    kept = written(top.select("query_id", F.col("target_id").alias("key"), F.array("score").alias("scores")), 1)
     for level in (2, 3, 4):
-        below = nodes_at_level(nodes, level).select(
-            F.col("parent_id").alias("_parent"), F.col("node_id").alias("_child"),
-            F.col("embedding").alias("_v"), vectors.norm(F.col("embedding")).alias("_vn"),
-        )
-        scored = kept.join(below, F.col("node_id") == F.col("_parent")).select(
-            "query_id", "_q", "_qn", "scores", "_parent", "_child",
-            F.round(F.greatest(F.lit(0.0), F.coalesce(
-                F.try_divide(vectors.dot_nonzeros(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_vn")), F.lit(0.0))),
-                vectors.SCORE_DIGITS,
-            ).alias("_score"),
-        )
-        window = Window.partitionBy("query_id", "_parent").orderBy(F.desc("_score"), "_child")
-        kept = (
-            scored.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= widths[level])
-            .select(
-                "query_id", "_q", "_qn", F.col("_child").alias("node_id"),
-                F.concat("scores", F.array("_score")).alias("scores"),
-            )
-        )
+        below = nodes_at_level(nodes, level).select("parent_id", "node_id", "embedding")
+        asked = kept.select("query_id", "key", F.lit(0.0).alias("offset"))
+        found = knn.nearest_per_key(queries, below, widths[level], "node_id", asked, "parent_id", "cosine", block=block)
+        kept = written(found.join(kept, ["query_id", "key"]).select(
+            "query_id", F.col("target_id").alias("key"), F.concat("scores", F.array("score")).alias("scores")), level)
     levels = [F.get("scores", F.lit(i)) for i in range(4)]
-    return kept.select("query_id", F.col("node_id").alias("key"), path_sum(levels, decay).alias("offset"))
+    return kept.select("query_id", "key", path_sum(levels, decay).alias("offset"))
 
 
 def search(

@@ -168,6 +168,41 @@ def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found[found.groupby("q", sort=False).cumcount() < k]
 
 
+def _scan_keys(batches: Iterator[pa.RecordBatch], shared, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """Best k targets per (query, probed key), batch by batch of one task; an unusable vector counts as the zero vector."""
+    block, probes = shared.value
+    for batch in batches:
+        names = ["query_id", "target_id", "score", "key"]
+        ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pandas()
+        at, usable = _usable(batch.column(1))
+        vectors = np.zeros((batch.num_rows, block.matrix.shape[1] if len(block) else 0))
+        if len(at) and vectors.shape[1]:
+            vectors[at] = usable
+        asked, found, units, held = [], [], [], 0
+
+        def table() -> pa.RecordBatch:
+            rows = pa.array(np.concatenate(found))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block.ids[i] for i in np.concatenate(asked)]), batch.column(0).take(rows),
+                 pa.array(np.concatenate(units) / _SCALE), batch.column(2).take(rows)], names=names)
+
+        for key, rows in keys.groupby(keys, sort=False).indices.items():
+            if key not in probes:
+                continue
+            queries, offsets = probes[key]
+            rows = rows[np.argsort(ids[rows], kind="stable")]
+            for q, position, best in _best(block.matrix[queries], vectors[rows], offsets, k, metric):
+                asked.append(queries[q])
+                found.append(rows[position])
+                units.append(best)
+                held += len(q)
+            if held > HELD_ROWS:
+                yield table()
+                asked, found, units, held = [], [], [], 0
+        if held:
+            yield table()
+
+
 def _scan(batches: Iterator[pa.RecordBatch], shared, k: int, metric: str, keyed: bool):
     """Best k targets per query over the batches of one task."""
     block, probes = shared.value
@@ -330,16 +365,18 @@ def _nearest_streamed(queries, targets, k, target_id, metric, vector, block_rows
     return last if hits is None else hits.unionByName(last)
 
 
-def _hit_schema(queries: DataFrame, targets: DataFrame, target_id: str) -> T.StructType:
+def _hit_schema(queries: DataFrame, targets: DataFrame, target_id: str, key: str | None = None) -> T.StructType:
+    """Of hits; with ``key`` they also tell the key by which they were found."""
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("target_id", targets.schema[target_id].dataType),
         T.StructField("score", T.DoubleType()),
+        *([] if key is None else [T.StructField("key", targets.schema[key].dataType)]),
     ])
 
 
-def merge_top_k(hits: DataFrame, k: int, fan_in: int | None = None) -> DataFrame:
-    """Global top k per query out of per-task lists, with a rank.
+def merge_top_k(hits: DataFrame, k: int, fan_in: int | None = None, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Global top k per query (or per ``per``) out of per-task lists, with a rank.
 
     The first round splits each query's rows by target, so no reducer sees the
     lists of all tasks; both rounds prune before they shuffle.
@@ -348,9 +385,9 @@ def merge_top_k(hits: DataFrame, k: int, fan_in: int | None = None) -> DataFrame
     order = [F.desc("score"), F.asc("target_id")]
     if fan_in > 1:
         salted = hits.withColumn("_salt", F.pmod(F.xxhash64("target_id"), F.lit(fan_in)))
-        partial = Window.partitionBy("query_id", "_salt").orderBy(*order)
+        partial = Window.partitionBy(*per, "_salt").orderBy(*order)
         hits = salted.withColumn("_n", F.row_number().over(partial)).where(F.col("_n") <= k).drop("_n", "_salt")
-    final = Window.partitionBy("query_id").orderBy(*order)
+    final = Window.partitionBy(*per).orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
 
 
@@ -388,7 +425,29 @@ def nearest(
     return merge_top_k(hits, k, fan_in)
 
 
-def _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, listed, key) -> DataFrame:
+def nearest_per_key(
+    queries: DataFrame, targets: DataFrame, k: int, target_id: str, probes: DataFrame, key: str, metric: str = "l2",
+    vector: str = "embedding", block: QueryBlock | None = None,
+) -> DataFrame:
+    """(query_id, target_id, score, key, rank): as :func:`nearest`, but the k best targets of each probed key.
+
+    ``probes`` (query_id, key, offset) is a written table with each pair once. A target without a
+    usable vector counts as the zero vector.
+    """
+    block = query_block(queries, vector) if block is None else block
+    listed = None if block is None else probe_list(probes)
+    if listed is not None:
+        hits = _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, listed, key, per_key=True)
+    else:
+        first = queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+        zero = F.array_repeat(F.lit(0.0).cast("float"), first[0] if first else 0)
+        fine = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        whole = targets.withColumn(vector, F.when(fine, F.col(vector)).otherwise(zero))
+        hits = _nearest_grouped(queries, whole, k, target_id, metric, vector, probes, key, CHUNK_ROWS, per_key=True)
+    return merge_top_k(hits, k, 1, ("query_id", "key"))
+
+
+def _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, listed, key, per_key=False) -> DataFrame:
     spark = targets.sparkSession
     keyed = listed is not None
     lookup = None
@@ -406,9 +465,9 @@ def _nearest_broadcast(queries, targets, k, target_id, metric, vector, block, li
     columns = [target_id, vector] + ([key] if keyed else [])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scan(batches, shared, k, metric, keyed)
+        return _scan_keys(batches, shared, k, metric) if per_key else _scan(batches, shared, k, metric, keyed)
 
-    return targets.select(*columns).mapInArrow(scan, _hit_schema(queries, targets, target_id))
+    return targets.select(*columns).mapInArrow(scan, _hit_schema(queries, targets, target_id, key if per_key else None))
 
 
 def _with_keys(targets: DataFrame, key: str, keys: list) -> DataFrame:
@@ -421,7 +480,7 @@ def _with_keys(targets: DataFrame, key: str, keys: list) -> DataFrame:
     return targets.join(F.broadcast(wanted), key, "left_semi")
 
 
-def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key, chunk_rows) -> DataFrame:
+def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key, chunk_rows, per_key=False) -> DataFrame:
     """The same scoring on co-grouped chunks, for probing queries that must not be broadcast.
 
     Each key's targets are cut into groups of about ``CHUNK_ROWS`` and its
@@ -488,8 +547,15 @@ def _nearest_grouped(queries, targets, k, target_id, metric, vector, probes, key
             pa.array(best["units"].to_numpy() / _SCALE),
         ], names=names)
 
+    def score_key(of_group: tuple, asked: pa.Table, found: pa.Table) -> pa.Table:
+        hits = score(asked, found)
+        return hits.append_column("key", pa.array([of_group[0].as_py()] * hits.num_rows, found.schema.field("_key").type))
+
     groups = ["_key", "_chunk", "_block"]
-    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(score, schema)
+    pairs = left.groupBy(*groups).cogroup(right.groupBy(*groups))
+    if per_key:
+        return pairs.applyInArrow(score_key, _hit_schema(queries, targets, target_id, key))
+    return pairs.applyInArrow(score, schema)
 
 
 def flat(

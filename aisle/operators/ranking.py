@@ -124,6 +124,14 @@ class Prepared:
         return _rows(self.block, self.fetch)
 
 
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written once to the shared folder and read back."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def prepare(
     queries: DataFrame, top_k: int, text: str = "query", dim: int = fv.EMBEDDING_DIM,
     overfetch: int = 1, block: knn.QueryBlock | None = None,
@@ -134,6 +142,8 @@ def prepare(
     there is one, is the number of results each query wants (bounded like ``top_k``);
     else all want ``top_k``. A query with gender or t-shirt intent fetches more, because
     intent moves its results afterwards; others fetch ``overfetch`` times the wanted number.
+    The result is a written table: a search reads its queries many times, and they may
+    come from a large table of their own.
     """
     each = "top_k" in queries.columns
     wanted = F.coalesce(F.col("top_k").cast("int"), F.lit(top_k)) if each else top_k
@@ -142,7 +152,8 @@ def prepare(
     df = with_constraints(df).withColumn("fetch_k", F.when(
         F.col("constrained"), F.least(F.col("top_k") * fv.CONSTRAINED_OVERFETCH, F.lit(fv.MAX_TOP_K))
     ).otherwise(F.col("top_k") * overfetch))
-    encoded = encode(df, text, dim=dim)
+    typed = [c for c, kind in df.dtypes if kind != "void"]  # Parquet has no column without a type
+    encoded = _written(encode(df.select(*typed), text, dim=dim), f"queries-{uuid.uuid4().hex}")
     block = knn.query_block(encoded) if block is None else block
     return Prepared(encoded, block, max(min(most * fv.CONSTRAINED_OVERFETCH, fv.MAX_TOP_K), most * overfetch), most)
 
@@ -238,12 +249,10 @@ def shared_hits(
     Routed searches and the ensemble cut the same tables to what each query needs, so a
     vector table is scanned once per kind of query vector, however many models read it.
     """
-    spark = prepared.queries.sparkSession
-    base = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+    base = f"hits-{uuid.uuid4().hex}"
 
     def written(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{base}/{name}")
-        return spark.read.schema(frame.schema).parquet(f"{base}/{name}")
+        return _written(frame, f"{base}/{name}")
 
     found, refined, refined_block = {}, None, None
     for model in models:

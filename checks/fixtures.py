@@ -122,6 +122,15 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`query_set`, written once per session and read back: filters on it do not reach the parts."""
+    path = folder(spark, sf_dir, "queries")
+    if path not in _WRITTEN:
+        query_set(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
+
+def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query set from all part names: exact, semantic (noun), vague (trigger phrase), intent."""
     names = table(spark, sf_dir, "part").select("p_name").distinct().selectExpr(
         "p_name", "split_part(p_name, ' ', 2) AS noun"

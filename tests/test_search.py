@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from aisle.functions import fixed_values as fv
 from aisle.functions import intent
-from aisle.operators import hierarchy, ranking
+from aisle.operators import hierarchy, knn, ranking
 from aisle.operators.ranking import SearchIndex
 from aisle.plans import benchmark, index as tables
 from aisle.schema import RESULT_COLUMNS
@@ -255,3 +256,49 @@ def test_benchmark_from_shared_neighbours_equals_models_alone(spark, queries, in
     for model in [*index.loaded(), fv.ENSEMBLE]:
         alone |= {tuple(r) for r in benchmark.run_benchmarks(queries, index, 3, [model]).collect()}
     assert whole == alone
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_are_encoded_once(queries):
+    asked = queries.withColumn("note", F.lit(None))
+    prepared = ranking.prepare(asked, 5, dim=64)
+    assert "ArrowEvalPython" not in _plan(prepared.queries)
+    assert prepared.queries.count() == len(prepared.block) > 0
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 0])  # probes broadcast, probes co-grouped
+def test_beam_levels_are_scored_where_the_nodes_lie(spark, queries, index, monkeypatch, rows):
+    monkeypatch.setattr(knn, "PROBE_ROWS", rows)
+    prepared = ranking.prepare(queries, 5, dim=64)
+    found = hierarchy.beam(prepared.queries, index.nodes, block=prepared.block)
+    assert "Join" not in _plan(found)
+    nodes = [r.asDict() for r in index.nodes.where("level > 0").collect()]
+    expected = {}
+    for q in prepared.queries.collect():
+        kept = [("ROOT", [])]
+        for level, width in enumerate((5, 5, 5, 3), 1):
+            grown = []
+            for parent, scores in kept:
+                below = [(round(max(0.0, float(np.dot(q.embedding, n["embedding"]) / max(
+                    np.linalg.norm(q.embedding) * np.linalg.norm(n["embedding"]), 1e-12))), 9), n["node_id"])
+                    for n in nodes if n["level"] == level and n["parent_id"] == parent]
+                grown += [(i, [*scores, s]) for s, i in sorted(below, key=lambda x: (-x[0], x[1]))[:width]]
+            kept = grown
+        expected |= {(q.query_id, i): sum(s * 0.85 ** (5 - n) for n, s in enumerate(scores, 1)) for i, scores in kept}
+    got = {(r.query_id, r.key): r.offset for r in found.collect()}
+    assert got.keys() == expected.keys() and len(got) > 20
+    assert all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+
+
+def test_children_of_a_probed_key_without_a_vector_count_as_zero(spark):
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    rows = [("a", "p", None), ("b", "p", [1.0, 1.0]), ("c", "p", [0.0, float("nan")]), ("d", "r", [1.0, 0.0])]
+    targets = spark.createDataFrame(rows, "node_id string, parent_id string, embedding array<float>")
+    probes = spark.createDataFrame([("q", "p", 0.0)], "query_id string, key string, offset double")
+    for block in (knn.query_block(asked), knn.query_block(asked, limit=0)):
+        found = knn.nearest_per_key(asked, targets, 2, "node_id", probes, "parent_id", "cosine", block=block)
+        assert sorted((r.target_id, r.key, r["rank"], round(r.score, 6)) for r in found.collect()) == [
+            ("a", "p", 2, 0.0), ("b", "p", 1, 0.707107)]
