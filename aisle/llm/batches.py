@@ -94,12 +94,16 @@ class Words:
         """64-bit hash of each word; ``lower`` folds A-Z first."""
         return span_hashes(self.data, self.start, self.end, lower)
 
-    def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of first word, hash) of all runs of ``size`` words within one text."""
+    def windows(self, hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of first word, hash) of all runs of ``size`` words within one text, or of those that begin ``at``."""
         n = len(hashes)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero(self.doc[: n - size + 1] == self.doc[size - 1 :])
+        if at is None:
+            at = np.flatnonzero(self.doc[: n - size + 1] == self.doc[size - 1 :])
+        else:
+            at = at[at <= n - size]
+            at = at[self.doc[at] == self.doc[at + size - 1]]
         total = np.zeros(len(at), np.uint64)
         for k in range(size):
             total += hashes[at + k] * _SALT[k]

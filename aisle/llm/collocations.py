@@ -55,9 +55,11 @@ class _Pieces(Words):
         self.doc = self.text + breaks[self.start]
 
 
-def _grams(words: _Pieces, hashes: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, 64-bit name within the language) of all phrases of ``size`` words."""
-    at, names = words.windows(hashes, size)
+def _grams(
+    words: _Pieces, hashes: np.ndarray, label: np.ndarray, size: int, at: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, 64-bit name within the language) of all phrases of ``size`` words, or of those that begin ``at``."""
+    at, names = words.windows(hashes, size, at)
     return at, mix(names ^ label[words.text[at]])
 
 
@@ -95,6 +97,11 @@ def _count_rows(lang: str, hashes: np.ndarray, first: np.ndarray, n: np.ndarray,
         ["lang", *WORDS, "k", "n"])
 
 
+def _distinct_rows(lang: str, hashes: np.ndarray, first: np.ndarray, names: np.ndarray, size: int) -> pa.RecordBatch:
+    _, one, n = np.unique(names, return_index=True, return_counts=True)
+    return _count_rows(lang, hashes, first[one], n, size)
+
+
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
 
@@ -116,8 +123,8 @@ def _chunked(batches: Iterator[pa.RecordBatch]):
 def counts(documents: DataFrame, sizes: tuple[int, ...], proposed: np.ndarray | None = None, known: np.ndarray | None = None) -> DataFrame:
     """(lang, w1 … w4, k, n): occurrences of the phrases of ``sizes`` words in all texts of (text, lang).
 
-    With ``proposed`` only phrases whose first and last parts are in that bitmap, and with
-    ``known`` those of them that have a part outside that one (the others are counted).
+    With ``proposed`` only phrases whose parts, down to single words, are all in that bitmap, and
+    with ``known`` those of them that have a part outside that one (the others are counted).
     """
     spark = documents.sparkSession
     maps = spark.sparkContext.broadcast((proposed, known))
@@ -125,25 +132,27 @@ def counts(documents: DataFrame, sizes: tuple[int, ...], proposed: np.ndarray |
     def run(batches):
         new, old = maps.value
         for lang, words, hashes, label in _chunked(batches):
-            shorter = None
-            for size in range(min(sizes) - 1 if new is not None else min(sizes), max(sizes) + 1):
-                if size < 1:
-                    continue
-                at, names = _grams(words, hashes, label, size)
+            if new is None:
+                for size in sizes:
+                    at, names = _grams(words, hashes, label, size)
+                    if len(at):
+                        yield _distinct_rows(lang, hashes, at, names, size)
+                continue
+            held = known = None  # by first word: whether the phrase that is a word shorter, and all it holds, are in a bitmap
+            for size in range(max(1, min(sizes) - 1), max(sizes) + 1):
+                at = None if held is None else np.flatnonzero(held[:-1] & held[1:])
+                at, names = _grams(words, hashes, label, size, at)
+                before = None if known is None else known[at] & known[at + 1]
                 if size in sizes and len(at):
-                    first, name = at, names
-                    if new is not None and size > 1:
-                        before, parts = shorter
-                        place = np.searchsorted(before, at)
-                        left, right = parts[place], parts[np.searchsorted(before, at + 1)]
-                        keep = _held(new, left) & _held(new, right)
-                        if old is not None:
-                            keep &= ~(_held(old, left) & _held(old, right))
-                        first, name = at[keep], names[keep]
+                    first, name = (at, names) if before is None else (at[~before], names[~before])
                     if len(first):
-                        _, one, n = np.unique(name, return_index=True, return_counts=True)
-                        yield _count_rows(lang, hashes, first[one], n, size)
-                shorter = at, names
+                        yield _distinct_rows(lang, hashes, first, name, size)
+                if size < max(sizes):  # longer phrases hold proposed ones only
+                    held = np.zeros(len(hashes) + 1, bool)
+                    held[at] = _held(new, names)
+                    if old is not None:
+                        known = np.zeros(len(hashes) + 1, bool)
+                        known[at] = _held(old, names) if before is None else before & _held(old, names)
 
     rows = _texts(documents).mapInArrow(run, SCHEMA)
     return rows.groupBy("lang", *WORDS, "k").agg(F.sum("n").alias("n"))
@@ -185,7 +194,8 @@ def frequent(documents: DataFrame, least: int = 30, share: float = SAMPLE) -> tu
     proposed = bitmap(words.where(lowered), width)
     for size in range(2, MOST_WORDS + 1):  # within the sample, size by size
         proposed = proposed | bitmap(counts(sample, (size,), proposed).where(lowered), width)
-    every = written(counts(documents, tuple(range(1, MOST_WORDS + 1)), proposed), "counts")
+    every = counts(documents, tuple(range(1, MOST_WORDS + 1)), proposed)
+    every = written(every.where((F.col("n") >= least) | (F.col("k") == 1)), "counts")  # words also for the totals
     known = proposed
     found = every.where(F.col("n") >= least)
     while True:  # each pass settles one more size at least, so there are at most MOST_WORDS - 1

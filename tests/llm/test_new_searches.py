@@ -152,6 +152,26 @@ def test_phrases_do_not_depend_on_the_sample(spark, share):
     assert sorted(map(tuple, found.collect())) == sorted(brute_phrases(rows, 6, 40))
 
 
+@pytest.mark.parametrize("width", [7, 10])
+def test_phrases_do_not_depend_on_shared_bits(spark, monkeypatch, width):
+    monkeypatch.setattr(collocations, "LEAST_BITS", width)
+    monkeypatch.setattr(collocations, "MOST_BITS", width)
+    rows = phrase_corpus()
+    frame = spark.createDataFrame([(t, lang, 1, "x") for t, lang in rows], "text string, lang string, n long, w1 string")
+    found = collocations.mine(frame, top=40, least=6, share=0.1).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(map(tuple, found.collect())) == sorted(brute_phrases(rows, 6, 40))
+
+
+def test_rare_phrases_are_not_written(spark, monkeypatch):
+    tables, plain = [], collocations.written
+    monkeypatch.setattr(collocations, "written", lambda frame, name: tables.append((name, out := plain(frame, name))) or out)
+    frame = spark.createDataFrame(phrase_corpus(), "text string, lang string")
+    collocations.frequent(frame, least=6, share=0.5)
+    kept = [t for name, t in tables if name == "counts"]
+    assert len(kept) > 1 and all(t.where("k > 1 and n < 6").isEmpty() for t in kept)
+    assert any(not t.where("k > 1").isEmpty() for t in kept)
+
+
 def test_phrases_match_duckdb(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
