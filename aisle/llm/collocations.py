@@ -10,8 +10,10 @@ is infrequent; so the result does not depend on the sample.
 
 Texts are worked on in chunks, as arrays of 64-bit word hashes. The proposed phrases are
 held by the tasks as a bitmap of a fixed size: two phrases that share a bit only make a
-pass count more than it must, never less. Rows that are shuffled are distinct phrases of a
-task, not occurrences. Words are named by 64-bit hashes, phrases by their words' names.
+pass count more than it must, never less. The first full pass, whose border is large,
+counts names of 64 bits, in narrow rows; the words of the frequent names come from the
+sample, and from a further pass for names that it does not hold. Rows that are shuffled are distinct phrases of many chunks, not occurrences.
+Words are named by 64-bit hashes, phrases by their words' names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,10 @@ LEAST_BITS, MOST_BITS = 16, 27
 """The tasks hold proposed phrases as eight bits or more for each word of the sample, from 2^16 to 2^27 (16 MB)."""
 CHUNK = 1 << 18
 """Bytes of text worked on at once; a longer single text is one chunk of its own."""
+HELD = 1 << 22
+"""Occurrences that a task holds until it counts them (of phrases by their words: a quarter)."""
+ROWS = 1 << 16
+"""Rows of a batch that a task returns."""
 UNKNOWN = "und"
 
 _PART = np.zeros(256, bool)
@@ -72,13 +79,21 @@ def _held(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
 
-def _name_of_row(columns: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """The name that :func:`_grams` gives a phrase, from its words' names."""
-    size = len(columns)
-    total = np.zeros(len(label), np.uint64)
-    for k, column in enumerate(columns):
-        total += column * _SALT[k]
-    return mix(mix(total + np.uint64(size)) ^ label)
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases (lang, w1 … w4, k) with the names that :func:`_grams` gives them."""
+    for batch in batches:
+        labels = batch.column("lang").dictionary_encode()
+        label = _labels(labels.dictionary.to_pylist())[np.asarray(labels.indices)]
+        total = np.asarray(batch.column("k")).astype(np.uint64)
+        for salt, word in zip(_SALT, WORDS):  # words that a phrase has not are 0
+            total += np.asarray(batch.column(word)).view(np.uint64) * salt
+        name = mix(mix(total) ^ label).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", *WORDS, "k")), pa.array(name)], ["lang", *WORDS, "k", "name"])
+
+
+def named(phrases: DataFrame) -> DataFrame:
+    """Phrases (lang, w1 … w4, k) with their 64-bit ``name``."""
+    return phrases.select("lang", *WORDS, "k").mapInArrow(_named, SCHEMA.replace(", n long", ", name long"))
 
 
 def _labels(names: list[str]) -> np.ndarray:
@@ -89,17 +104,20 @@ def _labels(names: list[str]) -> np.ndarray:
 SCHEMA = "lang string, " + ", ".join(f"{w} long" for w in WORDS) + ", k int, n long"
 
 
-def _count_rows(lang: str, hashes: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
-    columns = [hashes[first + i].view(np.int64) if i < size else np.zeros(len(first), np.int64) for i in range(MOST_WORDS)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(first), pa.string()), *map(pa.array, columns), pa.array(np.full(len(first), size, np.int32)),
-         pa.array(n.astype(np.int64))],
-        ["lang", *WORDS, "k", "n"])
+def _runs(names: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin in sorted ``names``."""
+    return np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+
+
+def _batches(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    yield from pa.table(columns).to_batches(max_chunksize=ROWS)
 
 
-def _distinct_rows(lang: str, hashes: np.ndarray, first: np.ndarray, names: np.ndarray, size: int) -> pa.RecordBatch:
-    _, one, n = np.unique(names, return_index=True, return_counts=True)
-    return _count_rows(lang, hashes, first[one], n, size)
+def _count_rows(lang: str, words: list[np.ndarray], size: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    words = [w.view(np.int64) for w in words] + [np.zeros(len(n), np.int64)] * (MOST_WORDS - len(words))
+    yield from _batches({
+        "lang": pa.array([lang]).take(pa.array(np.zeros(len(n), np.int8))), **dict(zip(WORDS, words, strict=True)),
+        "k": np.full(len(n), size, np.int32), "n": n.astype(np.int64)})
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -120,60 +138,114 @@ def _chunked(batches: Iterator[pa.RecordBatch]):
                 yield name, words, words.hashes(lower=True), np.full(len(offsets) - 1, numbers[k])
 
 
-def counts(documents: DataFrame, sizes: tuple[int, ...], proposed: np.ndarray | None = None, known: np.ndarray | None = None) -> DataFrame:
-    """(lang, w1 … w4, k, n): occurrences of the phrases of ``sizes`` words in all texts of (text, lang).
+def _border(
+    words: _Pieces, hashes: np.ndarray, label: np.ndarray, sizes: tuple[int, ...], new: np.ndarray | None, old: np.ndarray | None,
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first words, names) of the phrases of a chunk that a pass counts: see :func:`names`."""
+    if new is None:
+        for size in sizes:
+            yield size, *_grams(words, hashes, label, size)
+        return
+    held = known = None  # by first word: whether the phrase that is a word shorter, and all it holds, are in a bitmap
+    for size in range(max(1, min(sizes) - 1), max(sizes) + 1):
+        at = None if held is None else np.flatnonzero(held[:-1] & held[1:])
+        at, found = _grams(words, hashes, label, size, at)
+        before = None if known is None else known[at] & known[at + 1]
+        if size in sizes:
+            yield (size, at, found) if before is None else (size, at[~before], found[~before])
+        if size < max(sizes):  # longer phrases hold proposed ones only
+            held = np.zeros(len(hashes) + 1, bool)
+            held[at] = _held(new, found)
+            if old is not None:
+                known = np.zeros(len(hashes) + 1, bool)
+                known[at] = _held(old, found) if before is None else before & _held(old, found)
+
+
+def names(documents: DataFrame, sizes: tuple[int, ...], proposed: np.ndarray | None = None, known: np.ndarray | None = None) -> DataFrame:
+    """(name, n): occurrences in all texts of (text, lang) of the phrases of ``sizes`` words, by their 64-bit names.
 
     With ``proposed`` only phrases whose parts, down to single words, are all in that bitmap, and
     with ``known`` those of them that have a part outside that one (the others are counted).
     """
-    spark = documents.sparkSession
-    maps = spark.sparkContext.broadcast((proposed, known))
+    maps = documents.sparkSession.sparkContext.broadcast((proposed, known))
+
+    def tally(held):
+        found = np.concatenate(held)
+        found.sort()
+        first = _runs(found)
+        yield from _batches({"name": found[first].view(np.int64), "n": np.diff(first, append=len(found)).astype(np.int32)})
+
+    def run(batches):
+        held, count = [], 0
+        for _, words, hashes, label in _chunked(batches):
+            for _, _, found in _border(words, hashes, label, sizes, *maps.value):
+                held.append(found)
+                count += len(found)
+            if count >= HELD:
+                yield from tally(held)
+                held, count = [], 0
+        if count:
+            yield from tally(held)
+
+    rows = _texts(documents).mapInArrow(run, "name long, n int").repartition("name")  # few names would meet before it
+    return rows.groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def counts(
+    documents: DataFrame, sizes: tuple[int, ...], proposed: np.ndarray, known: np.ndarray | None = None, wanted: np.ndarray | None = None,
+) -> DataFrame:
+    """(lang, w1 … w4, k, n): occurrences of the phrases of :func:`names`, with ``wanted`` only of those with a name in that bitmap."""
+    maps = documents.sparkSession.sparkContext.broadcast((proposed, known, wanted))
+
+    def tally(held):
+        for lang, (hashes, by_size, _) in held.items():
+            hashes = np.concatenate(hashes)
+            for size, parts in by_size.items():
+                found, first = (np.concatenate(p) for p in zip(*parts, strict=True))
+                order = np.argsort(found)
+                begin = _runs(found[order])
+                one = first[order[begin]]
+                yield from _count_rows(lang, [hashes[one + i] for i in range(size)], size, np.diff(begin, append=len(found)))
 
     def run(batches):
-        new, old = maps.value
+        new, old, wanted = maps.value
+        held, count = {}, 0
         for lang, words, hashes, label in _chunked(batches):
-            if new is None:
-                for size in sizes:
-                    at, names = _grams(words, hashes, label, size)
-                    if len(at):
-                        yield _distinct_rows(lang, hashes, at, names, size)
-                continue
-            held = known = None  # by first word: whether the phrase that is a word shorter, and all it holds, are in a bitmap
-            for size in range(max(1, min(sizes) - 1), max(sizes) + 1):
-                at = None if held is None else np.flatnonzero(held[:-1] & held[1:])
-                at, names = _grams(words, hashes, label, size, at)
-                before = None if known is None else known[at] & known[at + 1]
-                if size in sizes and len(at):
-                    first, name = (at, names) if before is None else (at[~before], names[~before])
-                    if len(first):
-                        yield _distinct_rows(lang, hashes, first, name, size)
-                if size < max(sizes):  # longer phrases hold proposed ones only
-                    held = np.zeros(len(hashes) + 1, bool)
-                    held[at] = _held(new, names)
-                    if old is not None:
-                        known = np.zeros(len(hashes) + 1, bool)
-                        known[at] = _held(old, names) if before is None else before & _held(old, names)
-
-    rows = _texts(documents).mapInArrow(run, SCHEMA)
-    return rows.groupBy("lang", *WORDS, "k").agg(F.sum("n").alias("n"))
-
-
-def bitmap(phrases: DataFrame, width: int) -> np.ndarray:
-    """(lang, w1 … w4, k) as a bitmap of 2^``width`` bits, OR-ed by Spark in words of 64."""
+            seen, by_size, total = held.get(lang, ([], {}, 0))
+            for size, at, found in _border(words, hashes, label, sizes, new, old):
+                if wanted is not None:
+                    mine = _held(wanted, found)
+                    at, found = at[mine], found[mine]
+                if len(at):
+                    by_size.setdefault(size, []).append((found, at + total))
+                    count += len(at)
+            seen.append(hashes)
+            held[lang] = seen, by_size, total + len(hashes)
+            count += len(hashes)
+            if count >= HELD >> 2:
+                yield from tally(held)
+                held, count = {}, 0
+        yield from tally(held)
+
+    return _texts(documents).mapInArrow(run, SCHEMA).groupBy("lang", *WORDS, "k").agg(F.sum("n").alias("n"))
+
+
+def totals(documents: DataFrame) -> DataFrame:
+    """(lang, total): all words of each language of (text, lang)."""
     def run(batches):
         for batch in batches:
-            labels = batch.column("lang").dictionary_encode()
-            label = _labels(labels.dictionary.to_pylist())[np.asarray(labels.indices)]
-            k = np.asarray(batch.column("k"))
-            for size in np.unique(k):
-                mine = k == size
-                columns = [np.asarray(batch.column(w))[mine].view(np.uint64) for w in WORDS[:size]]
-                bits = np.unique(_bits(_name_of_row(columns, label[mine]), width))
-                word, first = np.unique(bits >> 6, return_index=True)
-                flags = np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(flags.view(np.int64))], ["word", "flags"])
-
-    rows = phrases.select("lang", *WORDS, "k").mapInArrow(run, "word long, flags long")
+            langs = pc.unique(batch.column("lang"))
+            texts = [batch.column("text").filter(pc.equal(batch.column("lang"), lang)) for lang in langs]
+            words = [sum(len(_Pieces(data, offsets).start) for _, data, offsets in chunks(text, CHUNK)) for text in texts]
+            yield pa.RecordBatch.from_arrays([langs, pa.array(words, pa.int64())], ["lang", "total"])
+
+    return _texts(documents).mapInArrow(run, "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
+
+
+def bitmap(names: DataFrame, width: int) -> np.ndarray:
+    """The column ``name`` as a bitmap of 2^``width`` bits, OR-ed by Spark in words of 64."""
+    bit = f"shiftrightunsigned(name, {64 - width})"
+    rows = names.selectExpr(f"shiftrightunsigned({bit}, 6) AS word", f"shiftleft(1L, cast({bit} & 63 AS int)) AS flags")
     found = rows.groupBy("word").agg(F.bit_or("flags").alias("flags")).toArrow()  # at most 2^21 rows
     whole = np.zeros(1 << width - 6, np.uint64)
     whole[np.asarray(found.column("word"))] = np.asarray(found.column("flags")).view(np.uint64)
@@ -189,27 +261,28 @@ def frequent(documents: DataFrame, least: int = 30, share: float = SAMPLE) -> tu
     picked = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = written(_texts(documents).where(picked), "sample")
     lowered = F.col("n") >= max(2, math.ceil(least * share * 3 / 4))
-    words = written(counts(sample, (1,)), "counts")
+    often = F.col("n") >= least
+    words = written(names(sample, (1,)), "names")
     width = min(max((words.agg(F.sum("n")).first()[0] or 0).bit_length() + 3, LEAST_BITS), MOST_BITS)
     proposed = bitmap(words.where(lowered), width)
     for size in range(2, MOST_WORDS + 1):  # within the sample, size by size
-        proposed = proposed | bitmap(counts(sample, (size,), proposed).where(lowered), width)
-    every = counts(documents, tuple(range(1, MOST_WORDS + 1)), proposed)
-    every = written(every.where((F.col("n") >= least) | (F.col("k") == 1)), "counts")  # words also for the totals
-    known = proposed
-    found = every.where(F.col("n") >= least)
-    while True:  # each pass settles one more size at least, so there are at most MOST_WORDS - 1
-        grown = known | bitmap(found, width)
-        if np.array_equal(grown, known):
-            break
-        more = counts(documents, tuple(range(2, MOST_WORDS + 1)), grown, known)
-        added = written(more.where(F.col("n") >= least), "counts")
-        known = grown
-        if added.isEmpty():
-            break
+        proposed = proposed | bitmap(names(sample, (size,), proposed).where(lowered), width)
+    sizes = tuple(range(1, MOST_WORDS + 1))
+    counted = written(names(documents, sizes, proposed).where(often), "names")
+    grown = bitmap(counted, width)
+    parts = proposed & grown  # all parts of a frequent phrase of the border are in both
+    found = written(named(counts(sample, sizes, parts, wanted=grown)).join(counted, "name"), "counts")
+    missing = written(counted.join(found, "name", "left_anti"), "names")
+    if not missing.isEmpty():
+        rest = named(counts(documents, sizes, parts, wanted=bitmap(missing, width)))
+        found = found.unionByName(written(rest.join(missing, "name"), "counts"))
+    found, known = found.drop("name"), proposed
+    grown = known | grown
+    while not np.array_equal(grown, known):  # each pass settles one more size at least, so there are at most MOST_WORDS - 1
+        added = written(counts(documents, sizes[1:], grown, known).where(often), "counts")
         found = found.unionByName(added)
-    totals = every.where("k = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    return written(found, "frequent"), written(totals, "totals")
+        known, grown = grown, grown | bitmap(named(added), width)
+    return written(found, "frequent"), written(totals(documents), "totals")
 
 
 def _key(names: list[Column | str]) -> list[Column]:
@@ -265,7 +338,7 @@ def words_of(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     wanted = phrases.select("lang", F.explode(F.array(*WORDS)).alias("w1")).where("w1 <> 0").select(
         "lang", "w1", *[F.lit(0).cast("long").alias(w) for w in WORDS[1:]], F.lit(1).alias("k")).distinct()
     wanted = written(wanted, "words")
-    held = documents.sparkSession.sparkContext.broadcast(bitmap(wanted, 22))
+    held = documents.sparkSession.sparkContext.broadcast(bitmap(named(wanted), 22))
 
     def run(batches):
         seen: dict[str, np.ndarray] = {}

@@ -172,6 +172,24 @@ def test_rare_phrases_are_not_written(spark, monkeypatch):
     assert any(not t.where("k > 1").isEmpty() for t in kept)
 
 
+def test_rare_phrases_are_not_counted_by_words(spark, monkeypatch):
+    wide, plain = [], collocations.counts
+    monkeypatch.setattr(collocations, "counts", lambda frame, sizes, *maps, **more: wide.append((sizes, out := plain(frame, sizes, *maps, **more))) or out)
+    frame = spark.createDataFrame(phrase_corpus(), "text string, lang string")
+    found, _ = collocations.frequent(frame, least=6, share=0.5)
+    rows = [out.where("k > 1").count() for sizes, out in wide if len(sizes) == 4]
+    assert rows and max(rows) <= 1.2 * found.where("k > 1").count()
+
+
+@pytest.mark.parametrize("share", [0.02, 0.5])
+def test_phrases_that_the_sample_does_not_hold(spark, monkeypatch, share):
+    monkeypatch.setattr(collocations, "HELD", 64)  # counted in many parts
+    rows = phrase_corpus()
+    found = collocations.mine(spark.createDataFrame(rows, "text string, lang string"), top=40, least=6, share=share)
+    found = found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(map(tuple, found.collect())) == sorted(brute_phrases(rows, 6, 40))
+
+
 def test_phrases_match_duckdb(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
